@@ -13,9 +13,9 @@ from asterfold.llm.common import as_text, texts_of
 
 #: Bytes of a language's dictionary, and how many of its documents (lowest hashes of id) are drawn to fill it.
 DICTIONARY, DRAWN = 112_640, 160
-LEVEL = 3
+LEVEL = 6
 #: A text is rejected if the second-best language's size exceeds the best one's by less than this share.
-MARGIN = 0.01
+MARGIN = 0.004
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")

@@ -17,20 +17,24 @@ from asterfold.llm.langid import fold
 
 #: Buckets of the term hash.
 BUCKETS = 1 << 20
+#: Letters of a word's head, a term of its own.
+PREFIX = 4
 #: Labelled rows of either class that the fit takes at most, by the hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 6_000, 12_000
 #: A bucket counts if as many fit rows have it and its log-odds are so many standard errors from none; at most MOST_TERMS.
-LEAST_ROWS, LEAST_Z, MOST_TERMS = 5, 3.0, 2048
-FACTORS, EPOCHS, RATE, DECAY, BATCH = 8, 40, 0.05, 2e-4, 256
+LEAST_ROWS, LEAST_Z, MOST_TERMS = 5, 4.0, 2048
+FACTORS, EPOCHS, RATE, DECAY, BATCH = 8, 30, 0.1, 1e-4, 256
 
 _WORD = re.compile(r"\w+")
 
 
 def term_buckets(text: str | None) -> list[int]:
-    """Distinct buckets of a text's lower-case words."""
+    """Distinct buckets of a text's lower-case words and of their first PREFIX letters, which inflected words share."""
     if not text:
         return []
-    return list({zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in set(_WORD.findall(text.lower()))})
+    words = set(_WORD.findall(text.lower()))
+    heads = {f"{w[:PREFIX]}-" for w in words}
+    return list({zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words | heads})
 
 
 @dataclass
