@@ -66,8 +66,8 @@ def local_bins(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end, items = byte_bpe(tokenizer), end_id.to_bytes(4, "little"), []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                ids = bpe.ids(text) + end
+            for doc, found in zip(batch.column(0).to_pylist(), bpe.all_ids(texts_of(batch)), strict=True):
+                ids = found + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k in range(len(edges) - 1):

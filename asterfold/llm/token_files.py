@@ -62,8 +62,8 @@ def write_token_files(
                 ids, offsets, owners = (fs.open_output_stream(x) for x, _ in names)
                 offsets.write(bytes(8))
             held, at, ends = [], 0, np.empty(batch.num_rows, "<u8")
-            for k, text in enumerate(texts_of(batch)):
-                held.append(bpe.ids(text) + end)
+            for k, found in enumerate(bpe.all_ids(texts_of(batch))):
+                held.append(found + end)
                 at += len(held[-1])
                 n_ids += len(held[-1]) // width
                 ends[k] = n_ids
