@@ -149,6 +149,8 @@ class BenchmarkIndex:
         pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         diagonal, kind = np.repeat(at, n) - self.place[pick], self.kind[pick]
         owner, diagonal = self.owner[pick][kind == bit], diagonal[kind == bit]
+        if not len(owner):
+            return
         order = np.argsort(owner, kind="stable")
         owner, diagonal = owner[order], diagonal[order]
         edges = np.searchsorted(owner, np.unique(owner))
