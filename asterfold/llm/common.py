@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -65,7 +66,7 @@ WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x2D, 0x200A, 0
 #: A mark behind a letter is a pre-token of its own.
 MARKS = ",.;:!?"
 #: Texts whose chunks are looked up together, and new chunks that the library encodes in one string.
-TOGETHER, JOINED = 256, 2000
+TOGETHER, JOINED = 256, 250
 
 
 class _Inside(LookupError):
@@ -84,6 +85,7 @@ class ByteBpe(dict):
     def __init__(self, path: str, width: int = 4, most: int = 450_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__()
         self.library, self.kind, self.most, self.old = Tokenizer.from_file(path), f"<u{width}", most, {}
         self.size = self.library.get_vocab_size()
@@ -136,12 +138,16 @@ class ByteBpe(dict):
         for low in range(0, len(texts), TOGETHER):
             some = texts[low : low + TOGETHER]
             cut = [x.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if x and "\0" not in x else [] for x in some]
-            new = set().union(*cut).difference(self)
+            got = [list(map(self.get, chunks)) for chunks in cut]
+            gaps = [[k for k, v in enumerate(values) if v is None] for values in got]
+            new = {chunks[k] for chunks, empty in zip(cut, gaps, strict=True) for k in empty}
             new = {c[:-1] if c[-1] in MARKS and c[-2].isalpha() else c for c in new if len(c) > 2}
             self._learn([c for c in new if c not in self and c not in self.old and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace()])
-            for text, chunks in zip(some, cut, strict=True):
+            for text, chunks, values, empty in zip(some, cut, got, gaps, strict=True):
                 try:
-                    yield b"".join(map(self.__getitem__, chunks)) if chunks else self.ids(text)
+                    for k in empty:
+                        values[k] = self[chunks[k]]
+                    yield b"".join(values) if chunks else self.ids(text)
                 except _Inside:
                     yield self.ids(text)
 
@@ -155,7 +161,7 @@ class ByteBpe(dict):
                 self.lengths[k] = len(token)  # a byte is one character in the vocabulary
         for low in range(0, len(chunks), JOINED):
             some = chunks[low : low + JOINED]
-            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends, own = np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
             at = np.searchsorted(ends, own)
             if at[-1] >= len(ends) or (ends[at] != own).any():
