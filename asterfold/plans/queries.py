@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,11 +204,12 @@ def sphere_exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {PLACES}, radii as (select unnest([1800.0::double, 3600.0, 7200.0]) as radius),
   per as (select radius, c_custkey, count(*) as n_any, count(*) filter (s_acctbal > 0) as n_valid from near join radii on separation_arcsec <= radius group by all),
-  joined as (select radius, c_mktsegment, c_nationkey, coalesce(n_any, 0) as n_any, coalesce(n_valid, 0) as n_valid from cu cross join radii left join per using (radius, c_custkey))
+  joined as (select radius, c_mktsegment, 'n' || c_nationkey as c_nationkey, coalesce(n_any, 0) as n_any, coalesce(n_valid, 0) as n_valid from cu cross join radii left join per using (radius, c_custkey))
   select radius, c_mktsegment, c_nationkey, count(*) as sources, count(*) filter (n_any > 0) as any_match, count(*) filter (n_valid > 0) as valid_match, count(*) filter (n_valid > 1) as ambiguous,
     round(count(*) filter (n_valid > 0) / count(*), 6) as valid_fraction from joined group by grouping sets ((radius), (radius, c_mktsegment), (radius, c_nationkey))""")
 def match_summary_by_radius(spark: SparkSession, d: str) -> DataFrame:
     c, s, on = skies(spark, d)
+    c = c.withColumn("c_nationkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))
     near = sphere.pairs_within(c, s, RADIUS, on).select("c_custkey", "s_suppkey", "separation_arcsec", (F.col("s_acctbal") > 0).alias("is_valid"))
     return sphere.match_summary(c, near, [1800.0, 3600.0, 7200.0], "c_custkey", "s_suppkey", "c_mktsegment", "c_nationkey")
 
@@ -228,12 +230,12 @@ def quality_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {REASONS} select l_orderkey, l_linenumber, reason, cast(row_number() over w as integer) as candidate_rank,
-  case when reason = '' then cast(sum(case when reason = '' then 1 else 0 end) over (w rows unbounded preceding) as integer) end as valid_candidate_rank
+  case when reason = '' then cast(sum(case when reason = '' then 1 else 0 end) over (w rows unbounded preceding) as integer) else 0 end as valid_candidate_rank
   from reasons window w as (partition by l_orderkey order by l_extendedprice, l_linenumber)""")
 def candidate_ranks(spark: SparkSession, d: str) -> DataFrame:
     w = "over (partition by l_orderkey order by l_extendedprice, l_linenumber rows unbounded preceding)"
     rows = reasons(spark, d)
-    return rows.select("l_orderkey", "l_linenumber", "reason", F.expr(f"cast(row_number() {w} as int)").alias("candidate_rank"), F.expr(f"case when reason = '' then cast(sum(if(reason = '', 1, 0)) {w} as int) end").alias("valid_candidate_rank"))
+    return rows.select("l_orderkey", "l_linenumber", "reason", F.expr(f"cast(row_number() {w} as int)").alias("candidate_rank"), F.expr(f"case when reason = '' then cast(sum(if(reason = '', 1, 0)) {w} as int) else 0 end").alias("valid_candidate_rank"))
 
 
 @query(f"with {REASONS} select l_orderkey, l_linenumber, l_partkey from reasons where reason = '' qualify row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber) = 1")
@@ -304,8 +306,8 @@ def population_readout(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {JOINT}, noise as (select *, {FRACTION.format("'control|' || p_partkey")} as u from scored),
-  both as (select p_brand, rel, row_number() over (partition by p_brand order by score desc, p_partkey) as r, row_number() over (partition by p_brand order by u desc, p_partkey) as c from noise)
-  select p_brand, round(sum(rel) filter (r <= 10) / 10.0 - sum(rel) filter (c <= 10) / 10.0, 6) + 0.0 as precision_delta from both group by p_brand""")
+  two as (select p_brand, rel, row_number() over (partition by p_brand order by score desc, p_partkey) as r, row_number() over (partition by p_brand order by u desc, p_partkey) as c from noise)
+  select p_brand, round(sum(rel) filter (r <= 10) / 10.0 - sum(rel) filter (c <= 10) / 10.0, 6) + 0.0 as precision_delta from two group by p_brand""")
 def fusion_delta(spark: SparkSession, d: str) -> DataFrame:
     rows = joint(spark, d).withColumn("u", hashing.fraction("control", F.col("p_partkey")))
     both = retrieval.ranked(retrieval.ranked(rows, ["p_brand"], "p_partkey", "r"), ["p_brand"], "p_partkey", "c", "u")
@@ -471,11 +473,11 @@ def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return validation.fingerprint(table(spark, d, "orders"))
 
 
-@query("select doc_id, upper(text) as response from documents where length(trim(text)) > 0")
+@query("select doc_id, md5(text) as response from documents where length(trim(text)) > 0")
 def resumable_generation(spark: SparkSession, d: str) -> DataFrame:
     from asterfold.streaming import generate
 
-    rows = generate.generated(table(spark, d, "documents"), "doc_id", "text", str.upper)
+    rows = generate.generated(table(spark, d, "documents"), "doc_id", "text", lambda t: hashlib.md5(t.encode()).hexdigest())
     return rows.where("error is null").select("doc_id", "response")
 
 
