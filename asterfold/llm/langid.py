@@ -15,7 +15,7 @@ from asterfold.llm.common import as_text, texts_of
 DICTIONARY, DRAWN = 112_640, 160
 LEVEL = 6
 #: A text is rejected if the second-best language's size exceeds the best one's by less than this share.
-MARGIN = 0.004
+MARGIN = 0.001
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")

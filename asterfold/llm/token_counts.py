@@ -13,9 +13,9 @@ from asterfold.llm.common import as_text, texts_of, tokenizer_path
 
 #: Entries of the broadcast table: at most about 1 MB.
 TABLE = 50_000
-#: Texts, and their characters, from which the driver learns which pre-tokens are frequent. This bound decides only
-#: what is looked up fast, never a count.
-WARM_TEXTS, WARM_CHARS = 4_000, 16_000_000
+#: Texts, none longer than WARM_CHARS, from which the driver learns which pre-tokens are frequent: 20 MB at most. This
+#: bound decides only what is looked up fast, never a count.
+WARM_TEXTS, WARM_CHARS = 1_000, 20_000
 #: Entries of one generation of a worker's cache.
 MOST = 400_000
 
@@ -73,12 +73,9 @@ _COUNTS: dict[str, PieceCounts] = {}
 
 def frequent_pretokens(docs: DataFrame, text_col: str, path: str) -> tuple[str, bytes]:
     """The most frequent pre-tokens of a bounded number of texts in one string, and their counts as bytes."""
-    counts, chars = Counter(), 0
-    for row in docs.select(as_text(docs, text_col).alias("text")).where("text is not null").limit(WARM_TEXTS).toLocalIterator():
+    counts = Counter()
+    for row in docs.select(as_text(docs, text_col).alias("text")).where(f"length(text) <= {WARM_CHARS}").limit(WARM_TEXTS).collect():
         counts.update(row.text.replace("\n", " \n").split(" "))
-        chars += len(row.text)
-        if chars >= WARM_CHARS:
-            break
     pieces = PieceCounts(path)
     words = [w for w, _ in counts.most_common(TABLE) if w and "\0" not in w and len(w) <= 100] if pieces.separable else []
     return "\0".join(words), np.array([pieces[w] for w in words], "<u2").tobytes()
