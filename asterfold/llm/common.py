@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +28,7 @@ def tokenizer_path(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(root)
@@ -188,3 +188,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 
 def as_text(docs: DataFrame, text_col: str) -> Column:
     return docs[text_col].cast("string")
+
+
+def filter_texts(docs: DataFrame, test: Callable[[], Callable[[list[str | None]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text passes, all columns as they are; no shuffle. `test` makes a task's test of texts."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(at).cast(pa.string()).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, texts_of
+from asterfold.llm.common import as_text, filter_texts, texts_of
 
 #: Characters of a q-gram, edits a match may have as a share of the item's length, shortest item searched.
 Q, EDIT_RATE, LEAST_CHARS = 8, 0.1, 32
@@ -195,6 +196,19 @@ def _search(batch_texts: list[str | None], index: BenchmarkIndex) -> Iterator[tu
             held, size = [], 0
 
 
+def _shared_indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast[BenchmarkIndex]]:
+    """The benchmark's indexes as broadcasts, each of about BLOCK_CHARS characters; none for no searchable item."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t")).where("t is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
+        index = BenchmarkIndex([(r.id, r.t) for r in own.collect()])
+        if index.items:
+            yield spark.sparkContext.broadcast(index)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, start, end of the best match.
 
@@ -204,18 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text. An empty benchmark or table gives no rows. The benchmark is broadcast in blocks of BLOCK_CHARS characters.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t")).where("t is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-total // BLOCK_CHARS))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), as_text(docs, text_col).alias("text"))
     schema, out = "doc_id long, item_id long, distance int, start int, end int", None
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((x, pa.int32()) for x in ("distance", "start", "end"))])
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
-        index = BenchmarkIndex([(r.id, r.t) for r in own.collect()])
-        if not index.items:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+    for shared in _shared_indexes(benchmark, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -229,5 +235,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no benchmark item, all columns as they are; each row goes by its own text, whatever its id."""
+    for shared in _shared_indexes(benchmark, item_col, item_text_col):
+
+        def test(shared=shared):
+            def clean(texts: list[str | None]) -> list[bool]:
+                held = {found[0] for found in _search(texts, shared.value)}
+                return [k not in held for k in range(len(texts))]
+
+            return clean
+
+        docs = filter_texts(docs, test, text_col)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, texts_of
+from asterfold.llm.common import as_text, filter_texts, texts_of
 
 #: Bytes of a language's dictionary, and how many of its documents (lowest hashes of id) are drawn to fill it.
 DICTIONARY, DRAWN = 112_640, 160
@@ -86,29 +86,38 @@ def classify(text: str | None, langs: list[str], compress: list) -> tuple[str, f
     return langs[best], 0.5 + 0.5 * min(1.0, margin), margin >= MARGIN
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """lang_pred, score (0 to 1) and accepted of every whole text, beside the id or the `keep` columns.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, lang_pred, score (0 to 1) and accepted of every whole text.
 
     `und`, 0.0 and not accepted: null text, no letter, or no dictionary. A narrow margin is not accepted either, but
     keeps its nearest language. Null ids and repeated rows pass through.
     """
     spark = docs.sparkSession
     shared, key = spark.sparkContext.broadcast(dictionaries), hash(tuple(dictionaries.items()))
-    kept = list(keep) or [id_col]
-    rows = docs.select(*kept) if text_col in kept else docs.select(*kept, as_text(docs, text_col).alias(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields) + ", lang_pred string, score double, accepted boolean"
+    rows = docs.select(docs[id_col], as_text(docs, text_col).alias("__text"))
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, accepted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, compress = _compressors(key, shared.value)
         for batch in batches:
-            found = [classify(x, langs, compress) for x in texts_of(batch, text_col)]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+            found = [classify(x, langs, compress) for x in texts_of(batch, "__text")]
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns + new, [*kept, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], [id_col, "lang_pred", "score", "accepted"])
 
     return rows.mapInArrow(run, schema)
 
 
+def keep_accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows whose language is accepted, all columns as they are; null ids and repeated rows are judged like any other."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(dictionaries), hash(tuple(dictionaries.items()))
+
+    def test():
+        langs, compress = _compressors(key, shared.value)
+        return lambda texts: [classify(x, langs, compress)[2] for x in texts]
+
+    return filter_texts(docs, test, text_col)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))

@@ -78,21 +78,21 @@ def ownership(scanned: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFra
     return counted.withColumn("verdict", verdict)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, found.
 
     found holds every span (start, kind, end, verdict). A candidate that one owner alone holds is live, one that
     COPIED_OWNERS or more hold is a copied example. Base spans always stay; generic runs count only if they are live.
     Null texts are empty, null repositories and owners count as one, null ids pass through, repeated rows come back
-    as often. Owners default to the `source` column, like repositories.
+    as often. Owners default to the `source` column, like repositories. `carry` columns of docs come along.
     """
     repo = F.col("source") if repo is None else repo
     owner = repo if owner is None else owner
-    rows = candidates(docs, id_col, text_col, repo, owner)
+    rows = candidates(docs, id_col, text_col, repo, owner, carry)
     apart = lambda g: ~F.exists("__base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"]))
     scanned = staged(rows, "secrets").withColumn("__runs", F.filter("__runs", apart))
     counts = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
-    head = [F.col("__id").alias("doc_id"), counts(0).alias("n_assign"), counts(1).alias("n_access"), counts(2).alias("n_hex"), F.sha2(span_text(F.col("__base")), 256).alias("base_sha256")]
+    head = [*carry, F.col("__id").alias("doc_id"), counts(0).alias("n_assign"), counts(1).alias("n_access"), counts(2).alias("n_hex"), F.sha2(span_text(F.col("__base")), 256).alias("base_sha256")]
     clean = (F.size("__base") == 0) & (F.size("__runs") == 0)
     nothing = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, verdict: string>>)")
     without = scanned.where(clean).select(*head, nothing.alias("found"))
@@ -106,7 +106,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per = held.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("s.start", "s.kind", "s.end", "verdict"))).alias("found"))
     with_some = holding.join(per, "__key", "left").select(*head, F.coalesce("found", nothing).alias("found"))
     number = lambda v: F.size(F.filter("found", lambda s: s["verdict"] == v)).cast("long")
-    return without.unionByName(with_some).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text(F.col("found")).alias("spans"), number("live").alias("n_live"), number("copied").alias("n_copied"), "found")
+    return without.unionByName(with_some).select(*carry, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text(F.col("found")).alias("spans"), number("live").alias("n_live"), number("copied").alias("n_copied"), "found")
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
@@ -121,6 +121,16 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, ended)).otherwise(text)
 
 
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all found spans masked; other columns stay. Rows that share an id, null ids too, go by their own text."""
+    same = F.xxhash64(docs[text_col])
+    scanned = scan_secrets(docs.withColumn("__same", same), id_col, text_col, carry=("__same",)).where(F.size("found") > 0)
+    found = scanned.select(F.col("doc_id").alias("__id"), F.col("__same").alias("__text_key"), F.col("found").alias("__found")).dropDuplicates(["__id", "__text_key"])
+    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (same == F.col("__text_key")), "left")
+    text = F.when(F.col("__found").isNull(), docs[text_col]).otherwise(redact(docs[text_col], F.col("__found")))
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 

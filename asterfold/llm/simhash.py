@@ -37,15 +37,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every whole text, with the `carry` longs of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x, width) for x in texts_of(batch)), "u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found.view("i8"))], ["doc_id", *carry, "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), as_text(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), as_text(docs, text_col).alias("text"), *carry).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")))
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -209,6 +209,16 @@ def components(links: DataFrame) -> DataFrame:
         edges = now
 
 
+def _named(rows: DataFrame, errors: int, unit: int) -> DataFrame:
+    """fp, root (one fingerprint a component) and component_id (its smallest doc_id) of the distinct fingerprints of rows."""
+    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(link_fingerprints(classes.select("fp"), errors, unit))
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = classes.join(whole, classes.fp == whole.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    return salted_join(linked.select("fp", "root"), named, ["root"], "inner", F.col("fp"))
+
+
 def near_duplicates(docs: DataFrame, errors: int = 2, width: int = 3, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs.
 
@@ -216,15 +226,33 @@ def near_duplicates(docs: DataFrame, errors: int = 2, width: int = 3, unit: int
     their component but never name it (null only where no member has an id); repeated rows come back as often.
     """
     rows = staged(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(link_fingerprints(classes.select("fp"), errors, unit))
-    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = classes.join(whole, classes.fp == whole.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = salted_join(linked.select("fp", "root"), named, ["root"], "inner", F.col("fp")).select("fp", "component_id")
+    named = _named(rows, errors, unit).select("fp", "component_id")
     out = salted_join(rows, named, ["fp"], "inner", F.coalesce("doc_id", F.lit(-1)))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def distinct_documents(docs: DataFrame, errors: int = 2, width: int = 3, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, all columns as they are.
+
+    The row with the smallest id stays, null ids last; of rows that share it the one with the smallest hash of its
+    text, and of rows alike in both the one with the smallest hash of all its columns.
+    """
+    same = F.xxhash64(as_text(docs, text_col))
+    rows = staged(fingerprints(docs.withColumn("__same", same), width, id_col, text_col, ("__same",)), "fingerprints")
+    rooted = salted_join(rows, _named(rows, errors, unit).select("fp", "root"), ["fp"], "inner", F.coalesce("doc_id", F.lit(-1)))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__same")).alias("k"))
+    first = staged(first.select(F.col("k.doc_id").alias("__id"), F.col("k.__same").alias("__key")), "first")
+    mine = lambda k: docs[id_col].cast("long").eqNullSafe(k["__id"]) & (same == k["__key"])
+    repeated = staged(rows.groupBy(F.col("doc_id").alias("__id"), F.col("__same").alias("__key")).count().where("count > 1").drop("count"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(first, mine(first), "left_semi")
+    again = first.join(repeated, first["__id"].eqNullSafe(repeated["__id"]) & (first["__key"] == repeated["__key"]), "left_semi")
+    once = first.join(repeated, first["__id"].eqNullSafe(repeated["__id"]) & (first["__key"] == repeated["__key"]), "left_anti")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    some = docs.join(again, mine(again), "left_semi").groupBy(docs[id_col].alias("__id"), same.alias("__key"))
+    some = some.agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row")).select("__row.*")
+    return docs.join(once, mine(once), "left_semi").unionByName(some)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -11,30 +11,25 @@ from asterfold.llm.common import staged, tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the classifier rejects."""
-    dictionaries = langid.learn_dictionaries(docs, F.lit(True))
-    found = langid.identify(docs, dictionaries, keep=tuple(docs.columns))
-    return found.where("accepted").select(*docs.columns)
+    return langid.keep_accepted(docs, langid.learn_dictionaries(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate component its smallest doc_id."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs.doc_id == F.col("__id"), "left_semi")
+    """Keeps one document of each near-duplicate component, that of the smallest doc_id."""
+    return simhash.distinct_documents(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs.doc_id == F.col("__id"), "left_anti")
+    return decontam.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; n_chars follows."""
-    found = secrets.scan_secrets(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), "found").dropDuplicates(["__id"])
-    joined = docs.join(found, docs.doc_id == F.col("__id"), "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("found")))
-    masked = joined.withColumn("text", text)
-    return masked.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    """Masks secrets in the texts; n_chars follows where a text changes."""
+    masked = secrets.mask_secrets(docs.withColumn("__before", F.xxhash64("text")))
+    changed = F.xxhash64("text") != F.col("__before")
+    n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
