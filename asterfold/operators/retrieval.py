@@ -14,8 +14,12 @@ QUERY_BLOCK = 2_000
 def score_blocks(queries: DataFrame, candidates: DataFrame, query_id: str, query_vector: str, vector: str, block: int = QUERY_BLOCK) -> DataFrame:
     """Every candidate with every query's dot product, rounded so that engines agree on ties.
 
-    The stated queries are broadcast in blocks of bounded size; candidates are never shuffled to be scored.
+    The stated queries are broadcast in blocks of bounded size; candidates are never shuffled to be scored,
+    but where they have fewer partitions than there are cores (a small file) they are dealt to all.
     """
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    if candidates.rdd.getNumPartitions() < cores:
+        candidates = candidates.repartition(cores)
     n = queries.count()
     blocks, out = max(1, -(-n // block)), None
     for k in range(blocks):
