@@ -22,7 +22,8 @@ def instructed(instruction: str, text: Column) -> Column:
 
 
 def without_trailing(c: Column, tokens: list[str]) -> Column:
-    return F.regexp_replace(c, rf"(\s*({'|'.join(map(re.escape, tokens))}))+\s*$", "")
+    """The text without the tokens at its end, in any number and order, and without white space there."""
+    return F.regexp_replace(c, rf"(?:\s*(?:{'|'.join(map(re.escape, tokens))}))*\s*$", "")
 
 
 def place_key(ra: Column, dec: Column) -> Column:

@@ -61,13 +61,15 @@ def resampled(values: Column, wave: Column, grid: Column) -> Column:
 
 
 def continuum_log(flux: Column, window: int, floor: float = 1e-3) -> Column:
-    """log of flux over its sliding median (edges repeat the nearest value), ratios floored."""
+    """log of flux over its sliding median (edges repeat the nearest value), ratios floored; 0 where the median isn't positive."""
+    if window % 2 == 0:
+        raise ValueError("the window must be odd")
     half = window // 2
 
     def ratio(x: Column, k: Column) -> Column:
-        around = F.transform(F.sequence(k - half, k + (window - 1 - half)), lambda j: F.get(flux, F.least(F.greatest(j, F.lit(0)), F.size(flux) - 1)).cast("double"))
-        ordered = F.array_sort(around)
-        middle = (F.get(ordered, F.lit((window - 1) // 2)) + F.get(ordered, F.lit(window // 2))) / 2
-        return F.log(F.greatest(F.coalesce(F.try_divide(x.cast("double"), middle), F.lit(floor)), F.lit(floor)))
+        around = F.transform(F.sequence(k - half, k + half), lambda j: F.get(flux, F.least(F.greatest(j, F.lit(0)), F.size(flux) - 1)).cast("double"))
+        middle = F.get(F.array_sort(around), F.lit(half))
+        share = F.when(middle > 0, F.nanvl(x.cast("double") / middle, F.lit(1.0))).otherwise(1.0)
+        return F.log(F.greatest(share, F.lit(floor)))
 
     return F.transform(flux, ratio)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import text
-from asterfold.operators.stats import r6
+from asterfold.operators import validation
+from asterfold.operators.stats import bootstrap, r6
 
 
 def path_rows(human: DataFrame, judge: DataFrame, key: str, human_tree: str, judge_tree: str) -> DataFrame:
@@ -34,3 +35,15 @@ def calibration(expected: DataFrame, got: DataFrame, key: str, expected_map: str
     rows = answer_rows(expected, got, key, expected_map, got_map)
     per = rows.groupBy(key).agg(F.bool_and("correct").alias("exact"), F.avg(F.col("correct").cast("double")).alias("a"), F.count("*").alias("n"))
     return per.agg(r6(F.avg(F.col("exact").cast("double"))).alias("row_accuracy"), r6(F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("answer_accuracy"))
+
+
+def paired_delta(a: DataFrame, b: DataFrame, key: str, samples: int, draw: int) -> DataFrame:
+    """Accuracy of a's answer rows less that of b's, with an interval over resampled objects.
+
+    Both sides must hold the same (key, question) rows with the same gold answers.
+    """
+    side = lambda df, n: df.select(key, "question", F.col("gold").alias(f"__gold_{n}"), F.col("correct").cast("double").alias(f"__{n}"))
+    both = validation.paired(side(a, "a"), side(b, "b"), [key, "question"])
+    validation.require(both, {"on one side only": F.col("side") != "both", "unlike gold": (F.col("side") == "both") & ~F.col("__gold_a").eqNullSafe(F.col("__gold_b"))})
+    objects = both.groupBy(key).agg(F.sum(F.col("__a") - F.col("__b")).alias("total"), F.count("*").alias("weight"))
+    return bootstrap(objects, key, "total", "weight", samples, draw)

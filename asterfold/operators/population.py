@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
+from asterfold.operators import validation
 
 
 def combine_exclusions(*sets: DataFrame, key: str = "object_id") -> DataFrame:
@@ -63,3 +64,12 @@ def common_ids(*manifests: DataFrame, split: str | None = None, key: str = "obje
 def resolve(rows: DataFrame, done: DataFrame, key: str = "object_id") -> DataFrame:
     """Rows whose key is not done yet."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+def normalize_source(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """object_id, survey, ra, dec, source_row_id of a raw catalog; places off the sphere, null ids and repeated ids raise."""
+    kinds = {"object_id": "string", "survey": "string", "ra": "double", "dec": "double", "source_row_id": "long"}
+    out = rows.select(*[columns[c].cast(kind).alias(c) for c, kind in kinds.items()])
+    inside = lambda c, lo, hi: F.coalesce((F.col(c) >= lo) & hi, F.lit(False))
+    rules = {"ra": ~inside("ra", 0, F.col("ra") < 360), "dec": ~inside("dec", -90, F.col("dec") <= 90), "no id": F.col("object_id").isNull()}
+    return validation.require_unique(validation.require(out, rules), "object_id")

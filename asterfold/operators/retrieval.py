@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import vectors
+from asterfold.operators import validation
 
 #: Vectors of a block of queries that is broadcast against all candidates.
 QUERY_BLOCK = 2_000
@@ -73,3 +74,17 @@ def vote(neighbours: DataFrame, by: list[str], label: str) -> DataFrame:
     counts = neighbours.groupBy(*by, label).agg(F.count("*").alias("n"))
     best = counts.groupBy(*by).agg(F.max(F.struct("n", (-F.col(label)).alias("m"))).alias("b"))
     return best.select(*by, (-F.col("b.m")).alias("prediction"))
+
+
+def assembled(wanted: DataFrame, base: DataFrame, new: DataFrame, key: str, vector: str) -> DataFrame:
+    """The vectors of the wanted keys from two caches that share no key; a wanted key without a vector raises."""
+    validation.no_overlap(base, new, key)
+    every = base.select(key, vector).unionByName(new.select(key, vector))
+    return validation.require(wanted.join(every, key, "left"), {"no vector": F.col(vector).isNull()})
+
+
+def query_targets(rows: DataFrame, queries: list[tuple[str, float, float, float]], value: Column, strength: Column) -> DataFrame:
+    """rows repeated for each query (name, low, high, least strength) whose interval and strength they meet."""
+    meets = F.filter(F.array(*[F.struct(F.lit(n).alias("query"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(float(s)).alias("least")) for n, lo, hi, s in queries]),
+                     lambda q: (value >= q["lo"]) & (value < q["hi"]) & (strength >= q["least"]))
+    return rows.select("*", F.explode(F.transform(meets, lambda q: q["query"])).alias("query"))

@@ -101,3 +101,50 @@ def collapse_check(df: DataFrame, vector: str, least_std: float = 1e-4, most_sim
     dims = df.select(F.posexplode(vector).alias("d", "x")).withColumn("x", F.col("x").cast("double")).groupBy("d").agg(F.stddev_pop("x").alias("s"), F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     out = dims.agg(F.avg("s").alias("std"), F.try_divide(F.sum(F.col("t") * F.col("t")) - F.sum("q"), F.max("n") * (F.max("n") - 1)).alias("similarity"))
     return out.select(r6(F.col("std")).alias("mean_std"), r6(F.col("similarity")).alias("mean_similarity"), ((F.col("std") > least_std) & (F.col("similarity") < most_similarity)).alias("noncollapsed"))
+
+
+def seed_metrics(df: DataFrame, by: list[str], seed: str, predicted: str, true: str, threshold: float) -> DataFrame:
+    """regression() per seed, then the mean and population std over the seeds of each metric."""
+    per = regression(df, [*by, seed], predicted, true, threshold)
+    out = [f(F.col(m)) for m in ("mae", "r2", "outlier_fraction") for f in (lambda c, m=m: r6(F.avg(c)).alias(f"{m}_mean"), lambda c, m=m: r6(F.stddev_pop(c)).alias(f"{m}_std"))]
+    return per.groupBy(*by).agg(F.count("*").alias("seeds"), *out)
+
+
+def pooled(reused: DataFrame, new: DataFrame, by: list[str], seed: str, value: str) -> DataFrame:
+    """summary() over the seeds of both tables; a seed that both have counts once, as it is in `reused`."""
+    fresh = new.join(reused.select(*by, seed), [*by, seed], "left_anti")
+    return summary(reused.select(*by, seed, value).unionByName(fresh.select(*by, seed, value)), by, value)
+
+
+def paired_errors(df: DataFrame, key: str, seed: str, condition: str, base: str, other: str, predicted: str, true: str, samples: int, draw: int) -> DataFrame:
+    """By how much `other` errs less than `base` on the same objects, per scale, with an interval and a decision.
+
+    Errors are absolute or over 1 + true. An object's difference is its mean over the seeds that have both conditions.
+    """
+    error = F.abs(F.col(predicted) - F.col(true))
+    scales = F.explode(F.array(F.struct(F.lit("absolute").alias("scale"), error.alias("error")), F.struct(F.lit("one_plus_z").alias("scale"), (error / (1 + F.col(true))).alias("error"))))
+    side = lambda c: F.avg(F.when(F.col(condition) == c, F.col("__scaled.error")))
+    per = df.select(key, seed, condition, scales.alias("__scaled")).groupBy(key, seed, F.col("__scaled.scale").alias("scale")).agg((side(base) - side(other)).alias("less"))
+    objects = per.where("less is not null").groupBy(key, "scale").agg(F.avg("less").alias("total"), F.lit(1).alias("weight"))
+    return bootstrap(objects, key, "total", "weight", samples, draw, by=["scale"]).withColumn("decision", decision(F.col("ci_low"), F.col("ci_high")))
+
+
+def passes_cap(df: DataFrame, by: list[str], order: str, value: str, cap: float) -> DataFrame:
+    """Of each group the first row, by `order`, at which the running total of value is above the cap."""
+    spent = F.expr(f"sum({value}) over (partition by {', '.join(by)} order by {order} rows unbounded preceding)")
+    over = df.withColumn("running", spent).where(F.col("running") > cap)
+    return over.groupBy(*by).agg(F.min_by(F.struct(order, "running"), order).alias("first")).select(*by, f"first.{order}", "first.running")
+
+
+def at_cap(df: DataFrame, by: list[str], cap: int) -> DataFrame:
+    """Groups with `cap` rows or more: a k-nearest search may have cut their lists short."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= cap)
+
+
+def grid_counts(df: DataFrame, dimensions: dict[str, list]) -> DataFrame:
+    """Rows of every combination of the given values, empty ones too."""
+    cells = df.sparkSession.range(1).drop("id")
+    for name, values in dimensions.items():
+        cells = cells.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    counted = df.groupBy(*dimensions).agg(F.count("*").alias("n"))
+    return cells.join(counted, list(dimensions), "left").fillna(0, ["n"])
