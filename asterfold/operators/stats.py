@@ -141,10 +141,10 @@ def at_cap(df: DataFrame, by: list[str], cap: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= cap)
 
 
-def grid_counts(df: DataFrame, dimensions: dict[str, list]) -> DataFrame:
-    """Rows of every combination of the given values, empty ones too."""
+def grid_counts(df: DataFrame, dimensions: dict[str, list], count: str = "n") -> DataFrame:
+    """Rows of every combination of the given values, empty ones too, as column `count`."""
     cells = df.sparkSession.range(1).drop("id")
     for name, values in dimensions.items():
         cells = cells.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
-    counted = df.groupBy(*dimensions).agg(F.count("*").alias("n"))
-    return cells.join(counted, list(dimensions), "left").fillna(0, ["n"])
+    counted = df.groupBy(*dimensions).agg(F.count("*").alias(count))
+    return cells.join(counted, list(dimensions), "left").fillna(0, [count])

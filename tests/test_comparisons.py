@@ -87,7 +87,7 @@ def test_caps_and_grids(spark):
     df = spark.createDataFrame([("u", 1, 2.0), ("u", 2, 2.0), ("u", 3, 2.0), ("w", 1, 1.0)], "k string, n int, v double")
     assert rows(stats.passes_cap(df, ["k"], "n", "v", 3.0)) == [("u", 2, 4.0)]
     assert rows(stats.at_cap(df, ["k"], 3)) == [("u", 3)]
-    assert rows(stats.grid_counts(df, {"k": ["u", "z"], "n": [1, 2]})) == [("u", 1, 1), ("u", 2, 1), ("z", 1, 0), ("z", 2, 0)]
+    assert rows(stats.grid_counts(df, {"k": ["u", "z"], "n": [1, 2]}, "rows")) == [("u", 1, 1), ("u", 2, 1), ("z", 1, 0), ("z", 2, 0)]
 
 
 def test_guards(spark):
