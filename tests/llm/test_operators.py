@@ -212,6 +212,56 @@ def test_op6_spans(spark, odd):
     sentence_spans.repeated_ranges(odd).collect()
 
 
+def covered_by_all_runs(texts):
+    """Sentences to remove, by document: those in any run that counts and was held before (ids are positions)."""
+    found = [[" ".join(w) for *_, w in sentence_spans.sentences(t)] for t in texts]
+    out, held = {}, set()
+    for doc, said in enumerate(found):
+        new = set()
+        for length in range(1, len(said) + 1):
+            for first in range(len(said) - length + 1):
+                run = tuple(said[first : first + length])
+                words = sum(len(x.split()) for x in run)
+                if words >= 20 and length >= 2 or words >= 25:
+                    if run in held or run in new:
+                        out.setdefault(doc, set()).update(range(first, first + length))
+                    new.add(run)
+        held |= new
+    return out
+
+
+def covered(texts, rows):
+    out = {}
+    for r in rows:
+        own = sentence_spans.sentences(texts[r.doc_id])
+        out.setdefault(r.doc_id, set()).update(k for k, (start, end, _) in enumerate(own) if r.start <= start and end <= r.end)
+    return out
+
+
+@pytest.mark.parametrize("lengths", [(15, 10, 5), (30, 6), (6, 30), (5, 10, 15), (9, 3, 9), (24, 2, 30, 1)])
+def test_op6_removes_whole_repeated_runs(spark, lengths):
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + ". "
+    passage = "".join(say(f"s{k}w", n) for k, n in enumerate(lengths))
+    texts = [say(f"a{d}", 12) + passage + say(f"b{d}", 12) for d in range(2)]
+    rows = sentence_spans.repeated_ranges(docs(spark, texts)).collect()
+    assert covered(texts, rows) == covered_by_all_runs(texts) == {1: set(range(1, len(lengths) + 1))}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_op6_matches_all_runs(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sentence_spans, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(6)
+    pool = [" ".join(f"p{k}x{j}" for j in range(rng.choice([1, 2, 4, 6, 9, 12, 15, 19, 24, 25, 31]))) + "." for k in range(60)]
+    texts = []
+    for d in range(60):
+        parts = []
+        for part in range(4):
+            low = rng.randrange(len(pool))
+            parts += pool[low : low + rng.randint(1, 6)] + [f"own{d}u{part} " * rng.randint(1, 14) + "."]
+        texts.append(" ".join(parts))
+    assert covered(texts, sentence_spans.repeated_ranges(docs(spark, texts)).collect()) == covered_by_all_runs(texts)
+
+
 def test_op7_languages(spark, odd):
     rng = random.Random(1)
     sounds = {"aa": ["ba", "lo", "mi"], "bb": ["krz", "ych", "sto"], "cc": ["ñe", "ción", "que"]}
