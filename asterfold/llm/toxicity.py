@@ -21,8 +21,8 @@ BUCKETS = 1 << 20
 PREFIX = 4
 #: Labelled rows of either class that the fit takes at most, by the hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 6_000, 12_000
-#: A bucket counts if as many fit rows have it and its log-odds are so many standard errors from none; at most MOST_TERMS.
-LEAST_ROWS, LEAST_Z, MOST_TERMS = 5, 4.0, 2048
+#: The z-score from which a term counts in full, and the least that any term counts.
+FULL_Z, LEAST_VALUE = 4.0, 0.1
 FACTORS, EPOCHS, RATE, DECAY, BATCH = 8, 30, 0.1, 1e-4, 256
 
 _WORD = re.compile(r"\w+")
@@ -64,22 +64,28 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.logit(self.positions(term_buckets(text))), -30, 30))))
 
 
-def select_terms(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Sorted buckets whose presence goes with the label, by the z-score of their log-odds."""
-    toxic, clean = (np.zeros(BUCKETS, "int32") for _ in range(2))
-    for x, y in zip(rows, label, strict=True):
-        (toxic if y else clean)[x] += 1
-    n1, n0 = int(label.sum()), int(len(label) - label.sum())
+def weigh_terms(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of the rows, sorted, and the value of each as an input: 1 from FULL_Z standard errors of log-odds on.
+
+    Below, the value falls with the square of the z-score to LEAST_VALUE, so that no term is lost and the many without
+    a signal of their own don't learn the rows by heart.
+    """
+    terms, at = np.unique(np.concatenate(rows), return_inverse=True)
+    toxic = np.bincount(at, np.repeat(label, [len(x) for x in rows]), len(terms))
+    clean = np.bincount(at, minlength=len(terms)) - toxic
+    n1, n0 = label.sum(), len(label) - label.sum()
     a, b = toxic + 0.5, clean + 0.5
     odds = np.log(a / (n1 - toxic + 0.5)) - np.log(b / (n0 - clean + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / a + 1 / b + 1 / (n1 - toxic + 0.5) + 1 / (n0 - clean + 0.5))
-    z[(toxic + clean) < LEAST_ROWS] = 0
-    best = np.lexsort((np.arange(BUCKETS), -z))[:MOST_TERMS]
-    return np.sort(best[z[best] >= LEAST_Z])
+    z = odds / np.sqrt(1 / a + 1 / b + 1 / (n1 - toxic + 0.5) + 1 / (n0 - clean + 0.5))
+    return terms.astype("int64"), np.clip((z / FULL_Z) ** 2, LEAST_VALUE, 1)
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """Mini-batch AdaGrad on the log loss with weight decay. Without both classes: a constant."""
+    """Mini-batch AdaGrad on the log loss over every bucket of the rows. Without both classes: a constant.
+
+    A step reads and writes its own rows' terms only; the weight decay of the steps since a term's last one is made up
+    for when the term comes again, and at the end.
+    """
     rng = np.random.default_rng(seed)
     label = np.asarray(label, "float64")
     rate = (label.sum() + 1) / (len(label) + 2) if len(label) else 0.0
@@ -87,35 +93,55 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Factorizati
     model = FactorizationMachine(np.empty(0, "int64"), bias, np.empty(0), np.empty((0, FACTORS)))
     if not label.any() or label.all():
         return model
-    model.terms = select_terms(rows, label)
+    model.terms, scale = weigh_terms(rows, label)
     n = len(model.terms)
     model.weights, model.factors = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
-    at = [model.positions(list(x)) for x in rows]
+    at = [np.searchsorted(model.terms, x) for x in rows]
     gw, gv, gb = np.full(n, 1e-4), np.full((n, FACTORS), 1e-4), 1e-4
+    decayed, where, step = np.zeros(n, "int64"), np.empty(n, "int64"), 0
+
+    def decay(own: np.ndarray) -> None:
+        missed = step - decayed[own]
+        model.weights[own] *= (1 - RATE * DECAY / np.sqrt(gw[own])) ** missed
+        model.factors[own] *= (1 - RATE * DECAY / np.sqrt(gv[own])) ** missed[:, None]
+        decayed[own] = step
+
     for _ in range(EPOCHS):
         order = rng.permutation(len(at))
         for low in range(0, len(order), BATCH):
             own = order[low : low + BATCH]
-            lens = np.array([len(at[k]) for k in own])
-            flat = np.concatenate([at[k] for k in own]) if lens.sum() else np.empty(0, "int64")
-            doc = np.repeat(np.arange(len(own)), lens)
-            v = model.factors[flat]
-            sums, squares, lin = np.zeros((len(own), FACTORS)), np.zeros(len(own)), np.zeros(len(own))
-            np.add.at(sums, doc, v)
-            np.add.at(squares, doc, (v * v).sum(axis=1))
-            np.add.at(lin, doc, model.weights[flat])
-            logit = model.bias + lin + 0.5 * ((sums * sums).sum(axis=1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[own]
-            dw, dv = DECAY * model.weights, DECAY * model.factors
-            np.add.at(dw, flat, error[doc] / len(own))
-            np.add.at(dv, flat, (error[doc] / len(own))[:, None] * (sums[doc] - v))
-            db = error.mean()
-            gw += dw * dw
-            gv += dv * dv
+            flat = np.concatenate([at[k] for k in own])
+            doc = np.repeat(np.arange(len(own)), [len(at[k]) for k in own])
+            met = np.zeros(n, bool)
+            met[flat] = True
+            terms = np.flatnonzero(met)
+            where[terms] = np.arange(len(terms))
+            place = where[flat]
+            decay(terms)
+            x = scale[terms]
+            w, v = x * model.weights[terms], x[:, None] * model.factors[terms]
+            squares = (v * v).sum(axis=1)
+            per_doc = lambda of: np.bincount(doc, of[place], len(own))
+            sums = np.stack([per_doc(v[:, k]) for k in range(FACTORS)], axis=1)
+            logit = model.bias + per_doc(w) + 0.5 * ((sums * sums).sum(axis=1) - per_doc(squares))
+            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[own]) / len(own)
+            per_term = lambda of: np.bincount(place, of[doc], len(terms))
+            slope = per_term(error)
+            dw = DECAY * model.weights[terms] + x * slope
+            pairs = np.stack([per_term(error * sums[:, k]) for k in range(FACTORS)], axis=1) - v * slope[:, None]
+            dv = DECAY * model.factors[terms] + x[:, None] * pairs
+            db = error.sum()
+            gw[terms] += dw * dw
+            gv[terms] += dv * dv
             gb += db * db
-            model.weights -= RATE * dw / np.sqrt(gw)
-            model.factors -= RATE * dv / np.sqrt(gv)
+            model.weights[terms] -= RATE * dw / np.sqrt(gw[terms])
+            model.factors[terms] -= RATE * dv / np.sqrt(gv[terms])
             model.bias -= RATE * db / np.sqrt(gb)
+            step += 1
+            decayed[terms] = step
+    decay(np.arange(n))
+    model.weights *= scale
+    model.factors *= scale[:, None]
     return model
 
 
