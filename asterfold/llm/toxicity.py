@@ -149,6 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     """Fits on at most TOXIC_ROWS and CLEAN_ROWS labelled rows; tasks turn their texts into buckets first.
 
     An id with several labels counts as toxic if any says so. Null labels, and ids without a document, don't count.
+    The bias is shifted from the drawn classes' odds to those of all labels, so a score doesn't hang on the caps.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).alias("y"))
     order = [F.xxhash64(id_col), F.col(id_col)]
@@ -162,7 +163,12 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
     got = rows.mapInArrow(run, "id long, buckets binary, y int").dropDuplicates(["id"]).collect()
     got.sort(key=lambda r: r.id)
-    return fit([np.sort(np.frombuffer(r.buckets, "<i4")) for r in got], np.array([r.y for r in got], "int64"))
+    model = fit([np.sort(np.frombuffer(r.buckets, "<i4")) for r in got], np.array([r.y for r in got], "int64"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if toxic and clean:
+        model.bias += float(np.log(toxic / clean) - np.log(min(toxic, TOXIC_ROWS) / min(clean, CLEAN_ROWS)))
+    return model
 
 
 def score_texts(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
