@@ -14,8 +14,9 @@ from asterfold.llm.common import as_text, filter_texts, texts_of
 #: Bytes of a language's dictionary, and how many of its documents (lowest hashes of id) are drawn to fill it.
 DICTIONARY, DRAWN = 112_640, 160
 LEVEL = 6
-#: A text is rejected if the second-best language's size exceeds the best one's by less than this share.
-MARGIN = 0.001
+#: A text is rejected if the second-best language's size exceeds the best one's by less than so many bytes and this
+#: share of it. Chosen on held-out labelled rows together with random texts (README).
+MARGIN_BYTES, MARGIN = 3, 0.01
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -82,8 +83,8 @@ def classify(text: str | None, langs: list[str], compress: list) -> tuple[str, f
     if len(sizes) == 1:
         return langs[best], 1.0, True
     second = min(s for k, s in enumerate(sizes) if k != best)
-    margin = (second - sizes[best]) / max(sizes[best], 1)
-    return langs[best], 0.5 + 0.5 * min(1.0, margin), margin >= MARGIN
+    more = second - sizes[best]
+    return langs[best], 0.5 + 0.5 * min(1.0, more / max(sizes[best], 1)), more >= MARGIN_BYTES + MARGIN * sizes[best]
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -277,6 +277,16 @@ def test_op7_languages(spark, odd):
     assert und == {"und"} and langid.identify(odd, {}).where("accepted").count() == 0
 
 
+def test_op7_rejects_texts_of_no_learned_language():
+    rng = random.Random(5)
+    sounds = {"aa": ["ba", "lo", "mi"], "bb": ["krz", "ych", "sto"], "cc": ["ñe", "ción", "que"]}
+    make = lambda lang: " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(30))
+    known = langid._compressors(-1, {lang: "\n".join(make(lang) for _ in range(100)).encode() for lang in sounds})
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=rng.choice([20, 60, 200, 600]))) for _ in range(300)]
+    assert np.mean([langid.classify(x, *known)[2] for x in junk]) < 0.05
+    assert np.mean([langid.classify(make(lang), *known)[2] for lang in sounds for _ in range(50)]) > 0.98
+
+
 def test_op10_learns_pairs(spark, odd):
     rng = random.Random(8)
     rows, label = [], []
