@@ -247,9 +247,24 @@ def test_op6_removes_whole_repeated_runs(spark, lengths):
     assert covered(texts, rows) == covered_by_all_runs(texts) == {1: set(range(1, len(lengths) + 1))}
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_op6_matches_all_runs(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(sentence_spans, "BROADCAST_ROWS", broadcast)
+def test_op6_null_and_shared_ids_short_texts_and_refrains(spark):
+    passage = " ".join(f"common{k} said{k} here{k}." for k in range(10))
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(30)) + ".\n"
+    refrain = "la la la. " * 20
+    texts = [own(1) + passage, own(2) + passage, own(3) + passage, own(4) + passage, "Buy cheap pills now.", "buy cheap  pills now.", own(5) + refrain, own(6) + passage, own(6) + passage]
+    df = docs(spark, texts, [None, None, 7, 7, 8, 9, 10, 11, 11])
+    rows = sentence_spans.repeated_ranges(df, within=False).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.first_doc_id) for r in rows) == [(False, 0, 7), (False, 0, 7), (True, 7, 7), (True, 9, 8), (True, 11, 7)]
+    alone = sentence_spans.repeated_ranges(docs(spark, [passage, own(1) + passage, own(1) + passage], [None] * 3)).collect()
+    assert len(alone) == 2 and {(r.doc_id, r.first_doc_id) for r in alone} == {(None, None)}
+    assert {r.doc_id for r in sentence_spans.repeated_ranges(df).collect()} == {None, 7, 9, 10, 11}
+    cut = [r.text for r in sentence_spans.remove_ranges(df, sentence_spans.repeated_ranges(df, within=False)).where("doc_id = 7").collect()]
+    assert sorted(passage in x for x in cut) == [False, True]
+
+
+@pytest.mark.parametrize("hot", [1_000, 2])
+def test_op6_matches_all_runs(spark, monkeypatch, hot):
+    monkeypatch.setattr(sentence_spans, "HOT_LEAST", hot)
     rng = random.Random(6)
     pool = [" ".join(f"p{k}x{j}" for j in range(rng.choice([1, 2, 4, 6, 9, 12, 15, 19, 24, 25, 31]))) + "." for k in range(60)]
     texts = []
