@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +68,8 @@ WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x2D, 0x200A, 0
 
 #: A mark behind a letter is a pre-token of its own.
 MARKS = ",.;:!?"
-#: Texts whose chunks are looked up together, and new chunks that the library encodes in one string.
-TOGETHER, JOINED = 256, 250
+#: Bytes of text whose chunks are looked up together, and new chunks that the library encodes in one string.
+SLICE_BYTES, JOINED = 1 << 24, 250
 
 
 class _Inside(LookupError):
@@ -77,9 +80,10 @@ class ByteBpe(dict):
     """Token ids of whole texts through a worker's cache of chunks.
 
     The byte-level pre-tokenizer never joins a visible character with white space that follows it, so a text's ids
-    are those of its chunks (white space, then visible characters) in a row. Chunks repeat; the library encodes only
-    those that the cache lacks, many in one string. The dictionary maps a chunk to its ids as little-endian bytes. Two
-    generations of at most `most` chunks each bound the memory.
+    are those of its chunks (white space, then visible characters) in a row. Chunks repeat: Arrow numbers the distinct
+    ones of a slice of texts, each is looked up once, and the library encodes only those that the cache lacks, many in
+    one string. The dictionary maps a chunk to its ids as little-endian bytes. Two generations of at most `most` chunks
+    each bound the memory.
     """
 
     def __init__(self, path: str, width: int = 4, most: int = 450_000):
@@ -95,8 +99,6 @@ class ByteBpe(dict):
         self.by_pattern = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 
     def encoded(self, text: str) -> bytes:
-        import numpy as np
-
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -106,15 +108,12 @@ class ByteBpe(dict):
             if last.isspace():
                 raise _Inside
             if len(chunk) > 2 and last in MARKS and chunk[-2].isalpha():
-                found = self[chunk[:-1]] + self[last]
-            else:
-                found = self.encoded(chunk) if chunk else b""
+                return self[chunk[:-1]] + self[last]  # put together each time, which leaves room for others
+            found = self.encoded(chunk) if chunk else b""
         return self._keep(chunk, found)
 
     def _keep(self, chunk: str, found: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+        self._room()
         self[chunk] = found
         return found
 
@@ -133,23 +132,72 @@ class ByteBpe(dict):
                 pass
         return b"".join(self._white(x) if x[-1].isspace() or "\0" in x else self[x] for x in self.by_pattern(text))
 
-    def all_ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """ids() of each text; the new chunks of TOGETHER texts are encoded first."""
-        for low in range(0, len(texts), TOGETHER):
-            some = texts[low : low + TOGETHER]
-            cut = [x.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if x and "\0" not in x else [] for x in some]
-            got = [list(map(self.get, chunks)) for chunks in cut]
-            gaps = [[k for k, v in enumerate(values) if v is None] for values in got]
-            new = {chunks[k] for chunks, empty in zip(cut, gaps, strict=True) for k in empty}
-            new = {c[:-1] if c[-1] in MARKS and c[-2].isalpha() else c for c in new if len(c) > 2}
-            self._learn([c for c in new if c not in self and c not in self.old and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace()])
-            for text, chunks, values, empty in zip(some, cut, got, gaps, strict=True):
-                try:
-                    for k in empty:
-                        values[k] = self[chunks[k]]
-                    yield b"".join(values) if chunks else self.ids(text)
-                except _Inside:
-                    yield self.ids(text)
+    def all_ids(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        """ids() of each text."""
+        for ids, ends in self.slices(texts):
+            data, width, a = ids.tobytes(), ids.itemsize, 0
+            for b in ends.tolist():
+                yield data[a * width : b * width]
+                a = b
+
+    def slices(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, the end of each text's ids) of one slice of about SLICE_BYTES of texts after the other."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64")
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(reach, SLICE_BYTES + (reach[low - 1] if low else 0), "right")))
+            yield self._slice(texts[low:high])
+            low = high
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
+        numbered = pc.dictionary_encode(cut.flatten())
+        code, chunks = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, chunks))
+        odd = self._fill(chunks, found)
+        table, size = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), "int64", len(found)) // np.dtype(self.kind).itemsize
+        n, first = size[code], np.cumsum(size) - size
+        reach = np.append(0, np.cumsum(n))
+        small = "int32" if reach[-1] < 1 << 31 else "int64"
+        place = np.repeat((first[code] - reach[:-1]).astype(small), n)
+        place += np.arange(reach[-1], dtype=small)
+        ids = table[place]
+        edges = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        ends = reach[edges]
+        whole = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        if odd:
+            bad = np.zeros(len(chunks), bool)
+            bad[odd] = True
+            whole |= np.diff(np.append(0, np.cumsum(bad[code]))[edges]) > 0
+        if whole.any():  # white space at an end or in a run, or a zero character: cut by pattern
+            parts = [np.frombuffer(self.ids(texts[k].as_py()), self.kind) if own else ids[ends[k] : ends[k + 1]] for k, own in enumerate(whole.tolist())]
+            return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return ids, ends[1:]
+
+    def _fill(self, chunks: list[str], found: list[bytes | None]) -> list[int]:
+        """Looks up, learns and puts together what is not found yet; returns where a chunk ends in white space."""
+        empty, odd = [k for k, v in enumerate(found) if v is None], []
+        bases = [c[:-1] if c[-1:] in MARKS and c[-2:-1].isalpha() and len(c) > 2 else c for c in map(chunks.__getitem__, empty)]
+        new = [c for c in dict.fromkeys(bases) if c not in self]
+        known = [(c, v) for c, v in zip(new, map(self.old.get, new), strict=True) if v is not None]
+        self._room()
+        self.update(known)
+        self._learn([c for c in new if c not in self and len(c) > 1 and c[0] in " \n" and not c[1].isspace() and not c[-1].isspace()])
+        marks = {x: self[x] for x in MARKS}
+        for k, base in zip(empty, bases, strict=True):
+            try:
+                value = self[base]
+                found[k] = value if base is chunks[k] else value + marks[chunks[k][-1]]
+            except _Inside:
+                found[k] = b""
+                odd.append(k)
+        return odd
+
+    def _room(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks that begin with white space in one string; cuts its ids where the chunks' bytes end."""
@@ -162,14 +210,13 @@ class ByteBpe(dict):
         for low in range(0, len(chunks), JOINED):
             some = chunks[low : low + JOINED]
             ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends, own = np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
+            ends, own = np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, some)), "int64", len(some)))
             at = np.searchsorted(ends, own)
             if at[-1] >= len(ends) or (ends[at] != own).any():
                 continue  # each is then encoded by itself
-            data, width, a = ids.tobytes(), ids.itemsize, 0
-            for c, b in zip(some, ((at + 1) * width).tolist(), strict=True):
-                self._keep(c, data[a:b])
-                a = b
+            data, edges = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
+            self._room()
+            self.update(zip(some, [data[a:b] for a, b in itertools.pairwise(edges)], strict=True))
 
 
 _BPE: dict[tuple[str, int], ByteBpe] = {}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, byte_bpe, staged, texts_of, tokenizer_path
+from asterfold.llm.common import as_text, byte_bpe, staged, tokenizer_path
 
 #: A bin whose free room is at most this share of the capacity leaves the tree.
 SLACK = 1 / 128
@@ -43,37 +46,48 @@ def best_fit(sizes: Iterable[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _bins(items: list[tuple[int, list[dict]]], capacity: int, level: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """items: (size, pieces with offsets inside). Bins with ids that hold the level, the partition and a count."""
-    task, rows = TaskContext.get().partitionId(), []
-    kinds = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int64()), ("open", pa.bool_()), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])))])
-    for n, members in enumerate(best_fit([x[0] for x in items], capacity)):
-        fill, pieces = 0, []
-        for k in members:
-            pieces += [p | {"offset": p["offset"] + fill} for p in items[k][1]]
-            fill += items[k][0]
-        rows.append({"sequence_id": (level << 58) | (task << 32) | n, "fill": fill, "open": not last and capacity - fill > SLACK * capacity, "pieces": pieces})
-        if len(rows) == 4096:
-            yield pa.RecordBatch.from_pylist(rows, kinds)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, kinds)
+_PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]
+
+
+def _bins(sizes: np.ndarray, edges: np.ndarray, pieces: pa.StructArray, capacity: int, level: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Item k has sizes[k] tokens in pieces[edges[k]:edges[k + 1]], with offsets inside. Bins with ids that hold the level, the partition and a count."""
+    if not len(sizes):
+        return
+    members = best_fit(sizes.tolist(), capacity)
+    order, n = np.fromiter(itertools.chain.from_iterable(members), "int64", len(sizes)), np.fromiter(map(len, members), "int64", len(members))
+    first = np.append(0, np.cumsum(n))
+    reach = np.append(0, np.cumsum(sizes[order]))
+    fill = np.diff(reach[first])
+    count = np.diff(edges)[order]
+    upto = np.append(0, np.cumsum(count))
+    which = np.repeat(edges[:-1][order] - upto[:-1], count) + np.arange(upto[-1])
+    inside = reach[:-1] - np.repeat(reach[first[:-1]], n)
+    old = pieces.take(pa.array(which))
+    offset = old.field("offset").to_numpy() + np.repeat(inside, count)
+    placed = pa.StructArray.from_arrays([*(old.field(x) for x, _ in _PIECE[:-1]), pa.array(offset)], [x for x, _ in _PIECE])
+    held = pa.ListArray.from_arrays(pa.array(upto[first].astype("int32")), placed)
+    names = (level << 58) + (TaskContext.get().partitionId() << 32) + np.arange(len(members))
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(fill), pa.array((capacity - fill > SLACK * capacity) & (not last)), held], ["sequence_id", "fill", "open", "pieces"])
+    yield from (batch.slice(k, 4096) for k in range(0, len(members), 4096))
 
 
 def local_bins(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Level 0: each input partition encodes its documents, cuts long ones and packs by best fit."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, items = byte_bpe(tokenizer), end_id.to_bytes(4, "little"), []
+        bpe, end = byte_bpe(tokenizer), end_id.to_bytes(4, "little")
+        doc, null, piece, start, length, crc = (array("q") for _ in range(6))
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), bpe.all_ids(texts_of(batch)), strict=True):
+            owners = batch.column(0)
+            for own, missing, found in zip(owners.fill_null(0).to_pylist(), owners.is_null().to_pylist(), bpe.all_ids(batch.column(1)), strict=True):
                 ids = found + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k in range(len(edges) - 1):
-                    a, b = edges[k], edges[k + 1]
-                    items.append((b - a, [{"doc_id": doc, "piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(memoryview(ids)[4 * a : 4 * b]), "offset": 0}]))
-        yield from _bins(items, capacity, 0, False)
+                for k, (a, b) in enumerate(itertools.pairwise(edges)):
+                    doc.append(own), null.append(missing), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(memoryview(ids)[4 * a : 4 * b]))
+        numbers = [np.frombuffer(x, "int64") if len(x) else np.empty(0, "int64") for x in (doc, null, piece, start, length, crc)]
+        sizes, columns = numbers[4], [pa.array(numbers[0], pa.int64(), mask=numbers[1] > 0), *(pa.array(x, kind) for x, (_, kind) in zip([*numbers[2:], np.zeros_like(numbers[0])], _PIECE[1:], strict=True))]
+        yield from _bins(sizes, np.arange(len(sizes) + 1), pa.StructArray.from_arrays(columns, [x for x, _ in _PIECE]), capacity, 0, False)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), as_text(docs, text_col).alias("text"))
     return rows.mapInArrow(pack, BINS)
@@ -91,9 +105,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
 
     def merge(level: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = [(x["fill"], x["pieces"]) for batch in batches for x in batch.to_pylist()]
-            items.sort(key=lambda x: -len(x[1]))
-            yield from _bins(items, capacity, level, last)
+            met = pa.Table.from_batches(batches, pa.schema([("fill", pa.int64()), ("pieces", pa.list_(pa.struct(_PIECE)))])).combine_chunks()
+            if met.num_rows:
+                held = met.column("pieces").chunk(0)
+                yield from _bins(met.column("fill").to_numpy(), held.offsets.to_numpy().astype("int64") - held.offsets[0].as_py(), held.flatten(), capacity, level, last)
 
         return run
 
@@ -105,8 +120,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             break
         tasks = -(-n // FAN_IN)
         last = tasks == 1 or not won or k == ROUNDS
-        dealt = left.select("fill", "pieces").repartition(tasks, F.xxhash64("pieces")) if tasks > 1 else left.select("fill", "pieces").coalesce(1)
-        level = staged(dealt.mapInArrow(merge(k, last), BINS), f"bins-{k}")
+        dealt = left.repartition(tasks, F.xxhash64("sequence_id")) if tasks > 1 else left.coalesce(1)  # bins have ids of their own, however alike
+        level = staged(dealt.select("fill", "pieces").mapInArrow(merge(k, last), BINS), f"bins-{k}")
         done.append(level.where("not open"))
         if last:
             break

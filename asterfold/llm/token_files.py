@@ -12,13 +12,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, byte_bpe, scratch_path, texts_of, tokenizer_path
-
-#: Stands for a null document id in the flat id file.
-NO_ID = -(1 << 63)
-#: A task's buffer of ids before it writes, in bytes.
-BUFFER = 1 << 22
+from asterfold.llm.common import as_text, byte_bpe, scratch_path, tokenizer_path
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -43,50 +39,47 @@ def write_token_files(
     Each range partition writes three flat files: <part>.ids (uint16 if the vocabulary fits, else uint32),
     <part>.offsets (uint64, one more than documents, from 0 within the part) and <part>.docs (int64 ids). They are
     written under a name of the attempt and renamed, so a repeated task replaces equal content. Partition bases are
-    prefix sums of the parts' token counts; the driver sees one row a part. Null texts count as empty, null ids come
-    first as NO_ID, rows that share an id are kept in the order of their texts, an empty table gives no parts.
+    prefix sums of the parts' token counts; the driver sees one row a part. Null texts count as empty; null ids come
+    first, as 0 in the id file, and the manifest tells how many. Rows that share an id, null too, are dealt by the hash
+    of their text and their place in the input, so no id's rows need one task. An empty table gives no parts.
     """
     width = 2 if byte_bpe(tokenizer).size <= 1 << 16 else 4
-    end = np.array([end_id], f"<u{width}").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = _open(folder)
-        bpe, part, n_docs, n_ids = byte_bpe(tokenizer, width), f"part-{task.partitionId():06d}", 0, 0
+        bpe, part, n_docs, nulls, n_ids = byte_bpe(tokenizer, width), f"part-{task.partitionId():06d}", 0, 0, 0
         names = [(f"{root}/.{part}.{task.taskAttemptId()}.{x}", f"{root}/{part}.{x}") for x in ("ids", "offsets", "docs")]
-        ids = offsets = owners = None
+        files = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if ids is None:
-                ids, offsets, owners = (fs.open_output_stream(x) for x, _ in names)
-                offsets.write(bytes(8))
-            held, at, ends = [], 0, np.empty(batch.num_rows, "<u8")
-            for k, found in enumerate(bpe.all_ids(texts_of(batch))):
-                held.append(found + end)
-                at += len(held[-1])
-                n_ids += len(held[-1]) // width
-                ends[k] = n_ids
-                if at >= BUFFER:
-                    ids.write(b"".join(held))
-                    held, at = [], 0
-            ids.write(b"".join(held))
-            offsets.write(ends.tobytes())
-            owners.write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            if files is None:
+                files = [fs.open_output_stream(x) for x, _ in names]
+                files[1].write(bytes(8))
+            for found, ends in bpe.slices(batch.column(1)):
+                n = len(ends)
+                files[0].write(np.insert(found, ends, end_id).tobytes())
+                files[1].write((n_ids + ends + np.arange(1, n + 1)).astype("<u8").tobytes())
+                n_ids += len(found) + n
+            files[2].write(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             n_docs += batch.num_rows
-        if ids is not None:
-            for file, (written, final) in zip((ids, offsets, owners), names, strict=True):
+            nulls += batch.column(0).null_count
+        if files is not None:
+            for file, (written, final) in zip(files, names, strict=True):
                 file.close()
                 fs.move(written, final)
-            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n_docs], "tokens": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n_docs], "nulls": [nulls], "tokens": [n_ids]})
 
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), as_text(docs, text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    parts = sorted(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, "part string, docs long, tokens long").collect())
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("place"))
+    by = ("doc_id", "key", "place")
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    parts = sorted(dealt.sortWithinPartitions(*by).select("doc_id", "text").mapInArrow(write, "part string, docs long, nulls long, tokens long").collect())
     bases = itertools.accumulate((x.tokens for x in parts), initial=0)
-    manifest = {"width": width, "end_id": end_id, "parts": [{"part": x.part, "docs": x.docs, "tokens": x.tokens, "base": b} for x, b in zip(parts, bases, strict=False)]}
+    manifest = {"width": width, "end_id": end_id, "parts": [x.asDict() | {"base": b} for x, b in zip(parts, bases, strict=False)]}
     with fs.open_output_stream(f"{root}/manifest.json") as file:
         file.write(json.dumps(manifest).encode())
     return manifest
@@ -113,7 +106,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                 edges, own = offsets[low : high + 1].astype("int64"), np.asarray(owners[low:high])
                 each = [np.asarray(ids[a:b]).astype("<u4") for a, b in itertools.pairwise(edges.tolist())]
                 columns = {
-                    "doc_id": pa.array(own, pa.int64(), mask=own == NO_ID),
+                    "doc_id": pa.array(own, pa.int64(), mask=np.arange(low, high) < part["nulls"]),
                     "start": pa.array(edges[:-1] + part["base"]),
                     "n_tokens": pa.array(np.diff(edges)),
                     "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64()),
