@@ -12,25 +12,30 @@ from pyspark.sql import functions as F
 
 from asterfold.llm.common import as_text, filter_texts, texts_of
 
-#: Characters of a q-gram, edits a match may have as a share of the item's length, shortest item searched.
+#: Characters of a q-gram, edits a match may have as a share of the item's length. Items under LEAST_CHARS characters
+#: are searched without edits, from word edge to word edge.
 Q, EDIT_RATE, LEAST_CHARS = 8, 0.1, 32
 #: Shared q-grams that an item's budget must leave, as a share of its length; longer budgets are cut down to it.
 LEAST_SHARED = 0.12
 #: Characters of benchmark text that one broadcast holds; a larger benchmark is searched block by block.
 BLOCK_CHARS = 4_000_000
-#: Ratio of lengths within a class of items, bits of the presence table, characters scanned at once.
-CLASS_RATIO, TABLE_BITS, SCAN = 1.3, 21, 1 << 21
+#: Ratio of lengths within a class of items; slots of the presence table for each q-gram (a byte each), its bounds.
+CLASS_RATIO, TABLE_SLOTS, TABLE_BITS = 1.3, 16, (16, 26)
+#: Characters scanned at once, pairs of equal q-grams counted at once, diagonals aligned at once.
+SCAN, PAIRS, DIAGONALS = 1 << 21, 1 << 20, 1 << 18
 
 _BASE = np.uint32(2654435761)
 _GAP = 0x110000  # no code point: stands between texts
 
 
+def folded(text: str) -> str:
+    """Lower-cased where that keeps the length: all but the one letter whose lower case is two characters."""
+    return "\u0130".join(part.lower() for part in text.split("\u0130"))
+
+
 def code_points(text: str) -> np.ndarray:
     """A text's characters, lower-cased where that keeps the length, ASCII white space as blanks."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    out = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    out = np.frombuffer(folded(text).encode("utf-32-le", "surrogatepass"), "<u4").copy()
     out[(out >= 9) & (out <= 13)] = 32
     return out
 
@@ -91,89 +96,142 @@ def banded_alignment(item: np.ndarray, region: np.ndarray, low: int, high: int,
     return (int(cost[k]), int(begin[k]), int(first + k + m)) if cost[k] <= edits else None
 
 
+class ClassIndex:
+    """Postings of the q-grams of items of like length: sorted by gram, with the item and the place in it."""
+
+    def __init__(self, items: list[np.ndarray], first: int):
+        hashes = [gram_hashes(p) for p in items]
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(items), dtype="<i4"), [len(h) for h in hashes])[order]
+        self.place = np.concatenate([np.arange(len(h), dtype="<i4") for h in hashes])[order]
+        self.grams, self.first = np.unique(every[order], return_index=True)
+        self.first = np.append(self.first, len(every))
+        lengths = [len(p) for p in items]
+        self.step = np.array([edit_budget(m) + 1 for m in lengths], "int64")
+        self.least = np.array([shared_least(m) for m in lengths], "int64")
+        self.start, self.window = first, max(lengths) + edit_budget(max(lengths))
+
+    def bands(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, lowest and highest diagonal) of runs of overlapping bands with enough q-grams; at: places of a text's grams.
+
+        A band holds two cells of as many diagonals as the item has edits and one; the next overlaps it by half. The
+        pairs of equal grams are numbered, so that a slice of bounded size can be counted whatever the text repeats.
+        """
+        found = np.searchsorted(self.grams, hashes)
+        low, n = self.first[found], self.first[found + 1] - self.first[found]
+        ends = np.cumsum(n)
+        keys, counts = np.empty(0, "int64"), np.empty(0, "int64")
+        for begin in range(0, int(ends[-1]), PAIRS):
+            pair = np.arange(begin, min(begin + PAIRS, int(ends[-1])))
+            k = np.searchsorted(ends, pair, "right")
+            posting = low[k] + pair - (ends[k] - n[k])
+            owner = self.owner[posting].astype("int64")
+            cell = (at[k] - self.place[posting]) // self.step[owner]
+            own, count = np.unique((owner << 33) + cell + (1 << 32), return_counts=True)
+            keys, which = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([counts, count])).astype("int64")
+        both = counts + np.where(np.append(keys[1:] == keys[:-1] + 1, False), np.append(counts[1:], 0), 0)
+        good = keys[both >= self.least[keys >> 33]]
+        if not len(good):
+            return
+        cuts = np.flatnonzero(np.diff(good) > 1) + 1
+        for run in np.split(good, cuts):
+            item, cell = int(run[0] >> 33), int(run[0] & ((1 << 33) - 1)) - (1 << 32)
+            step, end = int(self.step[item]), cell + len(run)
+            width = max(1, DIAGONALS // step)
+            for c in range(cell, end, width):
+                yield item, c * step, (min(c + width, end) + 1) * step - 1
+
+
 class BenchmarkIndex:
-    """Q-grams of benchmark items by classes of like length."""
+    """Q-grams of benchmark items by classes of like length; items under LEAST_CHARS characters apart, word for word."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, p) for i, text in sorted(items) if text and len(p := code_points(text)) >= LEAST_CHARS]
-        self.items.sort(key=lambda x: len(x[1]))
-        self.table = np.zeros(1 << TABLE_BITS, "u1")
-        self.classes: list[tuple[int, int, int]] = []  # bit, window, least hits
-        hashes, owner, place, kind, lengths = [], [], [], [], [len(p) for _, p in self.items]
-        edges = [0]
+        known = [(i, code_points(text)) for i, text in sorted(items) if text]
+        short = [(i, p.tobytes().decode("utf-32-le", "surrogatepass").strip()) for i, p in known if len(p) < LEAST_CHARS]
+        self.short = [x for x in short if x[1]]
+        self.items = sorted((x for x in known if len(x[1]) >= LEAST_CHARS), key=lambda x: len(x[1]))
+        lengths = [len(p) for _, p in self.items]
+        edges = [0] if lengths else []
         for k, m in enumerate(lengths):
-            if m > CLASS_RATIO * lengths[edges[-1]] and len(edges) < 8:
+            if m > CLASS_RATIO * lengths[edges[-1]] and len(edges) < 64:
                 edges.append(k)
-        for c, (a, b) in enumerate(zip(edges, [*edges[1:], len(lengths)], strict=True)):
-            if a == b:
-                continue
-            for k in range(a, b):
-                own = gram_hashes(self.items[k][1])
-                hashes.append(own)
-                owner.append(np.full(len(own), k))
-                place.append(np.arange(len(own)))
-                kind.append(np.full(len(own), 1 << c, "u1"))
-            longest = lengths[b - 1]
-            self.classes.append((1 << c, longest + edit_budget(longest), min(shared_least(m) for m in lengths[a:b])))
-        if hashes:
-            every = np.concatenate(hashes)
-            order = np.argsort(every, kind="stable")
-            self.grams, self.owner, self.place, self.kind = every[order], np.concatenate(owner)[order], np.concatenate(place)[order], np.concatenate(kind)[order]
-            np.bitwise_or.at(self.table, every & np.uint32((1 << TABLE_BITS) - 1), np.concatenate(kind))
-
-    def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(text, class bit) of texts with a window that holds the least hits of the class."""
-        gap = np.full(1, _GAP, "<u4")
-        flat = np.concatenate([x for t in texts for x in (t, gap)])
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        if len(flat) < Q:
-            return []
-        seen, out = self.table[gram_hashes(flat) & np.uint32((1 << TABLE_BITS) - 1)], []
-        for bit, window, least in self.classes:
-            total = np.cumsum(np.concatenate([np.zeros(1, "u1"), (seen & bit) != 0]), dtype="int32")
-            reach = window - Q + 1
-            total = np.append(total, np.full(reach, total[-1]))
-            full = np.nonzero(total[reach:] - total[:-reach] >= least)[0]
-            out += [(int(k), bit) for k in np.unique(np.searchsorted(starts, full, "right") - 1) if k < len(texts)]
-        return out
-
-    def matches(self, points: np.ndarray, bit: int) -> Iterator[tuple[int, int, int, int]]:
-        """(item position, distance, start, end): the best verified region of each item of the class."""
-        if len(points) < Q:
-            return
-        own = gram_hashes(points)
-        at = np.nonzero(self.table[own & np.uint32((1 << TABLE_BITS) - 1)] & bit)[0]
-        lo, hi = np.searchsorted(self.grams, own[at], "left"), np.searchsorted(self.grams, own[at], "right")
-        n = hi - lo
-        if not n.sum():
+        points = [p for _, p in self.items]
+        self.classes = [ClassIndex(points[a:b], a) for a, b in zip(edges, [*edges[1:], len(lengths)], strict=False)]
+        self.grams = np.unique(np.concatenate([c.grams for c in self.classes])) if self.classes else np.empty(0, "<u4")
+        self.kinds = np.zeros(len(self.grams), "<u8")
+        for k, c in enumerate(self.classes):
+            self.kinds[np.searchsorted(self.grams, c.grams)] |= np.uint64(1 << k)
+        low, high = TABLE_BITS
+        self.mask = np.uint32((1 << min(max((TABLE_SLOTS * len(self.grams)).bit_length(), low), high)) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[self.grams & self.mask] = True
+        self.words = None
+
+    def candidates(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, ClassIndex, np.ndarray, np.ndarray]]:
+        """(text, class, places of its grams that the class has, their hashes) of texts with a window that holds enough.
+
+        flat: texts one after the other, a gap behind each. A window has as many characters as the class's longest
+        item with all its edits; enough is what the class's least demanding item asks for.
+        """
+        if len(flat) < Q or not self.classes:
             return
-        pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        diagonal, kind = np.repeat(at, n) - self.place[pick], self.kind[pick]
-        owner, diagonal = self.owner[pick][kind == bit], diagonal[kind == bit]
-        if not len(owner):
-            return
-        order = np.argsort(owner, kind="stable")
-        owner, diagonal = owner[order], diagonal[order]
-        edges = np.searchsorted(owner, np.unique(owner))
-        for a, b in zip(edges, [*edges[1:], len(owner)], strict=True):
-            m = len(self.items[owner[a]][1])
-            edits, least = edit_budget(m), shared_least(m)
-            if b - a < least:
+        h = gram_hashes(flat)
+        at = np.flatnonzero(self.table[h & self.mask])
+        found = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
+        real = self.grams[found] == h[at]
+        at, kinds = at[real], self.kinds[found[real]]
+        text = np.searchsorted(starts, at, "right") - 1
+        for k, c in enumerate(self.classes):
+            own = np.flatnonzero(kinds >> np.uint64(k) & np.uint64(1))
+            reach = int(c.least.min()) - 1
+            if len(own) <= reach:
                 continue
-            step, best = edits + 1, None
-            band = diagonal[a:b] // step
-            cells, count = np.unique(band, return_counts=True)
-            counts = dict(zip(cells.tolist(), count.tolist(), strict=True))
-            for c in sorted({x for c in counts for x in (c - 1, c)}):  # a band holds cells c and c + 1; the next overlaps it by half
-                if counts.get(c, 0) + counts.get(c + 1, 0) >= least:
-                    found = self._verify(int(owner[a]), points, c * step, (c + 2) * step - 1, edits)
-                    if found and (best is None or found < best):
-                        best = found
-            if best:
-                yield int(owner[a]), *best
-
-    def _verify(self, k: int, points: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
-        item = self.items[k][1]
+            p, t = at[own], text[own]
+            full = (p[reach:] - p[: len(p) - reach] <= c.window - Q) & (t[reach:] == t[: len(t) - reach])
+            for which in np.unique(t[reach:][full]).tolist():
+                a, b = np.searchsorted(t, [which, which + 1])
+                yield which, c, p[a:b] - starts[which], h[p[a:b]]
+
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item id, distance, start, end): the best verified region of each item in each text."""
+        points = code_points("\U0010ffff".join([*texts, ""]))
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        points[starts[1:] - 1] = _GAP
+        for t, c, at, hashes in self.candidates(points, starts):
+            own, best = points[starts[t] : starts[t + 1] - 1], {}
+            for item, low, high in c.bands(at, hashes):
+                if item not in best or best[item][0]:
+                    found = self._verify(self.items[c.start + item][1], own, low, high, int(c.step[item]) - 1)
+                    if found and (item not in best or found < best[item]):
+                        best[item] = found
+            for item, found in best.items():
+                yield t, self.items[c.start + item][0], *found
+        if self.short:
+            yield from self._word_for_word(points, starts)
+
+    def _word_for_word(self, points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each text, if no letter or digit adjoins."""
+        if self.words is None:
+            import ahocorasick
+
+            self.words, ids = ahocorasick.Automaton(), {}
+            for i, word in self.short:
+                ids.setdefault(word, []).append(i)
+            for word, own in ids.items():
+                self.words.add_word(word, (word, own))
+            self.words.make_automaton()
+        for t in range(len(starts) - 1):
+            said, met = points[starts[t] : starts[t + 1] - 1].tobytes().decode("utf-32-le", "surrogatepass"), set()
+            for last, (word, own) in self.words.iter(said):
+                start, end = last + 1 - len(word), last + 1
+                if word not in met and not (start and said[start - 1].isalnum()) and not said[end : end + 1].isalnum():
+                    met.add(word)
+                    yield from ((t, i, 0, start, end) for i in own)
+
+    @staticmethod
+    def _verify(item: np.ndarray, points: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
         a, b = max(0, low - edits), min(len(points), high + len(item) + 2 * edits)
         region = points[a:b]
         exact = region.tobytes().find(item.tobytes())
@@ -187,12 +245,11 @@ def _search(batch_texts: list[str | None], index: BenchmarkIndex) -> Iterator[tu
     held, size = [], 0
     for k, text in enumerate([*batch_texts, None]):
         if text:
-            held.append((k, code_points(text)))
-            size += len(held[-1][1])
+            held.append(k)
+            size += len(text)
         if held and (size >= SCAN or k == len(batch_texts)):
-            for t, bit in index.candidates([p for _, p in held]):
-                for item, *found in index.matches(held[t][1], bit):
-                    yield held[t][0], item, *found
+            for t, *found in index.search([batch_texts[j] for j in held]):
+                yield held[t], *found
             held, size = [], 0
 
 
@@ -205,7 +262,7 @@ def _shared_indexes(benchmark: DataFrame, item_col: str, item_text_col: str) ->
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block)
         index = BenchmarkIndex([(r.id, r.t) for r in own.collect()])
-        if index.items:
+        if index.items or index.short:
             yield spark.sparkContext.broadcast(index)
 
 
@@ -213,8 +270,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and item that it holds: doc_id, item_id, distance, start, end of the best match.
 
     Matching ignores case and the kind of ASCII white space; places are code points of the whole text. A match has
-    EDIT_RATE edits per item character at most. Items under LEAST_CHARS characters, null items and null texts match
-    nothing; rows of a null doc_id report null; repeated documents report each, repeated items as one each id and
+    EDIT_RATE edits per item character at most; items under LEAST_CHARS characters must occur as they are, from word
+    edge to word edge. Null and blank items and null texts match nothing; rows of a null doc_id report null; repeated documents report each, repeated items as one each id and
     text. An empty benchmark or table gives no rows. The benchmark is broadcast in blocks of BLOCK_CHARS characters.
     """
     spark = docs.sparkSession
@@ -226,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[k], shared.value.items[i][0], d, a, b) for k, i, d, a, b in _search(texts_of(batch), shared.value)]
+                found = [(ids[k], i, d, a, b) for k, i, d, a, b in _search(texts_of(batch), shared.value)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
 
