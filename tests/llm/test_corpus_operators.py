@@ -183,6 +183,37 @@ def test_op4_finds_edited_items_only(spark, odd):
     assert decontam.contaminated(odd, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_op4_short_items_word_for_word(spark):
+    items = spark.createDataFrame([(1, "What is it?"), (2, "yes"), (3, " \n"), (4, "What is it?")], "item_id long, text string")
+    texts = ["so what\nis it? no", "whats is it?", "eyes", "Yes, what is it?!", "\u0130 YES"]
+    got = {(r.doc_id, r.item_id, r.distance, texts[r.doc_id][r.start : r.end]) for r in decontam.contaminated(docs(spark, texts), items).collect()}
+    assert got == {(0, 1, 0, "what\nis it?"), (0, 4, 0, "what\nis it?"), (3, 1, 0, "what is it?"), (3, 4, 0, "what is it?"), (3, 2, 0, "Yes"), (4, 2, 0, "YES")}
+
+
+def test_op4_filter_at_block_size():
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz  ", k=n))
+    items = [(k, say(rng.randint(100, 1400))) for k in range(5000)]
+    index = decontam.BenchmarkIndex(items)
+    assert sum(len(t) for _, t in items) > 3_500_000
+    texts = [say(3000) for _ in range(200)] + [say(500) + items[7][1] + say(500)]
+    flat = decontam.code_points("\U0010ffff".join([*texts, ""]))
+    met = {t for t, *_ in index.candidates(flat, np.cumsum([0, *(len(t) + 1 for t in texts)]))}
+    assert 200 in met and len(met) <= 10
+    assert {(t, i) for t, i, *_ in index.search(texts)} == {(200, 7)}
+
+
+def test_op4_long_repetitive_text_in_bounded_memory():
+    import tracemalloc
+
+    index = decontam.BenchmarkIndex([(1, "-" * 200), (2, "-" * 199 + "x"), (3, "ab" * 60)])
+    tracemalloc.start()
+    found = {i: (d, a, b) for _, i, d, a, b in index.search(["-" * 1_000_000])}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[1] == (0, 0, 200) and found[2][0] == 1 and 3 not in found and peak < 500e6
+
+
 def test_banded_alignment_is_edit_distance():
     rng = random.Random(4)
     for _ in range(60):
@@ -371,12 +402,48 @@ def test_op1_base_spans_and_redaction(spark, odd):
 
 
 def test_op1_ownership(spark):
-    key = lambda c: f"note Qz9{c}" + c * 24 + "1 end"
+    key = lambda c: f"note Qz9{c}7mVx2Lk8PwB4nYc6HdJ3sGf{c}1 end"
     rows = [(k, key("A"), "en", f"s{k}", 1, "r", 7, "h", 3) for k in range(4)] + [(9, key("B"), "en", "s1", 1, "r", 7, "h", 3)]
     got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[9].n_live == 1 and "generic" in got[9].spans and all(got[k].spans == "" for k in range(4))
 
 
+def test_op1_leaves_words_paths_and_rules(spark):
+    plain = ["-" * 40, "see https://example.org/docs/getting-started/installation/linux", "internationalizationalization", "https://example.org/a/b/Chapter12/Introduction/Installation-2024", "ABABABAB1b" * 4, "x" * 3000]
+    live = "key qZ8rT2mVx7Lk9PwB4nYc6HdJ3sGf end"
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, [*plain, live, live.upper()])).collect()}
+    assert [got[k].spans for k in range(8)] == [""] * 6 + ["generic:4:32", ""]
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs(spark, [*plain, live])).collect()}
+    assert [masked[k] for k in range(7)] == [*plain, "key [SECRET] end"]
+
+
+def test_op1_counts_repositories_within_one_owner(spark):
+    key = "qZ8rT2mVx7Lk9PwB4nYc6HdJ3sGf"
+    texts = [f"{key} copied {k % 25}" for k in range(60)] + [f"kQ4nYc6HdJ3sGf8rT2mVx7Lk9PwB held {k % 5}" for k in range(30)]
+    rows = secrets.scan_secrets(docs(spark, texts)).collect()
+    assert {(r.doc_id < 60, r.n_live) for r in rows} == {(True, 0), (False, 1)}
+
+
+def test_op1_many_spans_match_a_plain_scan(spark):
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    text = " ".join(rng.choice([f"token={say(14)}", f"{rng.getrandbits(80):020x}", f"AKIA{say(16).upper()}", say(30), "é plain", "-" * 30]) for _ in range(900))
+    r = secrets.scan_secrets(docs(spark, [text])).first()
+    found = []
+    for kind, (p, g, least) in enumerate([(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(p, text) if len(m[g]) >= least]
+    free = lambda a, b: not any(x < b and a < y for x, _, y in found)
+    runs = [m for m in re.finditer(secrets.GENERIC, text) if len(set(m[0])) >= 12 and all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]")) and not re.search(secrets.WORD, m[0])]
+    want = sorted(found + [(m.start(), 3, m.end()) for m in runs if free(*m.span())])
+    assert len(found) > 300 and r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+    out, at = [], 0
+    for a, _, b in want:
+        if a >= at:
+            out.append(text[at:a] + "[SECRET]")
+        at = max(at, b)
+    assert secrets.mask_secrets(docs(spark, [text])).first().text == "".join(out) + text[at:]
+
+
 def test_op9_rules(spark, odd):
     def brute(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
