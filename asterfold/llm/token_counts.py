@@ -8,16 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from asterfold.llm.common import as_text, texts_of, tokenizer_path
 
 #: Entries of the broadcast table: at most about 1 MB.
 TABLE = 50_000
-#: Texts, none longer than WARM_CHARS, from which the driver learns which pre-tokens are frequent: 20 MB at most. This
-#: bound decides only what is looked up fast, never a count.
-WARM_TEXTS, WARM_CHARS = 1_000, 20_000
-#: Entries of one generation of a worker's cache.
-MOST = 400_000
+#: Texts, none longer than WARM_CHARS, from which the driver learns which pre-tokens are frequent: drawn by chance from
+#: all files, so many expected, 40 MB at most. The bound decides only what is looked up fast, never a count.
+WARM_TEXTS, WARM_CHARS = 2_000, 20_000
+#: Entries of one generation of a worker's cache; the draw's seed.
+MOST, SEED = 400_000, 7
 
 
 class _Inside(LookupError):
@@ -72,9 +73,12 @@ _COUNTS: dict[str, PieceCounts] = {}
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str, path: str) -> tuple[str, bytes]:
-    """The most frequent pre-tokens of a bounded number of texts in one string, and their counts as bytes."""
-    counts = Counter()
-    for row in docs.select(as_text(docs, text_col).alias("text")).where(f"length(text) <= {WARM_CHARS}").limit(WARM_TEXTS).collect():
+    """The most frequent pre-tokens of a draw over the whole table in one string, and their counts as bytes.
+
+    Each row is drawn by itself, whatever its id or text, so the draw is bounded where rows repeat, too.
+    """
+    counts, drawn = Counter(), F.rand(SEED) < WARM_TEXTS / max(docs.count(), 1)
+    for row in docs.select(as_text(docs, text_col).alias("text")).where(drawn & (F.length("text") <= WARM_CHARS)).collect():
         counts.update(row.text.replace("\n", " \n").split(" "))
     pieces = PieceCounts(path)
     words = [w for w, _ in counts.most_common(TABLE) if w and "\0" not in w and len(w) <= 100] if pieces.separable else []
