@@ -32,28 +32,31 @@ def learn_dictionaries(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     """Raw dictionary content by language from a bounded sample of the labelled rows.
 
     All rows count towards a language's size; about 3 * DRAWN documents per language are drawn by the hash of their
-    id, the DRAWN lowest are kept, and whole texts fill the dictionary up to DICTIONARY bytes.
+    id, the DRAWN lowest are kept, and whole texts fill the dictionary up to DICTIONARY bytes. An id counts once, with
+    the least of its texts, null like any other, so however often rows repeat the driver gets DRAWN texts a language
+    at most, and of these no more than fill two dictionaries.
     """
-    labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    text = as_text(docs, text_col)
+    labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 3 * DRAWN / n))])
-    drawn = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    ranked = drawn.selectExpr("id", "lang", "row_number() over (partition by lang order by xxhash64(id), id) as k").where(F.col("k") <= DRAWN).select("id")
-    found = docs.select(F.col(id_col).alias("id"), as_text(docs, text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = found.where("text is not null and lang is not null and octet_length(text) <= " + str(DICTIONARY)).join(F.broadcast(ranked.distinct()), "id", "left_semi")
+    drawn = labelled.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) & (F.octet_length("text") <= DICTIONARY))
+    once = drawn.groupBy("lang", "id").agg(F.min("text").alias("text"))
+    ranked = once.selectExpr("*", "row_number() over (partition by lang order by xxhash64(id), id) as k").where(F.col("k") <= DRAWN)
+    room = ranked.selectExpr("*", "sum(octet_length(text)) over (partition by lang order by k rows between unbounded preceding and 1 preceding) as before")
     texts: dict[str, list[tuple]] = {lang: [] for lang in sizes}
-    for row in found.collect():
+    for row in room.where(F.coalesce("before", F.lit(0)) < 2 * DICTIONARY).collect():
         texts[row.lang].append((row.id is None, row.id, row.text))
     out = {}
     for lang, rows in sorted(texts.items()):
-        whole, room = [], DICTIONARY
+        whole, free = [], DICTIONARY
         for *_, text in sorted(rows):
             data = text.lower().encode()
-            if len(data) + 1 <= room:
+            if len(data) + 1 <= free:
                 whole.append(data)
-                room -= len(data) + 1
+                free -= len(data) + 1
         if whole:
             out[lang] = b"\n".join(whole)
     return out
