@@ -19,8 +19,9 @@ from asterfold.llm.langid import fold
 BUCKETS = 1 << 20
 #: Letters of a word's head, a term of its own.
 PREFIX = 4
-#: Labelled rows of either class that the fit takes at most, by the hash of their id.
-TOXIC_ROWS, CLEAN_ROWS = 6_000, 12_000
+#: Labelled rows of either class that the fit takes at most, by the hash of their id, and the buckets of each row:
+#: longer texts are not fitted (they are scored). So the driver gets 290 MB at most.
+TOXIC_ROWS, CLEAN_ROWS, ROW_BUCKETS = 6_000, 12_000, 4_096
 #: The z-score from which a term counts in full, and the least that any term counts.
 FULL_Z, LEAST_VALUE = 4.0, 0.1
 FACTORS, EPOCHS, RATE, DECAY, BATCH = 8, 30, 0.1, 1e-4, 256
@@ -148,7 +149,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Factorizati
 def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """Fits on at most TOXIC_ROWS and CLEAN_ROWS labelled rows; tasks turn their texts into buckets first.
 
-    An id with several labels counts as toxic if any says so. Null labels, and ids without a document, don't count.
+    An id with several labels counts as toxic if any says so; one with several texts is fitted by one of them, the
+    least by its buckets. Null labels, and ids without a document, don't count.
     The bias is shifted from the drawn classes' odds to those of all labels, so a score doesn't hang on the caps.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).alias("y"))
@@ -161,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
             found = [np.asarray(term_buckets(x), "<i4").tobytes() for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(batch.schema.get_field_index("y")).cast(pa.int32())], ["id", "buckets", "y"])
 
-    got = rows.mapInArrow(run, "id long, buckets binary, y int").dropDuplicates(["id"]).collect()
+    known_rows = rows.mapInArrow(run, "id long, buckets binary, y int").where(F.octet_length("buckets") <= 4 * ROW_BUCKETS)
+    got = known_rows.groupBy("id").agg(F.min("buckets").alias("buckets"), F.max("y").alias("y")).collect()
     got.sort(key=lambda r: r.id)
     model = fit([np.sort(np.frombuffer(r.buckets, "<i4")) for r in got], np.array([r.y for r in got], "int64"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
