@@ -29,10 +29,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one, on one machine only."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(root)
         root = context.getCheckpointDir()
@@ -55,6 +57,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the folder of a staged table that no table still to be computed reads."""
+    for path in {os.path.dirname(x) for x in df.inputFiles()}:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str, salt_by: Column, salts: int = 16) -> DataFrame:
     """Equi-join that deals a hot key's rows to `salts` tasks; `small` has one row a key and is repeated per salt."""
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, salted_join, staged, texts_of
+from asterfold.llm.common import as_text, release, salted_join, staged, texts_of
 
 SEED = 42
 #: Fingerprints that one node pair of the trie may hold in a task; larger pairs are split at the next bits.
@@ -130,7 +130,8 @@ def link_fingerprints(fps: DataFrame, errors: int = 2, unit: int = UNIT) -> Data
         large = sized.where((F.col("n") > unit) & (F.col("left") > 0))
         if large.isEmpty():
             break
-        rows = staged(_split(rows.join(F.broadcast(large.select(*keys)) if large.count() <= 10_000 else large.select(*keys), keys, "left_semi")), "split")
+        few = large.count() <= 10_000
+        rows = staged(_split(rows.join(F.broadcast(large.select(*keys)), keys, "left_semi") if few else salted_join(rows, large.select(*keys), keys, "left_semi", F.col("path"))), "split")
     links = found[0]
     for other in found[1:]:
         links = links.unionByName(other)
@@ -205,7 +206,9 @@ def components(links: DataFrame) -> DataFrame:
         now = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         now = staged(now, "links")
         if not now.exceptAll(edges).head(1) and now.count() == edges.count():
+            release(edges)
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        release(edges)
         edges = now
 
 

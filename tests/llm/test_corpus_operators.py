@@ -74,6 +74,13 @@ def test_op3_counts(spark, odd):
     assert got == want and token_counts.count_tokens(odd.limit(0), SP).count() == 0
 
 
+def test_op3_frequent_pretokens_come_from_all_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "WARM_TEXTS", 100)
+    docs(spark, [f"word{k // 250} " * 5 for k in range(1000)]).repartitionByRange(4, "doc_id").write.parquet(f"{tmp_path}/d")
+    words = token_counts.frequent_pretokens(spark.read.parquet(f"{tmp_path}/d"), "text", SP)[0].split("\0")
+    assert {f"word{k}" for k in range(4)} <= set(words)
+
+
 def test_op5_packs_whole_documents(spark, odd):
     from tokenizers import Tokenizer
 
@@ -323,6 +330,33 @@ def test_op7_languages(spark, odd):
     assert und == {"und"} and langid.identify(odd, {}).where("accepted").count() == 0
 
 
+def test_op7_predictions_are_the_smallest_compressed_sizes(spark):
+    import zstandard
+
+    rng = random.Random(3)
+    sounds = {"aa": ["ba", "lo", "mi"], "bb": ["krz", "ych", "sto"], "cc": ["ñe", "ción", "que"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    data = [(k % 70 if k < 200 else None, make(lang, 40), lang, "s", 1, "r", 7, "h", 3) for k, lang in enumerate(list(sounds) * 80)]
+    df = spark.createDataFrame(data, SCHEMA)
+    learned = langid.learn_dictionaries(df, F.lit(True))
+    assert learned == langid.learn_dictionaries(df.repartition(7), F.lit(True)) and all(len(x) <= langid.DICTIONARY for x in learned.values())
+    compress = {}
+    for lang, raw in learned.items():
+        content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compress[lang] = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+    texts = [*(make(lang, n) for lang in sounds for n in (1, 3, 30)), "ba ych ción", "x" * 200, "ß é"]
+    for r in langid.identify(docs(spark, texts), learned).collect():
+        sizes = sorted((len(c.compress(texts[r.doc_id].lower().encode())), lang) for lang, c in compress.items())
+        assert r.lang_pred == sizes[0][1] and abs(r.score - (0.5 + 0.5 * min(1, (sizes[1][0] - sizes[0][0]) / sizes[0][0]))) < 1e-12
+
+
+def test_op7_dictionaries_of_a_hot_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DRAWN", 5)
+    df = docs(spark, [f"text {k}" for k in range(300)], [1] * 200 + [None] * 60 + list(range(40)))
+    learned = langid.learn_dictionaries(df, F.lit(True))
+    assert learned["en"].count(b"text") <= 5 and learned == langid.learn_dictionaries(df.repartition(5), F.lit(True))
+
+
 def test_op7_rejects_texts_of_no_learned_language():
     rng = random.Random(5)
     sounds = {"aa": ["ba", "lo", "mi"], "bb": ["krz", "ych", "sto"], "cc": ["ñe", "ción", "que"]}
@@ -350,6 +384,23 @@ def test_op10_learns_pairs(spark, odd):
     assert toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)).score("x") < 0.5
 
 
+def test_op10_score_is_the_explicit_sum_over_pairs():
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choices(WORDS, k=8)), rng.randint(0, 1)) for _ in range(400)]
+    model = toxicity.fit(*labelled(rows))
+    for text, _ in rows[:20]:
+        at = model.positions(toxicity.term_buckets(text))
+        pairs = sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert len(at) > 8 and abs(model.logit(at) - (model.bias + float(model.weights[at].sum()) + pairs)) < 1e-9
+
+
+def test_op10_shared_ids_give_one_model(spark):
+    df = docs(spark, [prose(k, 12) for k in range(90)], [k % 30 for k in range(90)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    a, b = (toxicity.learn(x, labels, F.lit(True)) for x in (df, df.repartition(6)))
+    assert a.bias == b.bias and (a.terms == b.terms).all() and np.allclose(a.weights, b.weights)
+
+
 def labelled(rows):
     return [np.sort(np.array(toxicity.term_buckets(t), "i4")) for t, _ in rows], np.array([y for _, y in rows])
 
