@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asterfold.operators import order
+
 
 def joined(*parts: Column | str) -> Column:
     return F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -36,14 +38,13 @@ def fold(key: Column, folds: int, seed: int) -> Column:
 
 def exact_folds(df: DataFrame, key: str, folds: int, seed: int, by: list[str] | None = None) -> DataFrame:
     """Folds of sizes that differ by one at most within each `by` group: position in hash order modulo folds."""
-    order = f"sha2(concat_ws('|', cast({key} as string), 'fold-{seed}'), 256), {key}"
-    part = f"partition by {', '.join(by)} " if by else ""
-    return df.withColumn("fold", F.expr(f"cast((row_number() over ({part}order by {order}) - 1) % {folds} as int)"))
+    h = F.sha2(joined(F.col(key), f"fold-{seed}"), 256)
+    rows = df.withColumn("__h", h) if by else df.withColumns({"__h": h, "__all": F.lit(0)})
+    placed = order.ranked(rows, by or ["__all"], order.hex_bucket(F.col("__h")), [F.col("__h"), F.col(key)], "__k")
+    return placed.withColumn("fold", ((F.col("__k") - 1) % folds).cast("int")).drop("__h", "__k", "__all")
 
 
 def derangement(df: DataFrame, key: str, seed: int, by: list[str]) -> DataFrame:
     """(by, key, partner): the next key in hash order within the group, the last to the first; no fixed point from two keys on."""
-    order = f"order by sha2(concat_ws('|', cast({key} as string), 'derange-{seed}'), 256), {key}"
-    part = f"partition by {', '.join(by)}"
-    partner = F.expr(f"coalesce(lead({key}) over ({part} {order}), first({key}) over ({part} {order}))")
-    return df.select(*by, key, partner.alias("partner"))
+    rows = df.select(*by, key, F.sha2(joined(F.col(key), f"derange-{seed}"), 256).alias("__h"))
+    return order.following(rows, by, order.hex_bucket(F.col("__h")), [F.col("__h"), F.col(key)], key, "partner").drop("__h")

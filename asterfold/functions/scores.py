@@ -62,3 +62,8 @@ def spectrum_reasons(zwarn: Column, z: Column, zerr: Column, least_z: float) ->
         F.when(~finite(z), "redshift_nonfinite").when(z < least_z, "redshift_below_minimum"),
         F.when(~finite(zerr), "redshift_error_nonfinite").when(zerr <= 0, "redshift_error_not_positive"),
     )
+
+
+def cost(reported: Column, prompt_tokens: Column, completion_tokens: Column, rates: tuple[float, float]) -> Column:
+    """The reported cost, else tokens at their rates per million; null where neither is known."""
+    return F.coalesce(F.when(finite(reported), reported.cast("double")), (prompt_tokens * rates[0] + completion_tokens * rates[1]) / 1e6)

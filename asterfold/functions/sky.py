@@ -18,7 +18,8 @@ def chord(radius_arcsec: float) -> float:
 
 
 def arcsec(squared_chord: Column) -> Column:
-    return F.degrees(2 * F.asin(F.least(F.sqrt(squared_chord) / 2, F.lit(1.0)))) * 3600
+    """Arc seconds of a squared chord; null for null, which least() alone would pass over."""
+    return F.when(squared_chord.isNotNull(), F.degrees(2 * F.asin(F.least(F.sqrt(squared_chord) / 2, F.lit(1.0)))) * 3600)
 
 
 def _spread(x: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from asterfold.functions.binding import bound, present
+
 TREE = "array<struct<node: string, question: string, answer: string>>"
 
 
@@ -35,16 +37,19 @@ def tree(c: Column) -> Column:
 
 
 def tree_path(c: Column) -> Column:
-    """The nodes' names: `node`, else question_answer."""
-    return F.transform(tree(c), lambda n: F.coalesce(n["node"], F.concat(n["question"], F.lit("_"), n["answer"])))
+    """The nodes' names: `node`, else question_answer. A tree without nodes, and a node without a name, raise."""
+    name = lambda n: present(F.coalesce(n["node"], F.concat(n["question"], F.lit("_"), n["answer"])), "name of a node")
+    return bound(tree(c), lambda t: F.when(F.size(t) == 0, F.raise_error(F.lit("a tree without nodes"))).otherwise(F.transform(t, name)))
 
 
 def tree_answers(c: Column) -> Column:
     """question -> answer; of repeated questions the last answer."""
-    asked = F.filter(tree(c), lambda n: n["question"].isNotNull())
-    last = F.filter(asked, lambda n: F.lit(True))
-    keys = F.array_distinct(F.transform(last, lambda n: n["question"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda q: F.element_at(F.filter(last, lambda n: n["question"] == q), -1)["answer"]))
+
+    def answers(asked: Column) -> Column:
+        keys = F.array_distinct(F.transform(asked, lambda n: n["question"]))
+        return bound(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda q: F.element_at(F.filter(asked, lambda n: n["question"] == q), -1)["answer"])))
+
+    return bound(F.filter(tree(c), lambda n: n["question"].isNotNull()), answers)
 
 
 def path_overlap(human: Column, judge: Column) -> Column:

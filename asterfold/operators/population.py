@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
@@ -29,20 +29,33 @@ def build_manifest(source: DataFrame, exclusions: DataFrame, seed: int, train_ra
 
 
 def exact_coverage(source: DataFrame, excluded: DataFrame, name: str, key: str = "object_id") -> DataFrame:
-    """Every excluded id: matched or absent in the source, by id."""
+    """Every excluded id: matched or absent in the source, by id. A repeated excluded id raises."""
     mine = source.select(F.col(key).alias("source_object_id")).distinct()
-    ids = excluded.select(F.col(key).alias("exclusion_id"))
+    ids = validation.require_unique(excluded, key).select(F.col(key).alias("exclusion_id"))
     joined = ids.join(mine, ids.exclusion_id == mine.source_object_id, "left")
     matched = F.col("source_object_id").isNotNull()
     return joined.select(F.lit(name).alias("exclusion_set"), "exclusion_id", F.when(matched, "matched").otherwise("absent").alias("status"), "source_object_id", F.when(matched, 0.0).alias("separation_arcsec"))
 
 
-def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame, n: int, salt: str, seed: int, key: str = "object_id") -> DataFrame:
+def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame, n: int, salt: str, seed: int, key: str = "object_id", excluded: DataFrame | None = None) -> DataFrame:
     """Exactly n rows: anchors first, then priorities by their rank, then the rest by hash; with reason and rank.
 
-    anchors: (key); priorities: (key, priority_rank). One ordered top-n, then ranks over the n rows alone.
+    anchors: (key); priorities: (key, priority_rank), of a repeated key the first rank; excluded: (key), which may be
+    neither. Anchors or priorities that the source lacks or that are excluded, more anchors than n, and fewer
+    eligible rows than n raise, as does a repeated source key. One ordered top-n, then ranks over the n rows alone.
     """
-    tagged = source.join(anchors.select(key).distinct().withColumn("__anchor", F.lit(True)), key, "left").join(priorities.select(key, "priority_rank"), key, "left")
+    if n <= 0 or not salt.strip():
+        raise ValueError("a population needs a positive size and a salt")
+    wanted = anchors.select(key).distinct().withColumn("__anchor", F.lit(True)).join(priorities.groupBy(key).agg(F.min("priority_rank").alias("priority_rank")), key, "full_outer")
+    out = (excluded.select(key).distinct() if excluded is not None else source.select(key).limit(0)).withColumn("__out", F.lit(True))
+    both = source.withColumn("__in", F.lit(True)).join(wanted, key, "full_outer").join(out, key, "left")
+    asked = F.col("__anchor").isNotNull() | F.col("priority_rank").isNotNull()
+    validation.require(both, {"asked for but not in the source": asked & F.col("__in").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull()})
+    validation.require_unique(source, key)
+    tagged = both.where("__in and __out is null").drop("__in", "__out")
+    sizes = tagged.agg(F.count("*").alias("rows"), F.count("__anchor").alias("anchors")).first()
+    if sizes.anchors > n or sizes.rows < n:
+        raise ValueError(f"{n} rows asked for, {sizes.anchors} anchors, {sizes.rows} eligible rows")
     reason = F.when(F.col("__anchor"), "anchor").when(F.col("priority_rank").isNotNull(), "priority").otherwise("hash_fill")
     tier = F.when(F.col("__anchor"), 0).when(F.col("priority_rank").isNotNull(), 1).otherwise(2)
     rank = F.when(tier == 1, F.col("priority_rank")).otherwise(0)

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asterfold.functions import hashing, vectors
+from asterfold.operators import retrieval
+
 
 def gram(df: DataFrame, vector: str, target: str, by: str) -> dict[int, np.ndarray]:
     """Per value of `by` the matrix Z'Z with Z = [1, x, y]: one (d + 2)^2 matrix a partition and group, summed."""
@@ -19,7 +22,8 @@ def gram(df: DataFrame, vector: str, target: str, by: str) -> dict[int, np.ndarr
             for g, rows in frame.groupby(by):
                 z = np.column_stack([np.ones(len(rows)), np.stack(rows[vector].to_numpy()).astype("f8"), rows[target].to_numpy("f8")])
                 sums[g] = sums.get(g, 0) + z.T @ z
-        yield pd.DataFrame({"g": list(sums), "k": 0, "m": [m.ravel() for m in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"g": list(sums), "k": 0, "m": [m.ravel() for m in sums.values()]})
 
     parts = df.select(vector, target, F.col(by).cast("long").alias(by)).mapInPandas(part, "g long, k int, m array<double>")
     summed = parts.select("g", F.posexplode("m").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
@@ -41,9 +45,9 @@ def ridge_solve(m: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
     return float(sy / n - w @ mean), w
 
 
-def select_alpha(df: DataFrame, vector: str, target: str, fold: str, grid: list[float]) -> float:
+def select_alpha(df: DataFrame, vector: str, target: str, fold: str, grid: list[float], per: dict[int, np.ndarray] | None = None) -> float:
     """Lowest mean over folds of the MAE, ties to the smaller alpha. One Gram pass serves the whole grid."""
-    per = gram(df, vector, target, fold)
+    per = per or gram(df, vector, target, fold)
     models = {(a, k): ridge_solve(sum(m for j, m in per.items() if j != k), a) for a in grid for k in per}
     score = df.groupBy(fold).agg(*[F.avg(F.abs(_predict(vector, {k: models[a, k] for k in per}, fold) - F.col(target))).alias(f"a{i}") for i, a in enumerate(grid)]).collect()
     means = [np.mean([row[f"a{i}"] for row in score]) for i in range(len(grid))]
@@ -64,21 +68,124 @@ def _predict(vector: str, models: dict[int, tuple[float, np.ndarray]], fold: str
 
 def ridge_probe(train: DataFrame, test: DataFrame, vector: str, target: str, fold: str, grid: list[float]) -> DataFrame:
     """test with prediction and the chosen alpha."""
-    alpha = select_alpha(train, vector, target, fold, grid)
-    model = ridge_solve(sum(gram(train, vector, target, fold).values()), alpha)
+    per = gram(train, vector, target, fold)
+    alpha = select_alpha(train, vector, target, fold, grid, per)
+    model = ridge_solve(sum(per.values()), alpha)
     return test.withColumns({"prediction": _predict(vector, {0: model}), "alpha": F.lit(float(alpha))})
 
 
-def logistic_probe(train: DataFrame, test: DataFrame, vector: str, label: str, c: float) -> DataFrame:
-    """Multinomial logistic regression with penalty 1 / (C n) on features standardized by the training rows."""
+def moments(train: DataFrame, vector: str) -> tuple[list[float], list[float]]:
+    """Mean and population std (0 as 1) of each dimension over the training rows."""
+    rows = train.select(F.posexplode(vector).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("d").collect()
+    return [r.m for r in rows], [r.s or 1.0 for r in rows]
+
+
+def standardized(vector: str, mean: list[float], scale: list[float]) -> Column:
+    centred = F.zip_with(F.col(vector), F.lit(mean), lambda x, m: x - m)
+    return F.zip_with(centred, F.lit(scale), lambda x, s: x / s)
+
+
+def logistic_probe(train: DataFrame, test: DataFrame, vector: str, label: str, c: float, labels: list[int] | None = None) -> DataFrame:
+    """test with `prediction` by multinomial logistic regression, penalty 1 / (C n), on features standardized by the training rows.
+
+    With labels also `probabilities` in their order, 0 for a label that the training rows lack.
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    moments = train.select(F.posexplode(vector).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("d").collect()
-    mean, scale = [r.m for r in moments], [r.s or 1.0 for r in moments]
-    scaled = lambda df: df.withColumn("__f", array_to_vector(F.zip_with(F.zip_with(F.col(vector), F.lit(mean), lambda x, m: x - m), F.lit(scale), lambda x, s: x / s)))
+    mean, scale = moments(train, vector)
+    scaled = lambda df: df.withColumn("__f", array_to_vector(standardized(vector, mean, scale)))
     model = LogisticRegression(featuresCol="__f", labelCol=label, predictionCol="prediction", regParam=1 / (c * train.count()), standardization=False, family="multinomial", maxIter=200).fit(scaled(train))
-    return model.transform(scaled(test)).drop("__f", "rawPrediction", "probability")
+    out = model.transform(scaled(test))
+    if labels is not None:
+        known = vector_to_array("probability")
+        out = out.withColumn("probabilities", F.array(*[F.coalesce(F.get(known, F.lit(x)), F.lit(0.0)) for x in labels]))
+    return out.drop("__f", "rawPrediction", "probability")
+
+
+def select_c(train: DataFrame, vector: str, label: str, fold: str, grid: list[float]) -> float:
+    """Highest mean over folds of the accuracy, ties to the smaller C; each fold's features are scaled by its own training rows."""
+    folds = [r[0] for r in train.select(fold).distinct().orderBy(fold).collect()]
+
+    def accuracy(c: float, k: int) -> float:
+        found = logistic_probe(train.where(F.col(fold) != k), train.where(F.col(fold) == k), vector, label, c)
+        return found.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+
+    means = {c: float(np.mean([accuracy(c, k) for k in folds])) for c in grid}
+    return min(grid, key=lambda c: (-means[c], c))
+
+
+#: Columns of prediction rows.
+PREDICTIONS = ("object_id", "encoder", "encoder_revision", "target", "probe_family", "split", "split_seed", "y_true_numeric", "y_pred_numeric", "y_true_label", "y_pred_label", "hyperparameter_name", "hyperparameter_value")
+
+
+def prediction_rows(df: DataFrame, key: str, encoder: str, revision: str, target: str, family: str, seed: int, true: Column, said: Column, parameter: str, value: Column, numeric: bool) -> DataFrame:
+    """The thirteen columns of a probe's test rows; numbers are null for labels, labels empty for numbers."""
+    none, empty = F.lit(None).cast("double"), F.lit("")
+    numbers, words = ((true.cast("double"), said.cast("double")), (empty, empty)) if numeric else ((none, none), (true.cast("string"), said.cast("string")))
+    cells = [F.col(key).cast("string"), F.lit(encoder), F.lit(revision), F.lit(target), F.lit(family), F.lit("test"), F.lit(seed), *numbers, *words, F.lit(parameter), value.cast("double")]
+    return df.select(*[c.alias(n) for c, n in zip(cells, PREDICTIONS, strict=True)])
+
+
+def neighbours(train: DataFrame, test: DataFrame, key: str, vector: str, keep: str, k: int) -> DataFrame:
+    """For each test row its k nearest training rows by the cosine of standardized features: key, `keep`, rank."""
+    mean, scale = moments(train, vector)
+    unit = lambda df: df.withColumn("__u", vectors.normalized(standardized(vector, mean, scale)))
+    found = retrieval.top_scores(unit(test).select(F.col(key).alias("__query"), "__u"), unit(train), "__query", "__u", key, "__u", k, [keep])
+    return found.drop(key).withColumnRenamed("__query", key)
+
+
+def probe_suite(train: DataFrame, test: DataFrame, key: str, vector: str, value: str, label: str | None, fold: str, alphas: list[float], cs: list[float], k: int, encoder: str, revision: str, seed: int) -> DataFrame:
+    """Prediction rows of a ridge and a kNN probe of `value`, and of a logistic and a kNN probe of `label` if there is one."""
+    same = lambda df, *p: prediction_rows(df, key, encoder, revision, *p)
+    ridge = ridge_probe(train, test, vector, value, fold, alphas)
+    near = neighbours(train, test, key, vector, value, k).groupBy(key).agg(F.avg(value).alias("prediction")).join(test.select(key, value), key)
+    out = same(ridge, value, "linear", seed, F.col(value), F.col("prediction"), "ridge_alpha", F.col("alpha"), True)
+    out = out.unionByName(same(near, value, "knn", seed, F.col(value), F.col("prediction"), "k", F.lit(k), True))
+    if label:
+        c = select_c(train, vector, label, fold, cs)
+        said = logistic_probe(train, test, vector, label, c).withColumn("prediction", F.col("prediction").cast("int"))
+        voted = retrieval.vote(neighbours(train, test, key, vector, label, k), [key], label).join(test.select(key, label), key)
+        out = out.unionByName(same(said, label, "linear", seed, F.col(label), F.col("prediction"), "logistic_c", F.lit(c), False))
+        out = out.unionByName(same(voted, label, "knn", seed, F.col(label), F.col("prediction"), "k", F.lit(k), False))
+    return out
+
+
+def modality_comparison(df: DataFrame, key: str, vector: str, target: str, parts: dict[str, list[int]], seeds: list[int], train_ratio: float, folds: int, alphas: list[float]) -> DataFrame:
+    """Prediction rows of ridge probes on parts of a fused vector, one condition each, over the same splits.
+
+    parts: a condition's dimensions. Rows are repeated for each seed; one Gram pass over the fused vectors serves all
+    conditions, as a part's matrix is a block of the whole, and one pass each scores the alphas and the test rows.
+    """
+    each = df.select(key, vector, F.col(target).cast("double").alias("__y"), F.explode(F.array(*map(F.lit, seeds))).alias("split_seed"))
+    each = each.withColumns({"__train": hashing.fraction(F.col(key), F.col("split_seed").cast("string")) < train_ratio, "__fold": F.floor(hashing.fraction(F.col(key), F.concat(F.lit("fold-"), F.col("split_seed").cast("string"))) * folds).cast("int")})
+    train = each.where("__train").withColumn("__g", F.col("split_seed") * folds + F.col("__fold"))
+    whole = gram(train, vector, "__y", "__g")
+    block = lambda m, dims: m[np.ix_(i := [0, *[d + 1 for d in dims], m.shape[0] - 1], i)]
+
+    def model(dims: list[int], matrices: list[np.ndarray], alpha: float) -> tuple[float, np.ndarray]:
+        b, w = ridge_solve(sum(block(m, dims) for m in matrices), alpha)
+        full = np.zeros(whole[next(iter(whole))].shape[0] - 2)
+        full[dims] = w
+        return b, full
+
+    trials = [(name, a, {g: model(dims, [m for h, m in whole.items() if h != g and h // folds == g // folds], a) for g in whole}) for name, dims in parts.items() for a in alphas]
+    scored = train.groupBy("split_seed", "__g").agg(*[F.avg(F.abs(_predict(vector, models, "__g") - F.col("__y"))).alias(f"t{i}") for i, (_, _, models) in enumerate(trials)]).collect()
+    chosen, final = {}, {}
+    for seed in seeds:
+        for name, dims in parts.items():
+            means = {a: np.mean([r[f"t{i}"] for r in scored if r.split_seed == seed]) for i, (n, a, _) in enumerate(trials) if n == name}
+            chosen[seed, name] = alpha = min(alphas, key=lambda a: (round(means[a], 12), a))
+            final[seed, name] = model(dims, [m for g, m in whole.items() if g // folds == seed], alpha)
+    said = lambda name: F.struct(F.lit(name).alias("encoder"), _predict(vector, {s: final[s, name] for s in seeds}, "split_seed").alias("p"), F.create_map(*[x for s in seeds for x in (F.lit(s), F.lit(float(chosen[s, name])))])[F.col("split_seed")].alias("alpha"))
+    rows = each.where(~F.col("__train")).select(key, "split_seed", "__y", F.explode(F.array(*map(said, parts))).alias("c"))
+    return rows.select(F.col(key).alias("object_id"), "c.encoder", "split_seed", F.col("__y").alias("y_true_numeric"), F.col("c.p").alias("y_pred_numeric"), F.col("c.alpha").alias("hyperparameter_value"))
+
+
+def alpha_edges(predictions: DataFrame, alphas: list[float]) -> DataFrame:
+    """Each condition's and seed's chosen alpha, and whether it lies at an end of the grid."""
+    a = F.col("hyperparameter_value")
+    return predictions.select("encoder", "split_seed", "hyperparameter_value").distinct().withColumns({"at_grid_min": a == float(min(alphas)), "at_grid_max": a == float(max(alphas))})
 
 
 def pca(train: DataFrame, df: DataFrame, vector: str, k: int) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Spatial joins: unit vectors in cells of the search radius, so that they are equi-joins.
+"""Spatial joins: unit vectors in cells of twice the search radius, so that they are equi-joins.
 
-A pair within the radius differs by one cell per axis at most; the right side is copied to its 27 neighbours, which
-needs no special case at the poles or at right ascension 0.
+The right side is copied into the cells that its radius reaches, two an axis at most, so 8 in all and often 1; the
+poles and right ascension 0 need no special case.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +17,26 @@ from asterfold.functions import sky
 LEAST_EDGE = 2.0**-19
 
 
-def with_cells(df: DataFrame, ra: str, dec: str, edge: float, spread: bool) -> DataFrame:
+def with_cells(df: DataFrame, ra: str, dec: str, edge: float, reach: float | None) -> DataFrame:
+    """The cell of each place, or, copied, the cells within `reach` of it along the axes."""
     x, y, z = sky.unit(F.col(ra), F.col(dec))
     df = df.withColumns({"__x": x, "__y": y, "__z": z})
-    axes = [F.floor(F.col(c) / edge) + (1 << 20) for c in ("__x", "__y", "__z")]
-    if not spread:
-        return df.withColumn("__cell", (axes[0] * (1 << 21) + axes[1]) * (1 << 21) + axes[2])
-    near = F.array(*[F.lit((i * (1 << 21) + j) * (1 << 21) + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    home = (axes[0] * (1 << 21) + axes[1]) * (1 << 21) + axes[2]
-    return df.withColumn("__cell", F.explode(F.transform(near, lambda d: home + d)))
+    packed = lambda cells: (cells[0] * (1 << 21) + cells[1]) * (1 << 21) + cells[2]
+    axis = lambda c, by: F.floor((F.col(c) + by) / edge) + (1 << 20)
+    if reach is None:
+        return df.withColumn("__cell", packed([axis(c, 0.0) for c in ("__x", "__y", "__z")]))
+    sides = [(axis(c, -reach), axis(c, reach)) for c in ("__x", "__y", "__z")]
+    return df.withColumn("__cell", F.explode(F.array_distinct(F.array(*[packed(cells) for cells in itertools.product(*sides)]))))
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner") -> DataFrame:
     """left joined with right rows within the radius; adds separation_arcsec. on: ra, dec of left, ra, dec of right.
 
-    Column names of the sides must differ. The right side is copied 27 times: give the smaller one.
+    Column names of the sides must differ. The right side is copied up to 8 times: give the smaller one.
     """
-    edge = max(sky.chord(radius_arcsec) * 1.0001, LEAST_EDGE)
-    a = with_cells(left, on[0], on[1], edge, False)
-    b = with_cells(right, on[2], on[3], edge, True)
+    reach = max(sky.chord(radius_arcsec) * 1.0001, LEAST_EDGE / 2)
+    a = with_cells(left, on[0], on[1], 2 * reach, None)
+    b = with_cells(right, on[2], on[3], 2 * reach, reach)
     b = b.withColumnsRenamed({c: f"{c}r" for c in ("__x", "__y", "__z")})
     squared = sum(((F.col(c) - F.col(f"{c}r")) * (F.col(c) - F.col(f"{c}r")) for c in ("__y", "__z")), (F.col("__x") - F.col("__xr")) * (F.col("__x") - F.col("__xr")))
     b = b.withColumnRenamed("__cell", "__cellr")
@@ -48,17 +51,31 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[s
     return near.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
 
 
+def untruncated(matches: DataFrame, k: int) -> DataFrame:
+    """The ranked matches; raises, when they are read, where a list reaches k, for it may have been cut short."""
+    full = F.when(F.col("candidate_rank") >= k, F.raise_error(F.lit(f"a list of matches reaches {k}"))).otherwise(F.col("candidate_rank"))
+    return matches.withColumn("candidate_rank", full)
+
+
 def one_to_one(matches: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Of the matches of a right row the nearest, ties by left id."""
     return matches.withColumn("__r", F.expr(f"row_number() over (partition by {right_id} order by separation_arcsec, {left_id})")).where("__r = 1").drop("__r")
 
 
 def coverage(benchmark: DataFrame, source: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], benchmark_id: str, source_id: str) -> DataFrame:
-    """Every benchmark row with its nearest source: status matched or absent; benchmark-major."""
+    """Every benchmark row with its nearest source: status matched or absent; benchmark-major. Absent rows have no separation."""
     found = nearest(benchmark, source, radius_arcsec, on, benchmark_id, source_id, 1, "left")
     return found.select(benchmark_id, F.when(F.col(source_id).isNull(), "absent").otherwise("matched").alias("status"), F.col(source_id).alias("source_object_id"), "separation_arcsec")
 
 
+def full_coverage(benchmark: DataFrame, source: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], benchmark_id: str, source_id: str) -> DataFrame:
+    """coverage(), with the separation from the nearest source of absent rows too, which name no source."""
+    found = coverage(benchmark, source, radius_arcsec, on, benchmark_id, source_id)
+    absent = benchmark.join(found.where("status = 'absent'").select(benchmark_id), benchmark_id, "left_semi")
+    far = absent_separations(absent, source, on, benchmark_id, source_id).select(benchmark_id, F.col("separation_arcsec").alias("__far"))
+    return found.join(F.broadcast(far), benchmark_id, "left").withColumn("separation_arcsec", F.coalesce("separation_arcsec", "__far")).drop("__far")
+
+
 def absent_separations(absent: DataFrame, source: DataFrame, on: tuple[str, str, str, str], benchmark_id: str, source_id: str, limit: int = 10_000) -> DataFrame:
     """Nearest source at any distance of the benchmark rows without a match, by partial minima: no pair is shuffled.
 
@@ -85,14 +102,20 @@ def nearest_per_reason(source: DataFrame, benchmarks: DataFrame, radius_arcsec:
 
 
 def match_summary(source: DataFrame, candidates: DataFrame, radii: list[float], source_id: str, target_id: str, survey: str, selection: str) -> DataFrame:
-    """Per radius, overall and by survey and by selection: sources, any and valid matches, ambiguous and shared ones.
+    """Per radius, overall and by survey and by selection: sources, any and valid matches, ambiguous ones.
 
-    One join at the largest radius serves all radii; candidates need separation_arcsec and is_valid.
+    Overall rows (null survey and selection) also count valid candidates, the targets that are some source's nearest
+    valid one, and those that several share. One join at the largest radius serves all radii; candidates need
+    separation_arcsec and is_valid.
     """
     radius = F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius")
+    nearest_valid = F.min(F.when(F.col("is_valid"), F.struct("separation_arcsec", target_id)))[target_id]
     per = candidates.select("*", radius).where("separation_arcsec <= radius").groupBy("radius", source_id).agg(
-        F.count("*").alias("n_any"), F.count_if("is_valid").alias("n_valid"))
+        F.count("*").alias("n_any"), F.count_if("is_valid").alias("n_valid"), nearest_valid.alias("selected"))
     every = source.select(source_id, survey, selection, radius).join(per, ["radius", source_id], "left")
-    sums = [F.count("*").alias("sources"), F.count_if(F.coalesce("n_any", F.lit(0)) > 0).alias("any_match"), F.count_if(F.coalesce("n_valid", F.lit(0)) > 0).alias("valid_match"), F.count_if(F.coalesce("n_valid", F.lit(0)) > 1).alias("ambiguous")]
-    grouped = every.groupingSets([["radius"], ["radius", survey], ["radius", selection]], "radius", survey, selection).agg(*sums)
-    return grouped.withColumn("valid_fraction", F.round(F.col("valid_match") / F.col("sources"), 6))
+    sums = [F.count("*").alias("sources"), F.count_if(F.coalesce("n_any", F.lit(0)) > 0).alias("any_match"), F.count_if(F.coalesce("n_valid", F.lit(0)) > 0).alias("valid_match"), F.count_if(F.coalesce("n_valid", F.lit(0)) > 1).alias("ambiguous"), F.coalesce(F.sum("n_valid"), F.lit(0)).alias("valid_candidates")]
+    grouped = every.groupingSets([["radius"], ["radius", survey], ["radius", selection]], "radius", survey, selection).agg(*sums, F.grouping_id().alias("__level"))
+    targets = per.where("selected is not null").groupBy("radius", "selected").agg(F.count("*").alias("n")).groupBy("radius").agg(F.count("*").alias("selected_targets"), F.count_if(F.col("n") > 1).alias("shared_targets"))
+    overall = F.col("__level") == 3
+    out = grouped.join(F.broadcast(targets), "radius", "left").withColumn("valid_fraction", F.round(F.col("valid_match") / F.col("sources"), 6))
+    return out.withColumns({c: F.when(overall, F.coalesce(c, F.lit(0))) for c in ("valid_candidates", "selected_targets", "shared_targets")}).drop("__level")

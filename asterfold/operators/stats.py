@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
+from asterfold.operators import order
 
 
 def r6(c: Column) -> Column:
@@ -33,16 +34,17 @@ def regression(df: DataFrame, by: list[str], predicted: str, true: str, threshol
 
 
 def nmad(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """1.4826 times the median distance from the median; exact medians, two aggregations."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("__m"))
-    joined = df.join(F.broadcast(middle), by) if by else df.crossJoin(middle)
-    return joined.groupBy(*by).agg(r6(1.4826 * F.median(F.abs(F.col(value) - F.col("__m")))).alias("nmad"))
+    """1.4826 times the median distance from the median; exact medians, no group in one task."""
+    middle = order.quantiles(df, by, value, [0.5]).select(*by, F.col("value").alias("__m"))
+    joined = df.join(order.small(middle), by) if by else df.crossJoin(middle)
+    apart = order.quantiles(joined.select(*by, F.abs(F.col(value) - F.col("__m")).alias("__d")), by, "__d", [0.5])
+    return apart.select(*by, r6(1.4826 * F.col("value")).alias("nmad"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
     """Exact linear quantiles, one row each."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in at]))
-    return df.groupBy(*by).agg(q.alias("q")).select(*by, F.posexplode("q").alias("k", "v")).select(*by, F.get(F.array(*[F.lit(p) for p in at]), F.col("k")).alias("quantile"), r6(F.col("v")).alias("value"))
+    found = order.quantiles(df, by, value, at)
+    return found.select(*by, F.get(F.array(*[F.lit(p) for p in at]), F.col("k")).alias("quantile"), r6(F.col("value")).alias("value"))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -64,6 +66,22 @@ def report(df: DataFrame, predicted: str, true: str) -> DataFrame:
     return c.select("label", r6(precision).alias("precision"), r6(recall).alias("recall"), r6(f1).alias("f1"), "support")
 
 
+def classification_summary(df: DataFrame, by: list[str], predicted: str, true: str) -> DataFrame:
+    """n, accuracy and macro-F1, the mean F1 of all labels that are said or true, 0 where undefined."""
+    p, t = F.col(predicted), F.col(true)
+    sides = F.explode(F.array(F.struct(p.alias("label"), F.lit(1).alias("said"), F.lit(0).alias("is")), F.struct(t.alias("label"), F.lit(0).alias("said"), F.lit(1).alias("is"))))
+    labels = df.select(*by, (p == t).cast("int").alias("hit"), sides.alias("s")).groupBy(*by, "s.label").agg(
+        F.sum(F.col("hit") * F.col("s.is")).alias("tp"), F.sum("s.said").alias("said"), F.sum("s.is").alias("support"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("said") + F.col("support")), F.lit(0.0))
+    return labels.groupBy(*by).agg(F.sum("support").alias("n"), r6(F.sum("tp") / F.sum("support")).alias("accuracy"), r6(F.avg(f1)).alias("macro_f1"))
+
+
+def all_passed(df: DataFrame, by: list[str], passed: Column) -> DataFrame:
+    """Rows, rows that pass, and whether all do, per group."""
+    ok = F.coalesce(passed, F.lit(False))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_passed"), F.bool_and(ok).alias("all_passed"))
+
+
 def majority(df: DataFrame, by: list[str], label: str) -> DataFrame:
     counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     return counts.groupBy(*by).agg(F.max_by(label, F.struct("n", (-F.col(label)).alias("x"))).alias("majority"))

@@ -50,11 +50,53 @@ def no_overlap(a: DataFrame, b: DataFrame, key: str) -> None:
 
 
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
-    odd = a.select(key).distinct().join(b.select(key).distinct().withColumn("__b", F.lit(1)), key, "left_anti").limit(1).count() + b.select(key).join(a.select(key), key, "left_anti").limit(1).count()
-    if odd:
+    """Raises where one side has a key that the other lacks; one join."""
+    left, right = a.select(key).distinct().withColumn("__l", F.lit(1)), b.select(key).distinct().withColumn("__r", F.lit(1))
+    if left.join(right, key, "full_outer").where("__l is null or __r is null").limit(1).count():
         raise ValueError(f"{key} sets differ")
 
 
+def resume_sets(expected: DataFrame, good: DataFrame, bad: DataFrame, key: str) -> None:
+    """A run may go on if no key is both done and failed, and if all done or failed keys are expected."""
+    no_overlap(good, bad, key)
+    if good.select(key).unionByName(bad.select(key)).join(expected.select(key), key, "left_anti").limit(1).count():
+        raise ValueError(f"{key} is done but not expected")
+
+
+def coverage(found: DataFrame, expected: int) -> DataFrame:
+    """Coverage rows: as many as expected, each matched or absent, matched ones with a source."""
+    rules = {"state": ~F.coalesce(F.col("status").isin("matched", "absent"), F.lit(False)), "matched without a source": (F.col("status") == "matched") & (F.coalesce(F.col("source_object_id").cast("string"), F.lit("")) == "")}
+    row = found.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()]).first()
+    broken = {k: row[k] for k in rules if row[k]} | ({"rows": row.n} if row.n != expected else {})
+    if broken:
+        raise ValueError(f"coverage breaks {broken}, {expected} rows expected")
+    return found
+
+
+def same_target(df: DataFrame, graded: Column, threshold: float, binary: Column) -> DataFrame:
+    """A graded target reaches the threshold exactly where the binary one holds."""
+    return require(df, {"graded and binary targets differ": ~(graded >= threshold).eqNullSafe(binary)})
+
+
+def expected_positives(df: DataFrame, by: str, relevant: Column, expected: dict[str, int]) -> DataFrame:
+    """df, if each named group has as many relevant rows as expected."""
+    got = {r[by]: r.n for r in df.where(F.col(by).isin(*expected)).groupBy(by).agg(F.count_if(relevant).alias("n")).collect()}
+    wrong = {k: got.get(k, 0) for k, n in expected.items() if got.get(k, 0) != n}
+    if wrong:
+        raise ValueError(f"positives {wrong}, expected {expected}")
+    return df
+
+
+def held_out_predictions(predictions: DataFrame, splits: DataFrame, key: str, condition: str, seed: str) -> DataFrame:
+    """predictions, if each condition has exactly each seed's test keys, once. splits: key, seed, split."""
+    test = splits.where("split = 'test'").select(key, seed)
+    wanted = test.crossJoin(F.broadcast(predictions.select(condition).distinct())).withColumn("__want", F.lit(1))  # a few conditions
+    per = predictions.groupBy(key, seed, condition).agg(F.count("*").alias("__n"))
+    both = per.join(wanted, [key, seed, condition], "full_outer")
+    require(both, {"missing": F.col("__n").isNull(), "not held out": F.col("__want").isNull(), "repeated": F.col("__n") > 1})
+    return predictions
+
+
 def paired(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join with a side column (both, left_only, right_only)."""
     a, b = left.withColumn("__l", F.lit(True)), right.withColumn("__r", F.lit(True))
@@ -88,6 +130,15 @@ def validate_embedding_cache(df: DataFrame, atol: float = 1e-3) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that doesn't depend on row order: the row count, and sums and xor of row hashes."""
-    h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    """One row that doesn't depend on row order: the row count, and sum and xor of 60 bits of each row's SHA-256 as JSON."""
+    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
     return df.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor("h"), F.lit(0).cast("long")).alias("xor_hash"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum_hash"))
+
+
+def gate(df: DataFrame, name: str, value: Column, targets: dict[str, float], digits: int = 3) -> DataFrame:
+    """Each named metric's value, its target, and whether they agree to so many digits; a target without a metric is not passed."""
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("target")) for k, v in targets.items()])).alias("w")
+    every = df.sparkSession.range(1).select(wanted).select("w.*")
+    got = df.select(F.col(name).alias("name"), F.round(value, digits).alias("value"))
+    return every.join(got, "name", "left").withColumn("passed", F.coalesce(F.abs(F.col("value") - F.col("target")) < 10.0 ** -(digits + 2), F.lit(False)))

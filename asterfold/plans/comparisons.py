@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import morphology, scores, text, vectors
-from asterfold.operators import audits, cells, population, retrieval, sphere, stats, validation
+from asterfold.operators import audits, cells, order, population, retrieval, sphere, stats, validation
 from asterfold.operators.stats import r6
 from asterfold.plans.queries import BOOT, JOINT, PLACES, RADIUS, SQL, manifest_build, place, query, skies, table, votes
 
@@ -163,7 +163,8 @@ def condition_grid(spark: SparkSession, d: str) -> DataFrame:
   select lang, round(avg(n), 6) + 0.0 as mean, median(n)::double as median, max(n)::integer as max from w group by lang""")
 def word_stats(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "documents").select("lang", text.word_count(F.col("text")).alias("n"))
-    return n.groupBy("lang").agg(r6(F.avg("n")).alias("mean"), F.median("n").alias("median"), F.max("n").alias("max"))
+    middle = order.quantiles(n, ["lang"], "n", [0.5]).select("lang", F.col("value").alias("median"))
+    return n.groupBy("lang").agg(r6(F.avg("n")).alias("mean"), F.max("n").alias("max")).join(order.small(middle), "lang").select("lang", "mean", "median", "max")
 
 
 @query("select c_custkey::varchar as object_id, c_mktsegment as survey, round((c_custkey * 137.508::double) % 360, 6) + 0.0 as ra, round((c_custkey % 1800) / 10.0::double - 90, 6) + 0.0 as dec, c_custkey::bigint as source_row_id from customer")

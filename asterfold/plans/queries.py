@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing, scores, text, vectors
-from asterfold.operators import audits, population, probes, retrieval, sphere, stats, validation
+from asterfold.operators import audits, order, population, probes, retrieval, sphere, stats, validation
 from asterfold.operators.stats import r6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,11 +38,18 @@ SCORED = """scored as (
   from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)"""
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def nearest(spark: SparkSession, d: str, k: int, by: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k best of each query (by `by`), and the counts of its positives: rows of its label less itself."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    rows = retrieval.score_blocks(q, e, "query_id", "q", "embedding").where("query_id <> vec_id")
-    return rows.select("query_id", "vec_id", "label", (F.col("label") == F.col("query_label")).cast("int").alias("rel"), "score")
+    e, part = (e.withColumn("fold", by), ["fold"]) if by is not None else (e, [])
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"), *[F.col(c).alias(f"own_{c}") for c in part])
+    head = retrieval.top_scores(q, e, "query_id", "q", "vec_id", "embedding", k, ["label"], *part)
+    known = head.join(F.broadcast(q.select("query_id", "query_label")) if q.count() <= 1_000_000 else q.select("query_id", "query_label"), "query_id")
+    head = known.withColumn("rel", (F.col("label") == F.col("query_label")).cast("int")).drop("query_label")
+    own = (F.col("own_fold") == F.col("fold")).cast("int") if part else F.lit(1)
+    counts = e.groupBy("label", *part).agg(F.count("*").alias("n"))
+    positives = q.join(counts, q.query_label == counts.label).select("query_id", *part, (F.col("n") - own).alias("positives"))
+    return head, positives
 
 
 NDCG = """ranked as (select *, row_number() over (partition by {by} order by score desc, vec_id) as r,
@@ -53,19 +60,20 @@ from ranked group by {by}"""
 
 @query(f"with {SCORED}, {NDCG.format(by='query_id')}")
 def vector_ndcg_at_10(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ndcg(scored(spark, d), ["query_id"], "vec_id", "rel", 10)
+    head, positives = nearest(spark, d, 10)
+    return retrieval.top_ndcg(head, positives, ["query_id"], "rel", 10)
 
 
 @query(f"with {SCORED} select query_id, vec_id, rel, score, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored qualify rank <= 10")
 def vector_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top(scored(spark, d), ["query_id"], "vec_id", 10).select("query_id", "vec_id", "rel", "score", "rank")
+    return nearest(spark, d, 10)[0].select("query_id", "vec_id", "rel", "score", "rank")
 
 
 @query(f"""with {SCORED}, ranked as (select query_id, rel, row_number() over (partition by query_id order by score desc, vec_id) as r from scored),
   firsts as (select query_id, min(r) filter (rel = 1) as f from ranked group by query_id)
   select k, round(avg(case when f <= k then 1.0 else 0.0 end), 6) as recall from firsts cross join (select unnest([1, 5, 10]) as k) group by k""")
 def vector_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.recall(scored(spark, d).withColumn("hit", F.col("rel") == 1), ["query_id"], "vec_id", "hit", [1, 5, 10])
+    return retrieval.recall(nearest(spark, d, 10)[0].withColumn("hit", F.col("rel") == 1), ["query_id"], "vec_id", "hit", [1, 5, 10])
 
 
 FRACTION = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
@@ -73,21 +81,21 @@ FRACTION = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073
 
 @query(f"with {SCORED.replace('scored as', 'base as')}, scored as (select *, cast(floor({FRACTION.format(chr(39).join(['vec_id || ', '|fold-7', '']))} * 10) as integer) as fold from base), {NDCG.format(by='query_id, fold')}")
 def vector_fold_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).withColumn("fold", hashing.fold(F.col("vec_id"), 10, 7))
-    return retrieval.ndcg(rows, ["query_id", "fold"], "vec_id", "rel", 10)
+    head, positives = nearest(spark, d, 10, hashing.fold(F.col("vec_id"), 10, 7))
+    return retrieval.top_ndcg(head, positives, ["query_id", "fold"], "rel", 10)
 
 
 @query(f"""with {SCORED}, near as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored qualify r <= 5),
   votes as (select query_id, label, count(*) as n from near group by all)
   select query_id, arg_max(label, n * 1000 - label) as prediction from votes group by query_id""")
 def knn_cosine_classify(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.vote(retrieval.knn(scored(spark, d), ["query_id"], "vec_id", 5), ["query_id"], "label")
+    return retrieval.vote(nearest(spark, d, 5)[0], ["query_id"], "label")
 
 
 @query(f"""with {SCORED}, near as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored qualify r <= 5)
   select query_id, round(avg(cast(label as double)), 6) + 0.0 as prediction from near group by query_id""")
 def knn_cosine_regress(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.knn(scored(spark, d), ["query_id"], "vec_id", 5).groupBy("query_id").agg(r6(F.avg("label")).alias("prediction"))
+    return nearest(spark, d, 5)[0].groupBy("query_id").agg(r6(F.avg("label")).alias("prediction"))
 
 
 @query(f"select o_orderkey, case when {FRACTION.format(chr(39).join(['o_orderkey || ', '|42', '']))} < 0.8 then 'train' else 'validation' end as split from orders")
@@ -144,13 +152,13 @@ def exact_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with tagged as (select c_custkey, c_acctbal, case when s_suppkey is not null then 0 when c_acctbal > 9000 then 1 else 2 end as tier, sha256('pop|' || c_custkey || '|13') as h
     from customer left join supplier on s_suppkey = c_custkey and s_acctbal > 5000),
-  top as (select *, case tier when 0 then 'anchor' when 1 then 'priority' else 'hash_fill' end as selection_reason from tagged order by tier, case when tier = 1 then -c_acctbal else 0 end, h, c_custkey limit 300)
+  top as (select *, case tier when 0 then 'anchor' when 1 then 'priority' else 'hash_fill' end as selection_reason from tagged order by tier, case when tier = 1 then -c_acctbal else 0 end, h, c_custkey limit (select count(*) // 3 from customer))
   select c_custkey, selection_reason, cast(row_number() over (order by h, c_custkey) - 1 as integer) as selection_rank from top""")
 def population_anchor_priority_fill(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     anchors = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("c_custkey"))
     priorities = c.where("c_acctbal > 9000").select("c_custkey", (-F.col("c_acctbal")).alias("priority_rank"))
-    return population.fill_population(c.select("c_custkey"), anchors, priorities, 300, "pop", 13, "c_custkey")
+    return population.fill_population(c.select("c_custkey"), anchors, priorities, c.count() // 3, "pop", 13, "c_custkey")
 
 
 PLACES = """cu as (select c_custkey, c_mktsegment, c_nationkey, radians((c_custkey * 137.508::double) % 360) as a, radians((c_custkey % 1800) / 10.0::double - 90) as e from customer),
@@ -204,9 +212,13 @@ def sphere_exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {PLACES}, radii as (select unnest([1800.0::double, 3600.0, 7200.0]) as radius),
   per as (select radius, c_custkey, count(*) as n_any, count(*) filter (s_acctbal > 0) as n_valid from near join radii on separation_arcsec <= radius group by all),
-  joined as (select radius, c_mktsegment, 'n' || c_nationkey as c_nationkey, coalesce(n_any, 0) as n_any, coalesce(n_valid, 0) as n_valid from cu cross join radii left join per using (radius, c_custkey))
-  select radius, c_mktsegment, c_nationkey, count(*) as sources, count(*) filter (n_any > 0) as any_match, count(*) filter (n_valid > 0) as valid_match, count(*) filter (n_valid > 1) as ambiguous,
-    round(count(*) filter (n_valid > 0) / count(*), 6) as valid_fraction from joined group by grouping sets ((radius), (radius, c_mktsegment), (radius, c_nationkey))""")
+  joined as (select radius, c_mktsegment, 'n' || c_nationkey as c_nationkey, coalesce(n_any, 0) as n_any, coalesce(n_valid, 0) as n_valid from cu cross join radii left join per using (radius, c_custkey)),
+  cells as (select radius, c_mktsegment, c_nationkey, count(*) as sources, count(*) filter (n_any > 0) as any_match, count(*) filter (n_valid > 0) as valid_match, count(*) filter (n_valid > 1) as ambiguous, sum(n_valid)::bigint as valid_candidates,
+    round(count(*) filter (n_valid > 0) / count(*), 6) as valid_fraction, grouping(c_mktsegment) + grouping(c_nationkey) = 2 as overall from joined group by grouping sets ((radius), (radius, c_mktsegment), (radius, c_nationkey))),
+  chosen as (select radius, s_suppkey, count(*) as n from (select radius, c_custkey, s_suppkey from near join radii on separation_arcsec <= radius where s_acctbal > 0 qualify row_number() over (partition by radius, c_custkey order by separation_arcsec, s_suppkey) = 1) group by all),
+  targets as (select radius, count(*) as selected_targets, count(*) filter (n > 1) as shared_targets from chosen group by radius)
+  select radius, c_mktsegment, c_nationkey, sources, any_match, valid_match, ambiguous, valid_fraction, case when overall then valid_candidates end as valid_candidates,
+    case when overall then coalesce(selected_targets, 0) end as selected_targets, case when overall then coalesce(shared_targets, 0) end as shared_targets from cells left join targets using (radius)""")
 def match_summary_by_radius(spark: SparkSession, d: str) -> DataFrame:
     c, s, on = skies(spark, d)
     c = c.withColumn("c_nationkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))
@@ -230,12 +242,12 @@ def quality_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {REASONS} select l_orderkey, l_linenumber, reason, cast(row_number() over w as integer) as candidate_rank,
-  case when reason = '' then cast(sum(case when reason = '' then 1 else 0 end) over (w rows unbounded preceding) as integer) else 0 end as valid_candidate_rank
+  case when reason = '' then cast(sum(case when reason = '' then 1 else 0 end) over (w rows unbounded preceding) as integer) end as valid_candidate_rank
   from reasons window w as (partition by l_orderkey order by l_extendedprice, l_linenumber)""")
 def candidate_ranks(spark: SparkSession, d: str) -> DataFrame:
     w = "over (partition by l_orderkey order by l_extendedprice, l_linenumber rows unbounded preceding)"
     rows = reasons(spark, d)
-    return rows.select("l_orderkey", "l_linenumber", "reason", F.expr(f"cast(row_number() {w} as int)").alias("candidate_rank"), F.expr(f"case when reason = '' then cast(sum(if(reason = '', 1, 0)) {w} as int) else 0 end").alias("valid_candidate_rank"))
+    return rows.select("l_orderkey", "l_linenumber", "reason", F.expr(f"cast(row_number() {w} as int)").alias("candidate_rank"), F.expr(f"case when reason = '' then cast(sum(if(reason = '', 1, 0)) {w} as int) end").alias("valid_candidate_rank"))
 
 
 @query(f"with {REASONS} select l_orderkey, l_linenumber, l_partkey from reasons where reason = '' qualify row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber) = 1")
@@ -358,7 +370,7 @@ def majority_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderpriority, round(median(cast(o_totalprice as double)), 6) + 0.0 as prediction from orders group by 1")
 def median_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(r6(F.median(F.col("o_totalprice").cast("double"))).alias("prediction"))
+    return order.quantiles(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", [0.5]).select("o_orderpriority", r6(F.col("value")).alias("prediction"))
 
 
 @query(f"""with {PRED.replace('l_returnflag,', 'l_orderkey, l_returnflag,')}, s as (select *, cast(floor({FRACTION.format("l_orderkey || '|fold-1'")} * 5) as integer) as seed from pred),
@@ -419,7 +431,7 @@ def trees(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {TREES} select p_partkey, cast(case when h1 = j1 then 2 else 1 end as integer) as matched_nodes, cast(2 as integer) as human_nodes, case when h1 = j1 then 1.0::double else 0.5 end as score from trees")
 def json_path_overlap(spark: SparkSession, d: str) -> DataFrame:
     t = trees(spark, d)
-    return audits.path_rows(t.select("p_partkey", "human"), t.select("p_partkey", "judge"), "p_partkey", "human", "judge")
+    return audits.path_rows(t.select("p_partkey", "human"), t.select("p_partkey", "judge"), "p_partkey", "human", "judge").drop("human_path")
 
 
 @query(f"""with {TREES}, rows as (select 'size' as question, (h1 = j1)::integer as ok from trees union all select 'brand', 1 from trees)
@@ -467,24 +479,26 @@ def collapse_check(spark: SparkSession, d: str) -> DataFrame:
     return stats.collapse_check(table(spark, d, "embeddings"), "embedding")
 
 
-@query()
+@query("""with h as (select ('0x' || substr(sha256(to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus})::varchar), 1, 15))::ubigint::bigint as h from orders)
+  select count(*) as n_rows, bit_xor(h) as xor_hash, sum(h)::varchar as sum_hash from h""")
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Row-order-invariant; XXH64 has no DuckDB form, tested for its invariances."""
-    return validation.fingerprint(table(spark, d, "orders"))
+    return validation.fingerprint(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
-@query("select doc_id, md5(text) as response from documents where length(trim(text)) > 0")
+@query("select doc_id, md5(text) as response from documents where length(trim(text)) > 0 and doc_id not in (select doc_id from labels)")
 def resumable_generation(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents count as done: a resumed run generates for the others only."""
     from asterfold.streaming import generate
 
-    rows = generate.generated(table(spark, d, "documents"), "doc_id", "text", lambda t: hashlib.md5(t.encode()).hexdigest())
+    todo = population.resolve(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+    rows = generate.generated(todo, "doc_id", "text", lambda t: hashlib.md5(t.encode()).hexdigest())
     return rows.where("error is null").select("doc_id", "response")
 
 
 @query("select event_type, user_id, round(sum(value) over (partition by event_type order by event_id rows unbounded preceding), 4) + 0.0 as running, event_id from events")
 def running_totals(spark: SparkSession, d: str) -> DataFrame:
-    total = F.expr("sum(value) over (partition by event_type order by event_id rows unbounded preceding)")
-    return table(spark, d, "events").select("event_type", "user_id", (F.round(total, 4) + 0.0).alias("running"), "event_id")
+    e = table(spark, d, "events").select("event_type", "user_id", "event_id", "value")
+    return order.running_sum(e, ["event_type"], "event_id", "value", "running").select("event_type", "user_id", (F.round("running", 4) + 0.0).alias("running"), "event_id")
 
 
 @query("select turn, role, count(*) as n, round(avg(len(string_split_regex(trim(text), '\\s+'))), 6) + 0.0 as mean_words from conversations where length(trim(text)) > 0 group by all")

@@ -8,9 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asterfold.operators import validation
 
-def generated(rows: DataFrame, key: str, text_col: str, make: Callable[[str], str]) -> DataFrame:
-    """key, response, error: a failing or empty response is an error row, never a failed task."""
+#: Parts in which a run is generated; the error budget is looked at after each.
+WAVES = 8
+
+
+def generated(rows: DataFrame, key: str, text_col: str, make: Callable[[str], str], parse: Callable[[str], str] | None = None) -> DataFrame:
+    """key, response, error: a failing or empty response is an error row, never a failed task.
+
+    parse turns a good response into what is kept; a response that it refuses is an error row, too.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -18,7 +26,10 @@ def generated(rows: DataFrame, key: str, text_col: str, make: Callable[[str], st
             for k, t in zip(frame[key], frame[text_col], strict=True):
                 try:
                     answer = make(t)
-                    out.append((k, answer, None) if answer and answer.strip() else (k, None, "empty response"))
+                    if not answer or not answer.strip():
+                        out.append((k, None, "empty response"))
+                    else:
+                        out.append((k, parse(answer) if parse else answer, None))
                 except Exception as e:
                     out.append((k, None, repr(e)))
             yield pd.DataFrame(out, columns=[key, "response", "error"])
@@ -27,37 +38,89 @@ def generated(rows: DataFrame, key: str, text_col: str, make: Callable[[str], st
     return rows.select(key, text_col).mapInPandas(run, f"{key} {kind}, response string, error string")
 
 
-def append_results(spark: SparkSession, rows: DataFrame, key: str, text_col: str, make: Callable[[str], str], good: str, bad: str, error_rate: float) -> dict:
-    """Generates for the keys that neither table has; raises once errors exceed floor(n * rate)."""
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _known(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for p in paths:
+        if _there(spark, p):
+            out = out.unionByName(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(p))
+    return out
+
+
+def _split(spark: SparkSession, results: DataFrame, schema: str, pending: str, good: str, bad: str, mode: str) -> None:
+    """Generates once, into `pending`, and copies from there: a lost executor cannot make a key both good and bad."""
+    results.write.mode("overwrite").parquet(pending)
+    written = spark.read.schema(schema).parquet(pending)
+    written.where("error is null").write.mode(mode).parquet(good)
+    written.where("error is not null").write.mode(mode).parquet(bad)
+
+
+def append_results(spark: SparkSession, rows: DataFrame, key: str, text_col: str, make: Callable[[str], str], good: str, bad: str, error_rate: float, parse: Callable[[str], str] | None = None) -> dict:
+    """Generates for the keys that neither table has, in waves; raises as soon as errors exceed floor(n * rate).
+
+    Repeated keys raise, as do done keys that the rows lack or that both tables hold.
+    """
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, response string, error string"
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    there = lambda p: path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))
-    done = [spark.read.schema(schema).parquet(p) for p in (good, bad) if there(p)]
-    todo = rows
-    for d in done:
-        todo = todo.join(d.select(key), key, "left_anti")
-    results = generated(todo, key, text_col, make).persist()
-    try:
-        results.where("error is null").write.mode("append").parquet(good)
-        results.where("error is not null").write.mode("append").parquet(bad)
-    finally:
-        results.unpersist()
-    n, errors = rows.count(), spark.read.schema(schema).parquet(bad).count()
-    if errors > int(n * error_rate):
-        raise RuntimeError(f"{errors} errors, {int(n * error_rate)} allowed")
-    return {"completed": spark.read.schema(schema).parquet(good).count(), "errors": errors, "pending": n - errors - spark.read.schema(schema).parquet(good).count()}
-
-
-def stream_results(source: DataFrame, key: str, text_col: str, make: Callable[[str], str], good: str, bad: str, checkpoint: str):
-    """The same from a stream: keys once by state, batches written by id so that a repeated batch replaces itself."""
+    validation.require_unique(rows, key)
+    validation.resume_sets(rows, _known(spark, schema, good), _known(spark, schema, bad), key)
+    n, allowed = rows.count(), int(rows.count() * error_rate)
+    todo = rows.join(_known(spark, schema, good, bad).select(key), key, "left_anti").withColumn("__wave", F.pmod(F.xxhash64(key), F.lit(WAVES)))
+    for wave in todo.select("__wave").distinct().orderBy("__wave").collect():
+        part = rows.join(todo.where(F.col("__wave") == wave["__wave"]).select(key), key, "left_semi")
+        _split(spark, generated(part, key, text_col, make, parse), schema, f"{good.rstrip('/')}.pending", good, bad, "append")
+        errors = _known(spark, schema, bad).count()
+        if errors > allowed:
+            raise RuntimeError(f"{errors} errors, {allowed} allowed")
+    return statistics(n, _known(spark, schema, good), _known(spark, schema, bad))
+
+
+def statistics(n: int, good: DataFrame, bad: DataFrame) -> dict:
+    completed, errors = good.count(), bad.count()
+    return {"completed": completed, "errors": errors, "pending": n - errors - completed}
+
+
+def stream_results(source: DataFrame, key: str, text_col: str, make: Callable[[str], str], good: str, bad: str, checkpoint: str, errors_allowed: int | None = None, repeats: str = "skip"):
+    """The same from a stream. Batches are written by id, so that a repeated batch replaces itself.
+
+    Keys that an earlier batch holds are skipped, or raise with repeats="raise"; either way they are found in the
+    written tables, so no state grows. More than errors_allowed errors in all stop the stream.
+    """
+    schema = f"{key} {source.schema[key].dataType.simpleString()}, response string, error string"
 
     def write(batch: DataFrame, n: int) -> None:
-        out = generated(batch, key, text_col, make).persist()
-        out.where("error is null").write.mode("overwrite").parquet(f"{good}/batch={n}")
-        out.where("error is not null").write.mode("overwrite").parquet(f"{bad}/batch={n}")
-        out.unpersist()
+        spark = batch.sparkSession
+        done = _known(spark, schema + ", batch long", good, bad).where(F.col("batch") != n).select(key)
+        if repeats == "raise":
+            validation.no_overlap(batch, done, key)
+            validation.require_unique(batch, key)
+        new = batch.dropDuplicates([key]).join(done, key, "left_anti")
+        results = generated(new, key, text_col, make).withColumn("batch", F.lit(n).cast("long"))
+        _split(spark, results, schema + ", batch long", f"{good.rstrip('/')}.pending", f"{good}/part={n}", f"{bad}/part={n}", "overwrite")
+        errors = _known(spark, schema, bad).count()
+        if errors_allowed is not None and errors > errors_allowed:
+            raise RuntimeError(f"{errors} errors, {errors_allowed} allowed")
+
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def encoded(rows: DataFrame, key: str, text_col: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch: int = 64) -> DataFrame:
+    """key, embedding: texts through an encoder that each task loads once, `batch` at a time; another length than dim raises."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for frame in frames:
+            texts, out = frame[text_col].tolist(), []
+            for low in range(0, len(texts), batch):
+                out += [[float(x) for x in v] for v in encode(texts[low : low + batch])]
+            if len(out) != len(texts) or any(len(v) != dim for v in out):
+                raise ValueError(f"the encoder must give {dim} numbers a text")
+            yield pd.DataFrame({key: frame[key], "embedding": out})
 
-    return source.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.select(key, text_col).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
 def running_cost(usage: DataFrame, order: str, cost: str, cap: float) -> DataFrame:
