@@ -69,9 +69,11 @@ def append_results(spark: SparkSession, rows: DataFrame, key: str, text_col: str
     validation.resume_sets(rows, _known(spark, schema, good), _known(spark, schema, bad), key)
     n, allowed = rows.count(), int(rows.count() * error_rate)
     todo = rows.join(_known(spark, schema, good, bad).select(key), key, "left_anti").withColumn("__wave", F.pmod(F.xxhash64(key), F.lit(WAVES)))
-    for wave in todo.select("__wave").distinct().orderBy("__wave").collect():
-        part = rows.join(todo.where(F.col("__wave") == wave["__wave"]).select(key), key, "left_semi")
-        _split(spark, generated(part, key, text_col, make, parse), schema, f"{good.rstrip('/')}.pending", good, bad, "append")
+    waves = [r["__wave"] for r in todo.select("__wave").distinct().orderBy("__wave").collect()]
+    for wave in [None, *waves]:  # errors of earlier runs count before anything is made
+        if wave is not None:
+            part = rows.join(todo.where(F.col("__wave") == wave).select(key), key, "left_semi")
+            _split(spark, generated(part, key, text_col, make, parse), schema, f"{good.rstrip('/')}.pending", good, bad, "append")
         errors = _known(spark, schema, bad).count()
         if errors > allowed:
             raise RuntimeError(f"{errors} errors, {allowed} allowed")
