@@ -71,9 +71,10 @@ def weigh_terms(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray,
     Below, the value falls with the square of the z-score to LEAST_VALUE, so that no term is lost and the many without
     a signal of their own don't learn the rows by heart.
     """
-    terms, at = np.unique(np.concatenate(rows), return_inverse=True)
-    toxic = np.bincount(at, np.repeat(label, [len(x) for x in rows]), len(terms))
-    clean = np.bincount(at, minlength=len(terms)) - toxic
+    count = lambda some: np.bincount(np.concatenate(some), minlength=BUCKETS) if some else np.zeros(BUCKETS, "int64")
+    every, marked = count(rows), count([x for x, y in zip(rows, label, strict=True) if y])
+    terms = np.flatnonzero(every)
+    toxic, clean = marked[terms], every[terms] - marked[terms]
     n1, n0 = label.sum(), len(label) - label.sum()
     a, b = toxic + 0.5, clean + 0.5
     odds = np.log(a / (n1 - toxic + 0.5)) - np.log(b / (n0 - clean + 0.5))
@@ -97,7 +98,9 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Factorizati
     model.terms, scale = weigh_terms(rows, label)
     n = len(model.terms)
     model.weights, model.factors = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
-    at = [np.searchsorted(model.terms, x) for x in rows]
+    place = np.zeros(BUCKETS, "i4")
+    place[model.terms] = np.arange(n)
+    at = [place[x] for x in rows]
     gw, gv, gb = np.full(n, 1e-4), np.full((n, FACTORS), 1e-4), 1e-4
     decayed, where, step = np.zeros(n, "int64"), np.empty(n, "int64"), 0
 
@@ -160,13 +163,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.asarray(term_buckets(x), "<i4").tobytes() for x in texts_of(batch)]
+            found = [np.sort(np.asarray(term_buckets(x), "<i4")).tobytes() for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(batch.schema.get_field_index("y")).cast(pa.int32())], ["id", "buckets", "y"])
 
     known_rows = rows.mapInArrow(run, "id long, buckets binary, y int").where(F.octet_length("buckets") <= 4 * ROW_BUCKETS)
-    got = known_rows.groupBy("id").agg(F.min("buckets").alias("buckets"), F.max("y").alias("y")).collect()
-    got.sort(key=lambda r: r.id)
-    model = fit([np.sort(np.frombuffer(r.buckets, "<i4")) for r in got], np.array([r.y for r in got], "int64"))
+    got = known_rows.groupBy("id").agg(F.min("buckets").alias("buckets"), F.max("y").alias("y")).toArrow().sort_by("id").combine_chunks()
+    packed = got.column("buckets").combine_chunks() if got.num_rows else pa.array([], pa.binary())
+    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in packed], got.column("y").to_numpy().astype("int64"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if toxic and clean:
