@@ -1,7 +1,7 @@
 """Ranks, running totals and quantiles of groups that may hold a third of all rows: no group needs one task.
 
 Rows fall into buckets along the order; a bucket's rows are ordered in one task, and what the buckets before it hold is
-added as a prefix sum. Quantiles come from a mergeable sketch, which brackets them, and the exact rows of the bracket.
+added as a prefix sum. Quantiles come from counts by magnitude and the exact values of the cells that hold them.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Buckets along an order; groups times buckets that are gathered and broadcast at most (a few hundred bytes each).
 BUCKETS, BROADCAST_CELLS = 256, 50_000
-#: Accuracy of the sketch: its rank is off by one in so many rows at most.
-ACCURACY = 10_000
+#: Cells of magnitude for each factor of e, and slices of a cell that are ordered apart.
+STEPS, SLICES = 64, 1_024
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -66,29 +66,34 @@ def following(df: DataFrame, by: list[str], bucket: Column, order: list[Column],
     return rows.withColumn("__own", own).join(small(ring_next), [*by, "__bucket"]).withColumn(name, F.coalesce("__own", "__next")).drop("__bucket", "__own", "__next")
 
 
+def magnitude(v: Column) -> Column:
+    """A cell of a double that never falls as the double grows: STEPS for each factor of e, alike on both sides of zero."""
+    size = F.floor(F.ln(F.abs(v)) * STEPS) + 1_000 * STEPS
+    return F.when(v > 0, size).when(v < 0, -size).when(v == 0, 0).otherwise(2_000 * STEPS)
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
     """by, k (place in `at`), value: exact linear quantiles of the values that aren't null.
 
-    One scan sketches each group's brackets, a second counts the rows below each and the equal values within; only
-    those, a few in ACCURACY of the distinct values, are ordered.
+    One scan counts values by magnitude, and prefix sums tell in which cells the wanted places lie. A second counts the
+    equal values of those cells; they are ordered in slices of a cell, whose prefix sums give their places.
     """
     group = by or ["__all"]
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null").withColumns({} if by else {"__all": F.lit(0)})
-    edges = [min(max(p + d / ACCURACY, 0.0), 1.0) for p in at for d in (-2, 2)]
-    n = len(at)
-    bounds = rows.groupBy(*group).agg(F.count("*").alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.percentile_approx("__v", edges, ACCURACY).alias("__b"))
-    low = [F.when(F.lit(edges[2 * k] == 0), F.col("__least")).otherwise(F.get("__b", F.lit(2 * k))) for k in range(n)]
-    high = [F.when(F.lit(edges[2 * k + 1] == 1), F.col("__most")).otherwise(F.get("__b", F.lit(2 * k + 1))) for k in range(n)]
-    bracket = F.array(*[F.struct(F.lit(k).alias("k"), low[k].alias("lo"), high[k].alias("hi"), (F.lit(float(at[k])) * (F.col("__n") - 1)).alias("place")) for k in range(n)])
-    known = small(bounds.select(*group, bracket.alias("__brackets")))
-    side = F.when(F.col("__v") < F.col("b.lo"), 0).when(F.col("__v") <= F.col("b.hi"), 1).otherwise(2)
-    met = rows.join(known, group).select(*group, "__v", F.explode("__brackets").alias("b")).withColumn("__side", side)
-    # what lies below a bracket is one cell with its largest value, what lies above one with its least
-    cells = met.groupBy(*group, "b.k", "b.place", "__side", F.when(F.col("__side") == 1, F.col("__v")).alias("__key")).agg(
-        F.count("*").alias("__c"), F.when(F.col("__side") == 0, F.max("__v")).otherwise(F.min("__v")).alias("__v"))
-    upto = F.sum("__c").over(Window.partitionBy(*group, "k").orderBy("__side", "__v").rowsBetween(Window.unboundedPreceding, 0))
-    below = F.col("__upto") > F.floor("place")
-    reached = F.when((F.col("__side") == 0) & (F.col("__upto") > F.floor("place") + 1), F.raise_error(F.lit("the sketch's bracket missed a quantile"))).otherwise(F.col("__v"))
-    found = cells.withColumn("__upto", upto).groupBy(*group, "k", "place").agg(F.min(F.when(below, reached)).alias("__a"), F.min(F.when(F.col("__upto") > F.ceil("place"), F.col("__v"))).alias("__z"))
-    part = F.col("place") - F.floor("place")
-    return found.select(*by, "k", (F.col("__a") + (F.coalesce("__z", "__a") - F.col("__a")) * part).alias("value"))
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where("__v is not null").withColumns({"__cell": magnitude(F.col("__v"))} | ({} if by else {"__all": F.lit(0)}))
+    cells = rows.groupBy(*group, "__cell").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    whole = Window.partitionBy(*group)
+    cells = cells.withColumns({"__n": F.sum("__c").over(whole), "__end": F.sum("__c").over(whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0))}).withColumn("__start", F.col("__end") - F.col("__c"))
+    place = [F.lit(float(p)) * (F.col("__n") - 1) for p in at]
+    inside = lambda x: (x >= F.col("__start")) & (x < F.col("__end"))
+    asked = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), p.alias("place")) for k, p in enumerate(place)]), lambda x: inside(F.floor(x["place"])) | inside(F.ceil(x["place"])))
+    wanted = small(cells.select(*group, "__cell", "__start", "__lo", "__hi", asked.alias("__asked")).where(F.size("__asked") > 0))
+    met = rows.join(wanted.drop("__asked"), [*group, "__cell"])
+    share = F.coalesce(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    same = met.groupBy(*group, "__cell", "__start", F.least(F.floor(share * SLICES), F.lit(SLICES - 1)).cast("int").alias("__slice"), "__v").agg(F.count("*").alias("__c"))
+    same = same.join(before(same, [*group, "__cell"], "__slice", F.sum("__c")), [*group, "__cell", "__slice"])
+    own = F.sum("__c").over(Window.partitionBy(*group, "__cell", "__slice").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = same.withColumn("__upto", F.col("__start") + F.col("__before") + own)
+    each = placed.join(wanted.select(*group, "__cell", F.explode("__asked").alias("__x")), [*group, "__cell"]).select(*group, "__v", "__upto", "__x.k", "__x.place")
+    reached = lambda x: F.min(F.when(F.col("__upto") > x, F.col("__v")))
+    found = each.groupBy(*group, "k", "place").agg(reached(F.floor("place")).alias("__a"), reached(F.ceil("place")).alias("__z"))
+    return found.select(*by, "k", (F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("place") - F.floor("place"))).alias("value"))
