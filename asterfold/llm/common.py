@@ -78,7 +78,7 @@ WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x2D, 0x200A, 0
 #: A mark behind a letter is a pre-token of its own.
 MARKS = ",.;:!?"
 #: Bytes of text whose chunks are looked up together, and new chunks that the library encodes in one string.
-SLICE_BYTES, JOINED = 1 << 24, 250
+SLICE_BYTES, JOINED = 1 << 23, 250
 
 
 class _Inside(LookupError):
@@ -95,7 +95,7 @@ class ByteBpe(dict):
     each bound the memory.
     """
 
-    def __init__(self, path: str, width: int = 4, most: int = 450_000):
+    def __init__(self, path: str, width: int = 4, most: int = 350_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -158,6 +158,7 @@ class ByteBpe(dict):
             high = max(low + 1, int(np.searchsorted(reach, SLICE_BYTES + (reach[low - 1] if low else 0), "right")))
             yield self._slice(texts[low:high])
             low = high
+        pa.default_memory_pool().release_unused()
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
