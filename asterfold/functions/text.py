@@ -17,6 +17,19 @@ def word_count(c: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+")))
 
 
+def filled(template: str, slot: str, value: Column) -> Column:
+    """The template with the value in its slot; a template without the slot raises."""
+    if slot not in template:
+        raise ValueError(f"the template has no {slot}")
+    return F.replace(F.lit(template), F.lit(slot), value)
+
+
+def restored(response: Column) -> tuple[Column, Column]:
+    """A raw response without white space around it, and its words; null where nothing is left."""
+    bare = F.regexp_replace(response, r"^\s+|\s+$", "")
+    return F.nullif(bare, F.lit("")), word_count(response)
+
+
 def instructed(instruction: str, text: Column) -> Column:
     if not instruction.strip():
         raise ValueError("a query needs an instruction")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
-from asterfold.operators import validation
+from asterfold.operators import order, validation
 
 
 def combine_exclusions(*sets: DataFrame, key: str = "object_id") -> DataFrame:
@@ -42,7 +42,8 @@ def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame
 
     anchors: (key); priorities: (key, priority_rank), of a repeated key the first rank; excluded: (key), which may be
     neither. Anchors or priorities that the source lacks or that are excluded, more anchors than n, and fewer
-    eligible rows than n raise, as does a repeated source key. One ordered top-n, then ranks over the n rows alone.
+    eligible rows than n raise, as does a repeated source key. Places come from buckets along the order, so neither the
+    first n nor their ranks need one task.
     """
     if n <= 0 or not salt.strip():
         raise ValueError("a population needs a positive size and a salt")
@@ -50,19 +51,26 @@ def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame
     out = (excluded.select(key).distinct() if excluded is not None else source.select(key).limit(0)).withColumn("__out", F.lit(True))
     both = source.withColumn("__in", F.lit(True)).join(wanted, key, "full_outer").join(out, key, "left")
     asked = F.col("__anchor").isNotNull() | F.col("priority_rank").isNotNull()
-    validation.require(both, {"asked for but not in the source": asked & F.col("__in").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull()})
     validation.require_unique(source, key)
-    tagged = both.where("__in and __out is null").drop("__in", "__out")
-    sizes = tagged.agg(F.count("*").alias("rows"), F.count("__anchor").alias("anchors")).first()
-    if sizes.anchors > n or sizes.rows < n:
-        raise ValueError(f"{n} rows asked for, {sizes.anchors} anchors, {sizes.rows} eligible rows")
+    eligible = F.col("__in").isNotNull() & F.col("__out").isNull()
+    counts = {"asked for but not in the source": asked & F.col("__in").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull(), "rows": eligible, "anchors": eligible & F.col("__anchor").isNotNull()}
+    found = validation.violations(both, counts).first().asDict()
+    broken = {k: v for k, v in found.items() if v and k.startswith("asked")}
+    if broken:
+        raise ValueError(f"keys {broken}")
+    if found["anchors"] > n or found["rows"] < n:
+        raise ValueError(f"{n} rows asked for, {found['anchors']} anchors, {found['rows']} eligible rows")
+    tagged = both.where(eligible).drop("__in", "__out")
     reason = F.when(F.col("__anchor"), "anchor").when(F.col("priority_rank").isNotNull(), "priority").otherwise("hash_fill")
     tier = F.when(F.col("__anchor"), 0).when(F.col("priority_rank").isNotNull(), 1).otherwise(2)
-    rank = F.when(tier == 1, F.col("priority_rank")).otherwise(0)
-    tagged = tagged.withColumns({"selection_reason": reason, "__tier": tier, "__rank": rank, "__hash": hashing.selection_key(salt, F.col(key), seed)})
-    top = tagged.orderBy("__tier", "__rank", "__hash", key).limit(n)
-    ranked = top.withColumn("selection_rank", F.expr(f"cast(row_number() over (order by sha2(concat_ws('|', '{salt}', cast({key} as string), '{seed}'), 256), {key}) - 1 as int)"))
-    return ranked.drop("__anchor", "__tier", "__rank", "__hash", "priority_rank")
+    h, whole = hashing.selection_key(salt, F.col(key), seed), ["__all"]
+    tagged = tagged.withColumns({"selection_reason": reason, "__tier": tier, "__hash": h, "__all": F.lit(0)})
+    by_rank = order.range_bucket(priorities, "priority_rank")
+    bucket = F.when(F.col("__tier") == 0, 0).when(F.col("__tier") == 1, 1 + by_rank).otherwise(1_000 + order.hex_bucket(F.col("__hash")))
+    first = F.when(F.col("__tier") == 1, F.col("priority_rank")).otherwise(0)
+    placed = order.ranked(tagged, whole, bucket, [F.col("__tier"), first, F.col("__hash"), F.col(key)], "__place").where(F.col("__place") <= n)
+    ranked = order.ranked(placed, whole, order.hex_bucket(F.col("__hash")), [F.col("__hash"), F.col(key)], "selection_rank")
+    return ranked.withColumn("selection_rank", F.col("selection_rank") - 1).drop("__anchor", "__tier", "__hash", "__all", "__place", "priority_rank")
 
 
 def common_ids(*manifests: DataFrame, split: str | None = None, key: str = "object_id") -> DataFrame:

@@ -21,6 +21,15 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def require_rows(df: DataFrame, n: int, **counts: tuple[Column, int]) -> DataFrame:
+    """df, if it has n rows, and as many rows of each named condition as given; one aggregate."""
+    row = df.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(k) for k, (c, _) in counts.items()]).first().asDict()
+    wrong = {k: (row[k], wanted) for k, wanted in {"rows": n, **{k: w for k, (_, w) in counts.items()}}.items() if row[k] != wanted}
+    if wrong:
+        raise ValueError(f"counts found and expected: {wrong}")
+    return df
+
+
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     first = duplicates(df, *keys).orderBy(*keys).first()
     if first:

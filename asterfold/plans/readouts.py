@@ -11,6 +11,7 @@ from asterfold.operators import audits, caches, order, pairing, population, prob
 from asterfold.operators.stats import r6
 from asterfold.plans.queries import FRACTION, JOINT, PLACES, RADIUS, TREES, pred, query, skies, table, trees, votes
 from asterfold.plans.queries import PRED as PREDICTED
+from asterfold.sources import tables
 
 
 def boot_sql(key: str, draw: int, samples: int, by: str = "") -> str:
@@ -268,6 +269,29 @@ def cached_distance_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.group_metrics(rows, ["condition", "split_seed"], "p_partkey", "graded", "hit", 10).select("condition", "split_seed", "n", "positives", "precision")
 
 
+@query("select conv_id, case when turn = 0 then 'canonical' else 'paraphrase_' || turn end as variant, replace('Say <slot> again', '<slot>', role) as prompt from conversations where turn = 0")
+def canonical_prompts(spark: SparkSession, d: str) -> DataFrame:
+    variant = F.when(F.col("turn") == 0, "canonical").otherwise(F.concat(F.lit("paraphrase_"), F.col("turn").cast("string")))
+    rows = table(spark, d, "conversations").select("conv_id", variant.alias("variant"), text.filled("Say <slot> again", "<slot>", F.col("role")).alias("prompt"))
+    return rows.where("variant = 'canonical'")
+
+
+@query(r"select conv_id, turn, nullif(regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '') as caption, case when regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') = '' then 0 else len(regexp_split_to_array(regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '[\x09-\x0D\x20]+')) end::integer as words from conversations")
+def restored_captions(spark: SparkSession, d: str) -> DataFrame:
+    caption, words = text.restored(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", caption.alias("caption"), words.alias("words"))
+
+
+@query("select p_partkey, (row_number() over (order by p_partkey) - 1)::bigint as benchmark_row from part where p_size > 10")
+def frozen_row_index(spark: SparkSession, d: str) -> DataFrame:
+    return tables.indexed(table(spark, d, "part").where("p_size > 10").select("p_partkey"), "p_partkey", "benchmark_row")
+
+
+@query("select n_nationkey, n_name from nation")
+def counted_table(spark: SparkSession, d: str) -> DataFrame:
+    return validation.require_rows(table(spark, d, "nation").select("n_nationkey", "n_name"), 25, named=(F.col("n_name").isNotNull(), 25))
+
+
 def split_embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings").withColumns({"split": hashing.split(F.col("vec_id"), 5, 0.7), "fold": hashing.fold(F.col("vec_id"), 3, 5), "value": F.col("label").cast("double")})
     return e.where("split = 'train'"), e.where("split = 'validation'")

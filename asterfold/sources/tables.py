@@ -48,6 +48,32 @@ def select_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return found
 
 
+def first_present(df: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """One row of df whose key is a candidate; the scan stops at the first task that has one."""
+    return df.join(candidates.select(key).distinct(), key, "left_semi").limit(1)
+
+
+def indexed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with each row's number from 0 along a numeric key; no single task holds all rows."""
+    rows = df.withColumn("__all", F.lit(0))
+    placed = order.ranked(rows, ["__all"], order.range_bucket(rows, by), [F.col(by)], name)
+    return placed.withColumn(name, (F.col(name) - 1).cast("long")).drop("__all")
+
+
+def read_cells(spark: SparkSession, root: str, cells: list[tuple[int, int]], columns: list[str], ids: DataFrame, key: str, kept: str) -> DataFrame:
+    """The ids' rows of the named sky cells, read cell by cell and kept: a cell that is kept already is not read again.
+
+    Only the cells' folders and the named columns are scanned; a cell's rows are written in one commit.
+    """
+    there = lambda p: (at := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    for cell in cells:
+        out = f"{kept}/{cell_path(*cell)}"
+        if not there(f"{out}/_SUCCESS"):
+            rows = spark.read.parquet(f"{root}/{cell_path(*cell)}").select(*columns)
+            rows.join(ids.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(*[f"{kept}/{cell_path(*cell)}" for cell in cells])
+
+
 def cell_path(order: int, pixel: int) -> str:
     """Folder of a sky cell: pixels in groups of ten thousand."""
     return f"Norder={order}/Dir={pixel // 10_000 * 10_000}/Npix={pixel}"
@@ -61,6 +87,21 @@ def write_manifest(df: DataFrame, path: str, overwrite: bool = False) -> dict:
     return print_of.first().asDict()
 
 
+def write_evaluation(ranked: list[DataFrame], metrics: DataFrame, path: str) -> None:
+    """Ranked rows of all runs as one Parquet table, their metrics beside it as JSON lines."""
+    every = ranked[0]
+    for other in ranked[1:]:
+        every = every.unionByName(other)
+    every.write.mode("errorifexists").parquet(f"{path}/ranked")
+    metrics.coalesce(1).write.mode("errorifexists").json(f"{path}/metrics")
+
+
+def write_audit(rows: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Audit rows as CSV with a header, their metrics beside it as JSON lines."""
+    rows.write.mode("errorifexists").csv(f"{path}/rows", header=True)
+    metrics.coalesce(1).write.mode("errorifexists").json(f"{path}/metrics")
+
+
 def verified(spark: SparkSession, path: str) -> DataFrame:
     """A written manifest whose fingerprint still holds."""
     df = spark.read.parquet(path)

@@ -202,6 +202,23 @@ def test_tables(spark, tmp_path):
     assert (stat.mean, stat.median, stat.max) == (1.75, 1.5, 4)
 
 
+def test_cells_are_read_once_and_results_written(spark, tmp_path):
+    root, kept = f"{tmp_path}/cat", f"{tmp_path}/kept"
+    for order_, pixel in ((5, 7), (5, 20_001)):
+        spark.range(10).select((F.col("id") + pixel).alias("id"), F.lit(1.0).alias("z"), F.lit("x").alias("unused")).write.parquet(f"{root}/{tables.cell_path(order_, pixel)}")
+    ids = spark.createDataFrame([(8,), (20_003,), (99,)], "id long")
+    get = lambda cells: sorted(tuple(r) for r in tables.read_cells(spark, root, cells, ["id", "z"], ids, "id", kept).collect())
+    assert get([(5, 7)]) == [(8, 1.0)]
+    spark.range(0).select("id", F.lit(1.0).alias("z")).write.mode("overwrite").parquet(f"{root}/{tables.cell_path(5, 7)}")
+    assert get([(5, 7), (5, 20_001)]) == [(8, 1.0), (20_003, 1.0)]  # the first cell is not read again
+    assert tables.first_present(ids, spark.createDataFrame([(99,), (5,)], "id long"), "id").collect()[0].id == 99
+    raises("expected", lambda: validation.require_rows(ids, 2))
+    tables.write_evaluation([ids, ids], ids.limit(1), f"{tmp_path}/e")
+    tables.write_audit(ids, ids.limit(1), f"{tmp_path}/a")
+    assert spark.read.parquet(f"{tmp_path}/e/ranked").count() == 6 and spark.read.csv(f"{tmp_path}/a/rows", header=True).count() == 3
+    raises("no <x>", lambda: text.filled("t", "<x>", F.lit("v")))
+
+
 def test_caches(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", [3.0, 4.0]), ("b", "y", [0.0, 1.0])], "id string, t string, v array<double>")
     cache = caches.ingest(rows, "id", "t", "v", "m", "r")
