@@ -122,7 +122,7 @@ def hash_derangement(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with n as (select p_partkey, p_brand, round({FRACTION.format(chr(39).join(['', 'noise|', ' || p_partkey']))}, 6) as noise from part) select p_brand, p_partkey, noise, cast(row_number() over (partition by p_brand order by noise desc, p_partkey) as integer) as rank from n")
 def hash_noise_rank(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand", "p_partkey", F.round(hashing.fraction("noise", F.col("p_partkey")), 6).alias("noise"))
-    return retrieval.ranked(p, ["p_brand"], "p_partkey", "rank", "noise")
+    return order.ranked(p, ["p_brand"], F.floor((1 - F.col("noise")) * 256), [F.col("noise").desc(), F.col("p_partkey")], "rank")
 
 
 EXCLUDED = "excluded as (select doc_id, string_agg(distinct reason, ';' order by reason) as reason from (select doc_id, 'toxic' as reason from labels where toxic = 1 union all select doc_id, 'low_quality' from labels where quality = 0) group by doc_id)"
@@ -306,7 +306,8 @@ def joint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {JOINT} select p_brand, p_partkey, score, cast(row_number() over (partition by p_brand order by score desc, p_partkey) as integer) as rank from scored")
 def joint_score_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(joint(spark, d).select("p_brand", "p_partkey", "score"), ["p_brand"], "p_partkey")
+    rows = joint(spark, d).select("p_brand", "p_partkey", "score", (-F.col("score")).alias("low"))
+    return order.ranked(rows, ["p_brand"], order.range_bucket(rows, "low"), [F.col("low"), F.col("p_partkey")], "rank").select("p_brand", "p_partkey", "score", "rank")
 
 
 @query(f"""with {JOINT}, ranked as (select *, row_number() over (partition by p_brand order by score desc, p_partkey) as r, row_number() over (partition by p_brand order by rel desc, p_partkey) as i from scored),
