@@ -71,6 +71,24 @@ def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+#: Bits of a filter of keys: FILTER_BITS a key, a power of two between these (32 MB at most). It loses no key; beyond
+#: MOST_BITS it lets more through that aren't there.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
+
+
+def bit_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """Bytes in which the bit at a key's low bits is set for each of the long keys, hashes of something.
+
+    The driver sees the set's 64-bit words: 4 million at most.
+    """
+    bits = min(max(1 << (FILTER_BITS * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    at = F.col(name).bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({name} & 63L as int)))").alias("set")).toArrow()
+    filled = np.zeros(bits // 64, "<i8")
+    filled[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return filled.view("u1")
+
+
 #: Characters that the byte-level tokenizer's \s matches (Unicode White_Space). Fixed values.
 WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2000, 0x2D, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asterfold.llm import decontam, hostrules, langid, packing, secrets, sentence_spans, simhash, token_counts, token_files, toxicity
+from asterfold.llm import bitplane_clusters, decontam, fill_middle, hostrules, langid, minhash, packing, secrets, sentence_spans, simhash, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_host_rules": hostrules.op9_host_rules,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_minhash": minhash.op11_minhash,
+        "op12_bitplane_clusters": bitplane_clusters.op12_bitplane_clusters,
+        "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.SQL, "op9_host_rules": hostrules.SQL}
+    return {"op1_secret_scan": secrets.SQL, "op9_host_rules": hostrules.SQL, "op12_bitplane_clusters": bitplane_clusters.sql(), "op13_fill_in_middle": fill_middle.SQL}

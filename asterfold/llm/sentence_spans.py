@@ -11,15 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, staged, texts_of
+from asterfold.llm.common import as_text, bit_filter, staged, texts_of
 
 #: A run of consecutive sentences counts if it has so many sentences and words; a single sentence counts if it has
 #: LONG_WORDS words. A span is the shortest such run that begins, or that ends, at a given sentence. A text with fewer
 #: words than WORDS in all is one span.
 SENTENCES, WORDS, LONG_WORDS = 2, 20, 25
-#: Bits of the filter of repeated spans: FILTER_BITS a span, a power of two between these (32 MB at most). It loses no
-#: span; beyond MOST_BITS it lets more spans through that don't repeat.
-FILTER_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
 #: A span that more than one in HOT_SHARE of the remaining rows hold is joined by broadcast, so at most HOT_SHARE are.
 HOT_SHARE, HOT_LEAST = 2_000, 1_000
 
@@ -95,12 +92,7 @@ def repeated_bits(rows: DataFrame, within: bool) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h1", "n"])
 
     again = staged(rows.select("text").mapInArrow(hashed, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1").select("h1"), "repeated")
-    bits = min(max(1 << (FILTER_BITS * again.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    at = F.col("h1").bitwiseAND(F.lit(bits - 1))
-    words = again.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h1 & 63L as int)))").alias("set")).toArrow()
-    filled = np.zeros(bits // 64, "<i8")
-    filled[words.column("word").to_numpy()] = words.column("set").to_numpy()
-    return filled.view("u1")
+    return bit_filter(again, "h1")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> DataFrame:
