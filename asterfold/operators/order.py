@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asterfold.sources.scratch import staged
+
 #: Buckets along an order; groups times buckets that are gathered and broadcast at most (a few hundred bytes each).
 BUCKETS, BROADCAST_CELLS = 256, 50_000
 #: Cells of magnitude for each factor of e, and slices of a cell that are ordered apart.
@@ -16,9 +18,8 @@ STEPS, SLICES = 64, 1_024
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, computed once and to be broadcast if it has few rows; otherwise as it is, for Spark to join by shuffle."""
-    rows = df.limit(BROADCAST_CELLS + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= BROADCAST_CELLS else df
+    """df, written once, and broadcast if it has few rows; otherwise for Spark to join by shuffle."""
+    return _few(df)
 
 
 def hex_bucket(digits: Column) -> Column:
@@ -26,10 +27,35 @@ def hex_bucket(digits: Column) -> Column:
     return F.conv(F.substring(digits, 1, 2), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, order: str) -> Column:
-    """Bucket of an order by a numeric column, from its approximate quantiles; equal values share one."""
-    cuts = sorted(set(df.approxQuantile(order, [k / BUCKETS for k in range(1, BUCKETS)], 1 / (4 * BUCKETS))))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+def laid_out(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df written once in ranges along (by, order), with __at, which grows along them, and __part, the range.
+
+    A range is a task's, cut from a sample of the rows, so a group of any size is spread over many, and rows alike in
+    one order column are told apart by the next. `by` holds no null.
+    """
+    keys = [*(F.col(c) for c in by), *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    rows = staged(ranges.withColumn("__at", F.monotonically_increasing_id()), "laid")
+    return rows.withColumn("__part", F.shiftright("__at", 33).cast("int"))
+
+
+def _few(cells: DataFrame) -> DataFrame:
+    """cells, written once, and broadcast if they are few."""
+    kept = staged(cells, "cells")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_CELLS else kept
+
+
+def ranked_along(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """1..n within `by` along `order`, whose last column should tell all rows apart.
+
+    No window and no group in one task: a row's rank is its place in its range and what the group has in earlier ones.
+    """
+    rows = laid_out(df, by, order)
+    cells = rows.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = cells.select(*by, "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__low") + 1).alias("__start"))
+    return rows.join(_few(start), [*by, "__part"]).withColumn(name, (F.col("__at") + F.col("__start")).cast("int")).drop("__at", "__part", "__start")
 
 
 def before(df: DataFrame, by: list[str], bucket: str, total: Column) -> DataFrame:
@@ -48,11 +74,11 @@ def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[Column], na
 
 
 def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
-    """The sum of value within `by` up to each row along a numeric order column."""
-    rows = df.withColumn("__bucket", range_bucket(df, order))
-    own = F.sum(value).over(Window.partitionBy(*by, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = rows.withColumn("__own", own).join(small(before(rows, by, "__bucket", F.sum(value))), [*by, "__bucket"])
-    return joined.withColumn(name, F.col("__own") + F.col("__before")).drop("__bucket", "__own", "__before")
+    """The sum of value within `by` up to each row along the order column."""
+    rows = laid_out(df, by, [F.col(order)])
+    own = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    earlier = _few(before(rows, by, "__part", F.sum(value)))
+    return rows.withColumn("__own", own).join(earlier, [*by, "__part"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__at", "__part", "__own", "__before")
 
 
 def following(df: DataFrame, by: list[str], bucket: Column, order: list[Column], key: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
 from asterfold.operators import order, validation
+from asterfold.sources.scratch import staged
 
 
 def combine_exclusions(*sets: DataFrame, key: str = "object_id") -> DataFrame:
@@ -42,35 +43,32 @@ def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame
 
     anchors: (key); priorities: (key, priority_rank), of a repeated key the first rank; excluded: (key), which may be
     neither. Anchors or priorities that the source lacks or that are excluded, more anchors than n, and fewer
-    eligible rows than n raise, as does a repeated source key. Places come from buckets along the order, so neither the
-    first n nor their ranks need one task.
+    eligible rows than n raise, as does a repeated source key. Keys alone are tagged, checked and ranked, in ranges
+    along the order, so neither the first n nor their ranks need one task; the source is joined to the chosen keys.
     """
     if n <= 0 or not salt.strip():
         raise ValueError("a population needs a positive size and a salt")
-    wanted = anchors.select(key).distinct().withColumn("__anchor", F.lit(True)).join(priorities.groupBy(key).agg(F.min("priority_rank").alias("priority_rank")), key, "full_outer")
+    wanted = anchors.select(key).distinct().withColumn("__anchor", F.lit(True)).join(priorities.groupBy(key).agg(F.min("priority_rank").alias("__rank")), key, "full_outer")
     out = (excluded.select(key).distinct() if excluded is not None else source.select(key).limit(0)).withColumn("__out", F.lit(True))
-    both = source.withColumn("__in", F.lit(True)).join(wanted, key, "full_outer").join(out, key, "left")
-    asked = F.col("__anchor").isNotNull() | F.col("priority_rank").isNotNull()
-    validation.require_unique(source, key)
-    eligible = F.col("__in").isNotNull() & F.col("__out").isNull()
-    counts = {"asked for but not in the source": asked & F.col("__in").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull(), "rows": eligible, "anchors": eligible & F.col("__anchor").isNotNull()}
-    found = validation.violations(both, counts).first().asDict()
-    broken = {k: v for k, v in found.items() if v and k.startswith("asked")}
+    mine = source.groupBy(key).agg(F.count("*").alias("__n"))
+    keys = staged(mine.join(wanted, key, "full_outer").join(out, key, "left"), "population")
+    asked, eligible = F.col("__anchor").isNotNull() | F.col("__rank").isNotNull(), F.col("__n").isNotNull() & F.col("__out").isNull()
+    counts = {
+        "repeated": F.col("__n") > 1, "asked for but not in the source": asked & F.col("__n").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull(),
+        "rows": eligible, "anchors": eligible & F.col("__anchor").isNotNull()}
+    found = validation.violations(keys, counts).first().asDict()
+    broken = {k: v for k, v in found.items() if v and k not in ("rows", "anchors")}
     if broken:
         raise ValueError(f"keys {broken}")
     if found["anchors"] > n or found["rows"] < n:
         raise ValueError(f"{n} rows asked for, {found['anchors']} anchors, {found['rows']} eligible rows")
-    tagged = both.where(eligible).drop("__in", "__out")
-    reason = F.when(F.col("__anchor"), "anchor").when(F.col("priority_rank").isNotNull(), "priority").otherwise("hash_fill")
-    tier = F.when(F.col("__anchor"), 0).when(F.col("priority_rank").isNotNull(), 1).otherwise(2)
-    h, whole = hashing.selection_key(salt, F.col(key), seed), ["__all"]
-    tagged = tagged.withColumns({"selection_reason": reason, "__tier": tier, "__hash": h, "__all": F.lit(0)})
-    by_rank = order.range_bucket(priorities, "priority_rank")
-    bucket = F.when(F.col("__tier") == 0, 0).when(F.col("__tier") == 1, 1 + by_rank).otherwise(1_000 + order.hex_bucket(F.col("__hash")))
-    first = F.when(F.col("__tier") == 1, F.col("priority_rank")).otherwise(0)
-    placed = order.ranked(tagged, whole, bucket, [F.col("__tier"), first, F.col("__hash"), F.col(key)], "__place").where(F.col("__place") <= n)
-    ranked = order.ranked(placed, whole, order.hex_bucket(F.col("__hash")), [F.col("__hash"), F.col(key)], "selection_rank")
-    return ranked.withColumn("selection_rank", F.col("selection_rank") - 1).drop("__anchor", "__tier", "__hash", "__all", "__place", "priority_rank")
+    reason = F.when(F.col("__anchor"), "anchor").when(F.col("__rank").isNotNull(), "priority").otherwise("hash_fill")
+    tier = F.when(F.col("__anchor"), 0).when(F.col("__rank").isNotNull(), 1).otherwise(2)
+    tagged = keys.where(eligible).select(key, reason.alias("selection_reason"), tier.alias("__tier"), "__rank", hashing.selection_key(salt, F.col(key), seed).alias("__hash"))
+    first = F.when(F.col("__tier") == 1, F.col("__rank")).otherwise(0)
+    chosen = order.ranked_along(tagged, [], [F.col("__tier"), first, F.col("__hash"), F.col(key)], "__place").where(F.col("__place") <= n)
+    ranked = order.ranked_along(chosen.select(key, "selection_reason", "__hash"), [], [F.col("__hash"), F.col(key)], "selection_rank")
+    return source.join(ranked.select(key, "selection_reason", (F.col("selection_rank") - 1).alias("selection_rank")), key)
 
 
 def common_ids(*manifests: DataFrame, split: str | None = None, key: str = "object_id") -> DataFrame:

@@ -105,14 +105,9 @@ def logistic_probe(train: DataFrame, test: DataFrame, vector: str, label: str, c
 
 def select_c(train: DataFrame, vector: str, label: str, fold: str, grid: list[float]) -> float:
     """Highest mean over folds of the accuracy, ties to the smaller C; each fold's features are scaled by its own training rows."""
-    folds = [r[0] for r in train.select(fold).distinct().orderBy(fold).collect()]
+    from asterfold.operators import logistic
 
-    def accuracy(c: float, k: int) -> float:
-        found = logistic_probe(train.where(F.col(fold) != k), train.where(F.col(fold) == k), vector, label, c)
-        return found.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-
-    means = {c: float(np.mean([accuracy(c, k) for k in folds])) for c in grid}
-    return min(grid, key=lambda c: (-means[c], c))
+    return logistic.select_c(train, vector, label, fold, grid)
 
 
 #: Columns of prediction rows.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.operators import validation
+from asterfold.operators.toplists import group_metrics, ndcg  # noqa: F401  metrics of whole groups
 
 #: Query vectors that one broadcast holds (25 MB at 64 dimensions), and those that a task multiplies at once.
 QUERY_BLOCK, CHUNK = 50_000, 500
@@ -82,13 +83,6 @@ def gain(relevance: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), relevance) - 1) / F.log2(rank + 1)
 
 
-def ndcg(scored: DataFrame, by: list[str], tie: str, relevance: str, k: int) -> DataFrame:
-    """nDCG@k per group; the ideal order is that of all the group's candidates; 0 without relevant ones."""
-    both = ranked(ranked(scored, by, tie), by, tie, "ideal", relevance)
-    sums = both.groupBy(*by).agg(*[F.sum(F.when(F.col(r) <= k, gain(F.col(relevance), F.col(r)))).alias(n) for r, n in (("rank", "dcg"), ("ideal", "idcg"))])
-    return sums.select(*by, (F.round(F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)), 6) + 0.0).alias(f"ndcg_at_{k}"))
-
-
 def top_ndcg(head: DataFrame, positives: DataFrame, by: list[str], relevant: str, k: int) -> DataFrame:
     """nDCG@k of 0/1 relevance from the k best rows alone: the ideal order follows from a group's count of positives.
 
@@ -113,21 +107,6 @@ def recall(scored: DataFrame, by: list[str], tie: str, relevant: str, ks: list[i
     return head.select(F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "first").groupBy("k").agg(F.round(F.avg((F.coalesce("first", F.lit(1 << 30)) <= F.col("k")).cast("double")), 6).alias("recall"))
 
 
-def group_metrics(rows: DataFrame, by: list[str], tie: str, graded: str, binary: str, k: int, means: dict[str, Column] | None = None) -> DataFrame:
-    """nDCG, recall, its ceiling min(k, P) / P, and precision hits / min(k, n) per group; null recall without positives.
-
-    means: columns whose mean over the k best rows is wanted. One exchange serves both orders and all sums.
-    """
-    both, near = ranked(ranked(rows, by, tie), by, tie, "ideal", graded), F.col("rank") <= k
-    extra = [(F.round(F.avg(F.when(near, c)), 6) + 0.0).alias(name) for name, c in (means or {}).items()]
-    sums = [F.sum(F.when(F.col(r) <= k, gain(F.col(graded), F.col(r)))).alias(n) for r, n in (("rank", "dcg"), ("ideal", "idcg"))]
-    counted = both.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(binary)).alias("positives"), F.count_if(F.col(binary) & near).alias("hits"), *sums, *extra)
-    p = F.col("positives").cast("double")
-    return counted.select(
-        *by, "n", "positives", F.round(F.try_divide(F.col("hits").cast("double"), p), 6).alias("recall"), F.round(F.try_divide(F.least(F.lit(float(k)), p), p), 6).alias("recall_ceiling"),
-        F.round(F.col("hits") / F.least(F.lit(k), F.col("n")), 6).alias("precision"), *(means or {}), (F.round(F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)), 6) + 0.0).alias(f"ndcg_at_{k}"))
-
-
 def populations(rows: DataFrame, reason: str) -> DataFrame:
     """rows once for each population that they belong to: all of them, the anchors, the priority rows."""
     r = F.col(reason)

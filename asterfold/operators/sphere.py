@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import sky
+from asterfold.operators.nearest import nearest_anywhere
 
 #: Smallest cell edge: more cells than 2^21 an axis don't fit a packed key.
 LEAST_EDGE = 2.0**-19
@@ -70,25 +71,16 @@ def coverage(benchmark: DataFrame, source: DataFrame, radius_arcsec: float, on:
 
 def full_coverage(benchmark: DataFrame, source: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], benchmark_id: str, source_id: str) -> DataFrame:
     """coverage(), with the separation from the nearest source of absent rows too, which name no source."""
-    found = coverage(benchmark, source, radius_arcsec, on, benchmark_id, source_id)
-    absent = benchmark.join(found.where("status = 'absent'").select(benchmark_id), benchmark_id, "left_semi")
-    far = absent_separations(absent, source, on, benchmark_id, source_id).select(benchmark_id, F.col("separation_arcsec").alias("__far"))
-    return found.join(F.broadcast(far), benchmark_id, "left").withColumn("separation_arcsec", F.coalesce("separation_arcsec", "__far")).drop("__far")
+    found = nearest_anywhere(benchmark, source, on, benchmark_id, source_id)
+    rows = benchmark.select(benchmark_id).join(found, benchmark_id, "left")
+    matched = F.coalesce(F.col("separation_arcsec") <= radius_arcsec, F.lit(False))
+    status = F.when(matched, "matched").otherwise("absent")
+    return rows.select(benchmark_id, status.alias("status"), F.when(matched, F.col(source_id)).alias("source_object_id"), "separation_arcsec")
 
 
-def absent_separations(absent: DataFrame, source: DataFrame, on: tuple[str, str, str, str], benchmark_id: str, source_id: str, limit: int = 10_000) -> DataFrame:
-    """Nearest source at any distance of the benchmark rows without a match, by partial minima: no pair is shuffled.
-
-    Their number must be at most `limit`, for they are broadcast against the whole source.
-    """
-    if absent.limit(limit + 1).count() > limit:
-        raise ValueError("too many rows without a match for a search at any distance")
-    x, y, z = sky.unit(F.col(on[0]), F.col(on[1]))
-    few = absent.select(F.col(benchmark_id), x.alias("__x"), y.alias("__y"), z.alias("__z"))
-    u, v, w = sky.unit(F.col(on[2]), F.col(on[3]))
-    d = (F.col("__x") - u) * (F.col("__x") - u) + (F.col("__y") - v) * (F.col("__y") - v) + (F.col("__z") - w) * (F.col("__z") - w)
-    met = source.join(F.broadcast(few), F.lit(True)).groupBy(benchmark_id).agg(F.min(F.struct(F.round(sky.arcsec(d), 6).alias("s"), F.col(source_id).alias("i"))).alias("m"))
-    return met.select(benchmark_id, F.col("m.i").alias("source_object_id"), F.col("m.s").alias("separation_arcsec"))
+def absent_separations(absent: DataFrame, source: DataFrame, on: tuple[str, str, str, str], benchmark_id: str, source_id: str) -> DataFrame:
+    """Nearest source at any distance of the benchmark rows without a match, as source_object_id and separation_arcsec."""
+    return nearest_anywhere(absent, source, on, benchmark_id, source_id).withColumnRenamed(source_id, "source_object_id")
 
 
 def exclusions(source: DataFrame, benchmarks: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], source_id: str, reason: str) -> DataFrame:

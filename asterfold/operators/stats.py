@@ -147,11 +147,10 @@ def paired_errors(df: DataFrame, key: str, seed: str, condition: str, base: str,
     return bootstrap(objects, key, "total", "weight", samples, draw, by=["scale"]).withColumn("decision", decision(F.col("ci_low"), F.col("ci_high")))
 
 
-def passes_cap(df: DataFrame, by: list[str], order: str, value: str, cap: float) -> DataFrame:
-    """Of each group the first row, by `order`, at which the running total of value is above the cap."""
-    spent = F.expr(f"sum({value}) over (partition by {', '.join(by)} order by {order} rows unbounded preceding)")
-    over = df.withColumn("running", spent).where(F.col("running") > cap)
-    return over.groupBy(*by).agg(F.min_by(F.struct(order, "running"), order).alias("first")).select(*by, f"first.{order}", "first.running")
+def passes_cap(df: DataFrame, by: list[str], along: str, value: str, cap: float) -> DataFrame:
+    """Of each group the first row, along a column, at which the running total of value is above the cap."""
+    over = order.running_sum(df, by, along, value, "running").where(F.col("running") > cap)
+    return over.groupBy(*by).agg(F.min_by(F.struct(along, "running"), along).alias("first")).select(*by, f"first.{along}", "first.running")
 
 
 def at_cap(df: DataFrame, by: list[str], cap: int) -> DataFrame:

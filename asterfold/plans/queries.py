@@ -307,7 +307,7 @@ def joint(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {JOINT} select p_brand, p_partkey, score, cast(row_number() over (partition by p_brand order by score desc, p_partkey) as integer) as rank from scored")
 def joint_score_rank(spark: SparkSession, d: str) -> DataFrame:
     rows = joint(spark, d).select("p_brand", "p_partkey", "score", (-F.col("score")).alias("low"))
-    return order.ranked(rows, ["p_brand"], order.range_bucket(rows, "low"), [F.col("low"), F.col("p_partkey")], "rank").select("p_brand", "p_partkey", "score", "rank")
+    return order.ranked_along(rows, ["p_brand"], [F.col("low"), F.col("p_partkey")], "rank").select("p_brand", "p_partkey", "score", "rank")
 
 
 @query(f"""with {JOINT}, ranked as (select *, row_number() over (partition by p_brand order by score desc, p_partkey) as r, row_number() over (partition by p_brand order by rel desc, p_partkey) as i from scored),

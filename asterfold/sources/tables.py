@@ -55,9 +55,7 @@ def first_present(df: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
 
 def indexed(df: DataFrame, by: str, name: str) -> DataFrame:
     """df with each row's number from 0 along a numeric key; no single task holds all rows."""
-    rows = df.withColumn("__all", F.lit(0))
-    placed = order.ranked(rows, ["__all"], order.range_bucket(rows, by), [F.col(by)], name)
-    return placed.withColumn(name, (F.col(name) - 1).cast("long")).drop("__all")
+    return order.ranked_along(df, [], [F.col(by)], name).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def read_cells(spark: SparkSession, root: str, cells: list[tuple[int, int]], columns: list[str], ids: DataFrame, key: str, kept: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold.operators import validation
+from asterfold.operators import order, validation
 
 #: Parts in which a run is generated; the error budget is looked at after each.
 WAVES = 8
@@ -125,7 +125,7 @@ def encoded(rows: DataFrame, key: str, text_col: str, load: Callable[[], Callabl
     return rows.select(key, text_col).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
-def running_cost(usage: DataFrame, order: str, cost: str, cap: float) -> DataFrame:
-    """Cumulative cost per provider in order, flagged from where it passes the cap."""
-    total = F.expr(f"sum({cost}) over (partition by provider order by {order} rows unbounded preceding)")
-    return usage.withColumn("running", F.round(total, 6)).withColumn("over_cap", F.col("running") > cap)
+def running_cost(usage: DataFrame, along: str, cost: str, cap: float) -> DataFrame:
+    """Cumulative cost per provider along a column, flagged from where it passes the cap."""
+    total = order.running_sum(usage, ["provider"], along, cost, "running")
+    return total.withColumn("running", F.round("running", 6)).withColumn("over_cap", F.col("running") > cap)
