@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,23 +30,29 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def learn_dictionaries(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw dictionary content by language from a bounded sample of the labelled rows.
+    """Raw dictionary content by language from a bounded sample of the labelled rows that have a text.
 
-    All rows count towards a language's size; about 3 * DRAWN documents per language are drawn by the hash of their
-    id, the DRAWN lowest are kept, and whole texts fill the dictionary up to DICTIONARY bytes. An id counts once, with
-    the least of its texts, null like any other, so however often rows repeat the driver gets DRAWN texts a language
-    at most, and of these no more than fill two dictionaries.
+    A language's distinct ids set its share: about 3 * DRAWN of them are drawn by their hash (all, if they are fewer),
+    the DRAWN lowest are kept, and their texts, cut at a character after DICTIONARY bytes, fill the dictionary as far as
+    they fit whole. An id counts once, with the least of its texts, null like any other, so however often rows repeat
+    no language with a text is lost and the driver gets DRAWN texts a language at most, and of these no more than fill
+    two dictionaries. A labelled language without any text has no dictionary: it is never predicted, and a warning names it.
     """
-    text = as_text(docs, text_col)
+    text = F.substring(as_text(docs, text_col), 1, DICTIONARY)
     labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    with_text = F.octet_length("text") > 0
+    distinct = F.approx_count_distinct(F.when(with_text, F.xxhash64("id")))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(distinct.alias("n")).collect()}
+    bare, sizes = sorted(k for k, n in sizes.items() if not n), {k: n for k, n in sizes.items() if n}
+    if bare:
+        warnings.warn(f"languages without a text are never predicted: {', '.join(bare)}", stacklevel=2)
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 3 * DRAWN / n))])
-    drawn = labelled.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) & (F.octet_length("text") <= DICTIONARY))
+    drawn = labelled.where(with_text & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)))
     once = drawn.groupBy("lang", "id").agg(F.min("text").alias("text"))
     ranked = once.selectExpr("*", "row_number() over (partition by lang order by xxhash64(id), id) as k").where(F.col("k") <= DRAWN)
-    room = ranked.selectExpr("*", "sum(octet_length(text)) over (partition by lang order by k rows between unbounded preceding and 1 preceding) as before")
+    room = ranked.selectExpr("*", f"sum(least(octet_length(text), {DICTIONARY})) over (partition by lang order by k rows between unbounded preceding and 1 preceding) as before")
     texts: dict[str, list[tuple]] = {lang: [] for lang in sizes}
     for row in room.where(F.coalesce("before", F.lit(0)) < 2 * DICTIONARY).collect():
         texts[row.lang].append((row.id is None, row.id, row.text))
@@ -53,12 +60,11 @@ def learn_dictionaries(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     for lang, rows in sorted(texts.items()):
         whole, free = [], DICTIONARY
         for *_, text in sorted(rows):
-            data = text.lower().encode()
+            data = text.lower().encode()[: DICTIONARY - 1].decode("utf-8", "ignore").encode()
             if len(data) + 1 <= free:
                 whole.append(data)
                 free -= len(data) + 1
-        if whole:
-            out[lang] = b"\n".join(whole)
+        out[lang] = b"\n".join(whole)
     return out
 
 
