@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold.llm.common import as_text, texts_of
+from asterfold.llm.common import as_text, staged, texts_of
 from asterfold.llm.langid import fold
 
 #: Buckets of the term hash.
 BUCKETS = 1 << 20
 #: Letters of a word's head, a term of its own.
 PREFIX = 4
-#: Labelled rows of either class that the fit takes at most, by the hash of their id, and the buckets of each row:
-#: longer texts are not fitted (they are scored). So the driver gets 290 MB at most.
+#: Labelled documents of either class that the fit takes at most, by the hash of their id, and the buckets of each: of a
+#: longer text as many, evenly over the range of the hash. So the task that fits gets 290 MB at most.
 TOXIC_ROWS, CLEAN_ROWS, ROW_BUCKETS = 6_000, 12_000, 4_096
 #: The z-score from which a term counts in full, and the least that any term counts.
 FULL_Z, LEAST_VALUE = 4.0, 0.1
@@ -97,88 +97,111 @@ def fit(rows: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Factorizati
         return model
     model.terms, scale = weigh_terms(rows, label)
     n = len(model.terms)
-    model.weights, model.factors = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS))
+    state = np.zeros((n, 2 + 2 * FACTORS), "f4")  # a term's weight, factors, and the sums of their squared slopes
+    state[:, 1 : 1 + FACTORS] = rng.normal(0, 0.02, (n, FACTORS))
+    state[:, 1 + FACTORS :] = 1e-4
+    scale, half = scale.astype("f4"), 1 + FACTORS
     place = np.zeros(BUCKETS, "i4")
     place[model.terms] = np.arange(n)
-    at = [place[x] for x in rows]
-    gw, gv, gb = np.full(n, 1e-4), np.full((n, FACTORS), 1e-4), 1e-4
-    decayed, where, step = np.zeros(n, "int64"), np.empty(n, "int64"), 0
+    at, sizes = [place[x] for x in rows], np.array([len(x) for x in rows])
+    gb, decayed, where, step = 1e-4, np.zeros(n, "int64"), np.empty(n, "int64"), 0
 
-    def decay(own: np.ndarray) -> None:
-        missed = step - decayed[own]
-        model.weights[own] *= (1 - RATE * DECAY / np.sqrt(gw[own])) ** missed
-        model.factors[own] *= (1 - RATE * DECAY / np.sqrt(gv[own])) ** missed[:, None]
-        decayed[own] = step
+    def decay(some: np.ndarray, missed: np.ndarray) -> None:
+        some[:, :half] *= np.exp((-RATE * DECAY * missed[:, None]).astype("f4") / np.sqrt(some[:, half:]))
 
     for _ in range(EPOCHS):
         order = rng.permutation(len(at))
         for low in range(0, len(order), BATCH):
             own = order[low : low + BATCH]
             flat = np.concatenate([at[k] for k in own])
-            doc = np.repeat(np.arange(len(own)), [len(at[k]) for k in own])
+            doc, starts = np.repeat(np.arange(len(own)), sizes[own]), np.cumsum(sizes[own]) - sizes[own]
             met = np.zeros(n, bool)
             met[flat] = True
             terms = np.flatnonzero(met)
             where[terms] = np.arange(len(terms))
             place = where[flat]
-            decay(terms)
+            mine = state[terms]
+            decay(mine, step - decayed[terms])
             x = scale[terms]
-            w, v = x * model.weights[terms], x[:, None] * model.factors[terms]
-            squares = (v * v).sum(axis=1)
-            per_doc = lambda of: np.bincount(doc, of[place], len(own))
-            sums = np.stack([per_doc(v[:, k]) for k in range(FACTORS)], axis=1)
-            logit = model.bias + per_doc(w) + 0.5 * ((sums * sums).sum(axis=1) - per_doc(squares))
+            scaled = mine[:, :half] * x[:, None]
+            values, filled = scaled[place], np.flatnonzero(sizes[own])
+            sums, squares = np.zeros((len(own), half), "f4"), np.zeros(len(own), "f4")
+            if len(filled):
+                sums[filled] = np.add.reduceat(values, starts[filled], axis=0)
+                squares[filled] = np.add.reduceat((values[:, 1:] ** 2).sum(axis=1), starts[filled])
+            logit = model.bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[own]) / len(own)
             per_term = lambda of: np.bincount(place, of[doc], len(terms))
-            slope = per_term(error)
-            dw = DECAY * model.weights[terms] + x * slope
-            pairs = np.stack([per_term(error * sums[:, k]) for k in range(FACTORS)], axis=1) - v * slope[:, None]
-            dv = DECAY * model.factors[terms] + x[:, None] * pairs
-            db = error.sum()
-            gw[terms] += dw * dw
-            gv[terms] += dv * dv
+            down = np.empty((len(terms), half), "f4")
+            down[:, 0] = slope = per_term(error)
+            for k in range(1, half):
+                down[:, k] = per_term(error * sums[:, k])
+            down[:, 1:] -= scaled[:, 1:] * slope[:, None]
+            down = down * x[:, None] + DECAY * mine[:, :half]
+            db = float(error.sum())
             gb += db * db
-            model.weights[terms] -= RATE * dw / np.sqrt(gw[terms])
-            model.factors[terms] -= RATE * dv / np.sqrt(gv[terms])
+            mine[:, half:] += down * down
+            mine[:, :half] -= RATE * down / np.sqrt(mine[:, half:])
+            state[terms] = mine
             model.bias -= RATE * db / np.sqrt(gb)
             step += 1
             decayed[terms] = step
-    decay(np.arange(n))
-    model.weights *= scale
-    model.factors *= scale[:, None]
+    decay(state, step - decayed)
+    model.weights = (state[:, 0] * scale).astype("f8")
+    model.factors = (state[:, 1:half] * scale[:, None]).astype("f8")
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
-    """Fits on at most TOXIC_ROWS and CLEAN_ROWS labelled rows; tasks turn their texts into buckets first.
+    """Fits on at most TOXIC_ROWS and CLEAN_ROWS labelled documents; tasks turn their texts into buckets, one fits.
 
     An id with several labels counts as toxic if any says so; one with several texts is fitted by one of them, the
-    least by its buckets. Null labels, and ids without a document, don't count.
-    The bias is shifted from the drawn classes' odds to those of all labels, so a score doesn't hang on the caps.
+    least by its buckets. Null labels, and ids without a document, don't count, neither in the draw nor in the odds.
+    The bias is shifted from the fitted classes' odds to those of all labelled documents, so a score doesn't hang on the
+    caps. The driver gets the model only.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    said = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    known = staged(said.join(docs.select(id_col), id_col, "left_semi"), "labelled")
     order = [F.xxhash64(id_col), F.col(id_col)]
     drawn = known.where("y = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.where("y = 0").orderBy(*order).limit(CLEAN_ROWS))
     rows = docs.select(F.col(id_col), as_text(docs, text_col).alias("text")).join(F.broadcast(drawn), id_col)
 
+    def buckets(text: str | None) -> bytes:
+        own = np.sort(np.asarray(term_buckets(text), "<i4"))
+        return (own[np.linspace(0, len(own) - 1, ROW_BUCKETS).astype("i8")] if len(own) > ROW_BUCKETS else own).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.sort(np.asarray(term_buckets(x), "<i4")).tobytes() for x in texts_of(batch)]
+            found = [buckets(x) for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(batch.schema.get_field_index("y")).cast(pa.int32())], ["id", "buckets", "y"])
 
-    known_rows = rows.mapInArrow(run, "id long, buckets binary, y int").where(F.octet_length("buckets") <= 4 * ROW_BUCKETS)
-    got = known_rows.groupBy("id").agg(F.min("buckets").alias("buckets"), F.max("y").alias("y")).toArrow().sort_by("id").combine_chunks()
-    packed = got.column("buckets").combine_chunks() if got.num_rows else pa.array([], pa.binary())
-    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in packed], got.column("y").to_numpy().astype("int64"))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([b.select(["id", "buckets", "y"]) for b in batches], kept).sort_by("id").combine_chunks()
+        packed = got.column("buckets").combine_chunks() if got.num_rows else pa.array([], pa.binary())
+        label = got.column("y").to_numpy().astype("int64")
+        model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in packed], label)
+        parts = (model.terms.astype("<i4"), model.weights.astype("<f8"), model.factors.astype("<f8"))
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([model.bias]), pa.array([int(label.sum())]), pa.array([int((1 - label).sum())])], ["terms", "weights", "factors", "bias", "toxic", "clean"])
+
+    kept = pa.schema([("id", pa.int64()), ("buckets", pa.binary()), ("y", pa.int32())])
+    held = rows.withColumn(id_col, F.col(id_col).cast("long")).mapInArrow(run, "id long, buckets binary, y int")
+    sample = held.groupBy("id").agg(F.min("buckets").alias("buckets"), F.max("y").alias("y"))
+    one = sample.repartition(1).mapInArrow(fitted, "terms binary, weights binary, factors binary, bias double, toxic long, clean long").toArrow()
+    get = lambda name: one.column(name)[0]
+    terms, weights, factors = (np.frombuffer(get(c).as_buffer(), kind) for c, kind in (("terms", "<i4"), ("weights", "<f8"), ("factors", "<f8")))
+    model = FactorizationMachine(terms.astype("int64"), get("bias").as_py(), weights, factors.reshape(-1, FACTORS))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if toxic and clean:
-        model.bias += float(np.log(toxic / clean) - np.log(min(toxic, TOXIC_ROWS) / min(clean, CLEAN_ROWS)))
+    if toxic and clean and get("toxic").as_py() and get("clean").as_py():
+        model.bias += float(np.log(toxic / clean) - np.log(get("toxic").as_py() / get("clean").as_py()))
     return model
 
 
 def score_texts(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1) and predicted (score >= 0.5) of every whole text; null counts as empty."""
+    """id, score (0 to 1) and predicted (score >= 0.5) of every whole text; null and empty ones get the bias alone.
+
+    Rows of a null id and repeated rows are scored by their own text, each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
