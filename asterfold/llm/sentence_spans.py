@@ -160,5 +160,5 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", te
 
 
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeats across documents; a document's own refrain is left to the rules on repetition."""
-    return repeated_ranges(spark.read.parquet(f"{sf_dir}/documents.parquet"), within=False)
+    """Every non-first repeat, within a document as across documents."""
+    return repeated_ranges(spark.read.parquet(f"{sf_dir}/documents.parquet"))
