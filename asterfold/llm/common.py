@@ -5,16 +5,16 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asterfold.sources.scratch import release, scratch_path, shared_dir, staged  # noqa: F401  one place for scratch tables
+
 #: Where the named public tokenizers lie unless a caller gives a path.
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -28,42 +28,6 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one, on one machine only."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(root)
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; Hadoop deletes it when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/asterfold/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Deletes the folder of a staged table that no table still to be computed reads."""
-    for path in {os.path.dirname(x) for x in df.inputFiles()}:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str, salt_by: Column, salts: int = 16) -> DataFrame:
     """Equi-join that deals a hot key's rows to `salts` tasks; `small` has one row a key and is repeated per salt."""
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))

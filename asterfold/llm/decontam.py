@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -293,18 +293,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item, all columns as they are; each row goes by its own text, whatever its id."""
-    for shared in _shared_indexes(benchmark, item_col, item_text_col):
-
-        def test(shared=shared):
-            def clean(texts: list[str | None]) -> list[bool]:
-                held = {found[0] for found in _search(texts, shared.value)}
-                return [k not in held for k in range(len(texts))]
+    """The rows of docs that hold no benchmark item, all columns as they are; each row goes by its own text, whatever its id.
 
-            return clean
-
-        docs = filter_texts(docs, test, text_col)
-    return docs
+    One block of items filters the rows where they are. Of several blocks each has a scan and tasks of its own, so that a
+    task never holds more than one index; the SHA-256 of the texts found is then taken out of the rows.
+    """
+    indexes = list(_shared_indexes(benchmark, item_col, item_text_col))
+    if not indexes:
+        return docs
+
+    def test(shared: Broadcast[BenchmarkIndex], wanted: bool) -> Callable[[], Callable[[list[str | None]], list[bool]]]:
+        def marked(texts: list[str | None]) -> list[bool]:
+            held = {found[0] for found in _search(texts, shared.value)}
+            return [(k in held) == wanted for k in range(len(texts))]
+
+        return lambda: marked
+
+    if len(indexes) == 1:
+        return filter_texts(docs, test(indexes[0], False), text_col)
+    sha, found = F.sha2(as_text(docs, text_col), 256), None
+    for shared in indexes:
+        part = filter_texts(docs.select(text_col), test(shared, True), text_col).select(F.sha2(F.col(text_col).cast("string"), 256).alias("__found"))
+        found = part if found is None else found.unionByName(part)
+    found = found.distinct()
+    return docs.join(found, sha == found["__found"], "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
