@@ -1,16 +1,18 @@
 """Each operator against a brute-force version, with null, empty, odd, repeated and clashing rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from asterfold.llm import common, decontam, hostrules, langid, packing, secrets, sentence_spans, simhash, token_counts, token_files, toxicity
+from asterfold.llm import bitplane_clusters, common, decontam, fill_middle, hostrules, langid, minhash, packing, secrets, sentence_spans, simhash, token_counts, token_files, toxicity
 
 BPE = common.tokenizer_path("byte_bpe_50k.json")
 SP = common.tokenizer_path("piece_bpe_32k.model")
@@ -513,3 +515,269 @@ def test_op9_rules(spark, odd):
     bad = spark.createDataFrame([(k, "too short", "en", "spam", 1, "r", 7, "h", 3) for k in range(60)] + [(100 + k, prose(k, 60).replace("the", f"w{k}"), "en", f"s{k % 9}", 1, "r", 7, "h", 3) for k in range(90)] + [(500, prose(77, 60), "en", "spam", 1, "r", 7, "h", 3), (501, prose(78, 60), "en", None, 1, "r", 7, "h", 3)], SCHEMA)
     kept = {r.doc_id: r.kept for r in hostrules.judge_documents(bad).collect()}
     assert kept[500] is False and kept[501] is True and all(kept[100 + k] for k in range(90))
+
+
+def sets_of(texts, width):
+    return [frozenset(minhash.shingles(t, width).tolist()) for t in texts]
+
+
+def brute_components(rows, width, num, den):
+    """(n_shingles, component_id) by row of (doc_id, text): all pairs."""
+    sets, label = sets_of([t for _, t in rows], width), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and den * same >= num * (len(sets[a]) + len(sets[b]) - same):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    ids = {x: min((i for (i, _), y in zip(rows, label, strict=True) if y == x and i is not None), default=None) for x in set(label)}
+    return [(len(s), ids[x] if s else i) for s, x, (i, _) in zip(sets, label, rows, strict=True)]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def near_copies(seed):
+    """Chains, stars, a hub whose copies are no copies of each other, exact copies, long texts, texts under a shingle."""
+    rng = random.Random(seed)
+    base = [[f"v{rng.randrange(3000)}" for _ in range(rng.choice([3, 30, 120, 400]))] for _ in range(12)]
+    texts = [" ".join(w) for w in base]
+    texts += [edited(rng, rng.choice(base), rng.randrange(6)) for _ in range(80)]
+    chain = list(base[1])
+    for _ in range(15):
+        chain[rng.randrange(len(chain))] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(chain))
+    hub = [f"h{k}" for k in range(300)]
+    texts += [" ".join(hub), *(" ".join([*hub[:k], *(f"x{k}{j}" for j in range(8)), *hub[k + 8 :]]) for k in range(0, 280, 20))]
+    texts += [texts[0]] * 30 + [" ".join(hub).upper()] + ["a b", "A  b", "a", "word " * 40_000]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("num,width", [(85, 3), (80, 5)])
+def test_op11_matches_all_pairs(spark, odd, num, width):
+    rows = near_copies(num) + [(1000 + k, t) for k, t in enumerate(ODD)] + [(None, "null id " * 9), (None, None), (7, "shared id"), (7, prose(1, 50)), (8, prose(1, 50))]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = minhash.near_duplicates(df, num, 100, width).collect()
+    want = brute_components(rows, width, num, 100)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, n, c) for (i, _), (n, c) in zip(rows, want, strict=True))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got) and minhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_op11_splits_large_groups(spark, monkeypatch):
+    """With tiny blocks and parts every group is cut up; the result must not change."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "CHECKED", 3)
+    monkeypatch.setattr(minhash, "CELLS", 1 << 10)
+    monkeypatch.setattr(minhash, "SLICE", 100)
+    rows = near_copies(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, [t for _, t in rows]), 85, 100, 3).collect()}
+    assert got == dict(enumerate(brute_components(rows, 3, 85, 100)))
+
+
+def test_op11_recall_at_the_threshold():
+    """Pairs of just the wanted similarity share a key of both collections, as often as half_keys() promises."""
+    rng = np.random.default_rng(5)
+    keys = minhash.half_keys(0.85)
+    assert 2 * (1 - 0.85**minhash.ROWS) ** keys <= minhash.MISS
+    pairs = []
+    for _ in range(400):
+        both = np.unique(rng.integers(0, 1 << 63, 230, dtype="u8"))[:200]
+        pairs += [both[:185], np.concatenate([both[15:185], both[185:]])]  # 170 of 200 are shared
+    found = minhash.minhash_keys([np.sort(p) for p in pairs], keys, minhash.ROWS)
+    same = found[::2] == found[1::2]
+    assert (same[:, :keys].any(axis=1) & same[:, keys:].any(axis=1)).all()
+    assert abs(same.mean() - 0.85**minhash.ROWS) < 0.03
+
+
+def test_op11_bins_bound_the_intersection():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        every = np.unique(rng.integers(0, 1 << 63, rng.integers(2, 3000), dtype="u8") * np.uint64(2))
+        a, b = (np.sort(rng.choice(every, rng.integers(1, len(every)), replace=False)) for _ in range(2))
+        x, y = (np.frombuffer(minhash.bins(s.tobytes()), "<u2") for s in (a, b))
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+
+
+def brute_clusters(vectors, k, rounds, seed):
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    first = sorted(kept, key=lambda r: (r[0] is None, sha(f"{seed}:{r[0]}"), r[1]))[:k]
+    at = [list(v) for _, v in first]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c, strict=True))
+    near = lambda v: min((far(v, c), n) for n, c in enumerate(at))
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(near(v)[1], []).append(v)
+        for n, own in groups.items():
+            at[n] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    found = [(i, *near(v)) for i, v in kept]
+    own = Counter()
+    for _, d, n in found:
+        own[n] += d
+    return Counter((i, n, d, own[n], sum(own.values()), sha(",".join(map(str, at[n])))) for i, d, n in found)
+
+
+def test_op12_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 64)) + 3 * rng.integers(0, 3, (300, 1)))]
+    bad = [(900, None), (901, []), (902, [1.0] * 63), (903, [1.0] * 65), (904, [1.0] * 63 + [None]), (905, [float("nan")] * 64), (906, [float("inf")] * 64)]
+    same = [(5, rows[5][1]), (5, rows[5][1]), (5, rows[6][1]), (None, rows[7][1]), (700, [0.0] * 64), (701, [-0.0] * 64), (702, [1e4] * 64), (703, [-1 / 3] * 64)]
+    schema = "vec_id long, embedding array<double>, cluster int, planes int, h string"
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows + bad + same], schema).repartition(5)
+    got = Counter(tuple(r) for r in bitplane_clusters.cluster(df).collect())
+    assert got == brute_clusters(rows + same, 8, 10, 3)
+    few = df.where("vec_id in (1, 2, 3)")
+    assert Counter(tuple(r) for r in bitplane_clusters.cluster(few).collect()) == brute_clusters(rows[1:4], 8, 10, 3)
+    assert bitplane_clusters.cluster(df.where("vec_id > 899")).count() == 0 and bitplane_clusters.cluster(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        bitplane_clusters.cluster(spark.createDataFrame([(1, [1e30] * 64, 1, 2, "x")], schema))
+
+
+@pytest.mark.parametrize("low,high", [(0, 1), (-1, 0), (-5, 3), (-1024, 1024), (-(1 << 27), 1 << 27)])
+def test_op12_planes_are_exact(low, high):
+    rng = np.random.default_rng(abs(low) + high)
+    v = rng.integers(low, high + 1, (50, 64))
+    planes = 1 + max(int(v.max()).bit_length(), int(-v.min() - 1).bit_length() if v.min() < 0 else 0)
+    words = bitplane_clusters.pack(v, planes)
+    assert (bitplane_clusters.unpack(words) == v).all() and (bitplane_clusters.component_sums(words) == v.sum(axis=0)).all()
+    assert all((bitplane_clusters.dots(words, words[k]) == v @ v[k]).all() for k in (0, 7))
+
+
+def test_op13_cuts_code_points(spark, odd):
+    texts = [*ODD, *(prose(k, 40) for k in range(150)), "a <P> b", "x<S", "<M>", "é👍🏽漢" * 4000, "🏽" * 300]
+    df = odd.unionByName(docs(spark, texts, range(200, 200 + len(texts)))).unionByName(docs(spark, [prose(3, 9)] * 2, [5000, 5000]))
+    got = fill_middle.fill_in_middle(df).withColumn("back", fill_middle.restored(F.col("output"), F.col("form"))).collect()
+
+    def made(i, t):
+        t = t or ""
+        h = [int(hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+        a, b = sorted(x % (len(t) + 1) for x in h[:2])
+        if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            return i, len(t), "plain", None, None, t, t
+        p, m, s = t[:a], t[a:b], t[b:]
+        form = "spm" if h[3] % 100 < 20 else "psm"
+        return i, len(t), form, a, b - a, f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}", t
+
+    assert Counter(tuple(r) for r in got) == Counter(made(r.doc_id, r.text) for r in df.collect())
+    assert {r.form for r in got} == {"plain", "psm", "spm"} and fill_middle.fill_in_middle(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [4, 7, 64, 1 << 20])
+def test_op13_segments_leave_no_trace(most):
+    texts = ["", "a", "漢字漢字漢字", "x" * 50, "", "é" * 33, "👍🏽 ok", "plain words here"]
+    low = np.array([0, 1, 2, 17, 0, 33, 1, 5])
+    high = np.array([0, 1, 5, 40, 0, 33, 2, 16])
+    for lead in (0, 3):  # slices of a longer array, too
+        array = pa.array(["lead é"] * lead + texts).slice(lead)
+        got = [x.to_pylist() for x in fill_middle.pieces(array, low, high, most)]
+        assert got == [[t[:a] for t, a in zip(texts, low, strict=True)], [t[a:b] for t, a, b in zip(texts, low, high, strict=True)], [t[b:] for t, b in zip(texts, high, strict=True)]]
+    assert fill_middle.pieces(pa.array([], pa.string()), low[:0], high[:0], most)[0].to_pylist() == []
+
+
+@pytest.mark.parametrize("case", ["ids", "one id", "long"])
+def test_op7_loses_no_language(spark, case):
+    rng = random.Random(4)
+    words = {"en": WORDS, "de": "der die das und Fluss Stein Wolke Winter Hafen Lampe ruhig Fenster Wald Papier Silber Morgen Garten Brief".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(100_000 + k, text("de", 40), "de") for k in range(300)]
+    if case == "ids":
+        rows += [(k % 100, text("en", 40), "en") for k in range(12_000)]
+    elif case == "one id":
+        rows += [(5, text("en", 40), "en")] * 5000
+    else:
+        rows += [(k, text("en", 24_000), "en") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.learn_dictionaries(df, F.lit(True))
+    assert set(found) == {"de", "en"} and all(0 < len(x) <= langid.DICTIONARY for x in found.values())
+    probe = spark.createDataFrame([(1, text("en", 30)), (2, text("de", 30))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(probe, found).collect()} == {1: "en", 2: "de"}
+
+
+def test_op7_names_languages_without_a_text(spark):
+    df = spark.createDataFrame([(1, "some words here", "en"), (2, None, "fr"), (3, "", "fr")], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="fr"):
+        assert set(langid.learn_dictionaries(df, F.lit(True))) == {"en"}
+
+
+def marked(spark, n=200):
+    rng = random.Random(9)
+    rows = [(k, prose(k, 30) + (" vile scum" if k % 10 == 0 else "") + f" n{rng.randrange(50)}") for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), [(k, int(k % 10 == 0)) for k in range(n)]
+
+
+def test_op10_labels_without_documents_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 50)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 50)
+    df, labels = marked(spark)
+    schema = "doc_id long, toxic int"
+    ghosts = [(10**6 + k, 1) for k in range(20_000)]
+    models = [toxicity.learn(df, spark.createDataFrame(x, schema), F.lit(True)) for x in (labels, labels + ghosts)]
+    assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all()
+    assert models[0].score("vile scum") > 0.5 > models[0].score("the river")
+
+
+def test_op10_fits_long_texts_by_a_part_of_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROW_BUCKETS", 24)
+    df, labels = marked(spark)
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert len(model.terms) and model.score("vile scum vile") > model.score("the river and stone")
+
+
+def test_op10_slopes_are_those_of_the_loss(monkeypatch):
+    """One step without decay moves every parameter against its numerical slope, by the rate (AdaGrad's first step)."""
+    rows = [np.array([1, 2, 3]), np.array([2, 4]), np.array([1, 4, 5]), np.array([3])]
+    label = np.array([1, 0, 1, 0])
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "DECAY", 0.0)
+    monkeypatch.setattr(toxicity, "RATE", 1e-6)
+    before = toxicity.fit(rows, label)
+    monkeypatch.setattr(toxicity, "RATE", 0.5)
+    after = toxicity.fit(rows, label)
+    scale = toxicity.weigh_terms(rows, label)[1]
+    rate = (label.sum() + 1) / (len(label) + 2)
+
+    def loss(w, v, b):
+        out = 0.0
+        for x, y in zip(rows, label, strict=True):
+            at = np.searchsorted(before.terms, x)
+            z = b + (w * scale)[at].sum() + sum((v[i] * scale[i]) @ (v[j] * scale[j]) for k, i in enumerate(at) for j in at[:k])
+            out += np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z))
+        return out / len(rows)
+
+    w, v, b = before.weights / scale, before.factors / scale[:, None], np.log(rate / (1 - rate))
+    moved = (after.weights / scale, after.factors / scale[:, None])
+    for k in range(len(w)):
+        step = 1e-5 * np.eye(len(w))[k]
+        slope = (loss(w + step, v, b) - loss(w - step, v, b)) / 2e-5
+        assert np.isclose(moved[0][k] - w[k], -0.5 * slope / np.sqrt(1e-4 + slope**2), atol=2e-3)
+        bump = np.zeros_like(v)
+        bump[k, 0] = 1e-4
+        slope = (loss(w, v + bump, b) - loss(w, v - bump, b)) / 2e-4
+        assert np.isclose(moved[1][k, 0] - v[k, 0], -0.5 * slope / np.sqrt(1e-4 + slope**2), atol=5e-3)
+
+
+def test_op4_blocks_find_what_one_index_finds(spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(k, prose(5000 + k, rng.choice([4, 20, 60]))) for k in range(30)] + [(99, None), (98, " ")]
+
+    def spoiled(text, edits):
+        text = list(text)
+        for _ in range(edits):
+            text[rng.randrange(len(text))] = rng.choice("qxz")
+        return "".join(text)
+
+    texts = [f"{prose(k, 15)} {spoiled(t, e)} {prose(k + 1, 15)}" for k, t in items[:30] for e in (0, decontam.edit_budget(len(t)) if len(t) >= decontam.LEAST_CHARS else 0)] + [prose(9, 300), None, ""]
+    df, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    whole, kept = key(decontam.contaminated(df, bench).collect()), key(decontam.without_benchmark(df, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 600)
+    assert len(list(decontam._shared_indexes(bench, "item_id", "text"))) > 4
+    assert key(decontam.contaminated(df, bench).collect()) == whole and key(decontam.without_benchmark(df, bench).collect()) == kept
+    held = {r[0] for r in whole}
+    # every edited copy within the full budget is found; short items only as they are
+    assert held >= set(range(60)) and {r[0] for r in kept} == set(range(len(texts))) - held

@@ -191,4 +191,5 @@ def test_op7_and_op10_queries_hold_out(spark):
     scores = toxicity.op10_toxicity(spark, SF).collect()
     assert len(scores) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scores)
     known = [(r.predicted, label[r.doc_id]) for r in scores if r.held_out and r.doc_id in label]
-    assert known and np.mean([a == b for a, b in known]) > 0.85
+    hits, said, toxic = sum(a and b for a, b in known), sum(a for a, _ in known), sum(b for _, b in known)
+    assert toxic and hits >= 0.6 * toxic and hits >= 0.9 * said
