@@ -149,31 +149,20 @@ def probe_suite(train: DataFrame, test: DataFrame, key: str, vector: str, value:
 def modality_comparison(df: DataFrame, key: str, vector: str, target: str, parts: dict[str, list[int]], seeds: list[int], train_ratio: float, folds: int, alphas: list[float]) -> DataFrame:
     """Prediction rows of ridge probes on parts of a fused vector, one condition each, over the same splits.
 
-    parts: a condition's dimensions. Rows are repeated for each seed; one Gram pass over the fused vectors serves all
-    conditions, as a part's matrix is a block of the whole, and one pass each scores the alphas and the test rows.
+    parts: a condition's dimensions. Rows are repeated for each seed; heads.fit_heads takes two passes for all
+    conditions, and one more predicts the test rows.
     """
+    from asterfold.operators import heads
+
     each = df.select(key, vector, F.col(target).cast("double").alias("__y"), F.explode(F.array(*map(F.lit, seeds))).alias("split_seed"))
-    each = each.withColumns({"__train": hashing.fraction(F.col(key), F.col("split_seed").cast("string")) < train_ratio, "__fold": F.floor(hashing.fraction(F.col(key), F.concat(F.lit("fold-"), F.col("split_seed").cast("string"))) * folds).cast("int")})
-    train = each.where("__train").withColumn("__g", F.col("split_seed") * folds + F.col("__fold"))
-    whole = gram(train, vector, "__y", "__g")
-    block = lambda m, dims: m[np.ix_(i := [0, *[d + 1 for d in dims], m.shape[0] - 1], i)]
-
-    def model(dims: list[int], matrices: list[np.ndarray], alpha: float) -> tuple[float, np.ndarray]:
-        b, w = ridge_solve(sum(block(m, dims) for m in matrices), alpha)
-        full = np.zeros(whole[next(iter(whole))].shape[0] - 2)
-        full[dims] = w
-        return b, full
-
-    trials = [(name, a, {g: model(dims, [m for h, m in whole.items() if h != g and h // folds == g // folds], a) for g in whole}) for name, dims in parts.items() for a in alphas]
-    scored = train.groupBy("split_seed", "__g").agg(*[F.avg(F.abs(_predict(vector, models, "__g") - F.col("__y"))).alias(f"t{i}") for i, (_, _, models) in enumerate(trials)]).collect()
-    chosen, final = {}, {}
-    for seed in seeds:
-        for name, dims in parts.items():
-            means = {a: np.mean([r[f"t{i}"] for r in scored if r.split_seed == seed]) for i, (n, a, _) in enumerate(trials) if n == name}
-            chosen[seed, name] = alpha = min(alphas, key=lambda a: (round(means[a], 12), a))
-            final[seed, name] = model(dims, [m for g, m in whole.items() if g // folds == seed], alpha)
-    said = lambda name: F.struct(F.lit(name).alias("encoder"), _predict(vector, {s: final[s, name] for s in seeds}, "split_seed").alias("p"), F.create_map(*[x for s in seeds for x in (F.lit(s), F.lit(float(chosen[s, name])))])[F.col("split_seed")].alias("alpha"))
-    rows = each.where(~F.col("__train")).select(key, "split_seed", "__y", F.explode(F.array(*map(said, parts))).alias("c"))
+    each = each.withColumns({
+        "__train": hashing.fraction(F.col(key), F.col("split_seed").cast("string")) < train_ratio,
+        "__fold": F.floor(hashing.fraction(F.col(key), F.concat(F.lit("fold-"), F.col("split_seed").cast("string"))) * folds).cast("int")})
+    found = heads.fit_heads(each.where("__train"), vector, ["__y"], parts, "split_seed", "__fold", folds, alphas)
+    columns = {name: {s: (found[s, name, "__y"].constant, found[s, name, "__y"].weights) for s in seeds} for name in parts}
+    said = heads.predicted(each.where(~F.col("__train")), vector, "split_seed", [key, "__y"], columns)
+    alpha = lambda name: F.create_map(*[x for s in seeds for x in (F.lit(s), F.lit(float(found[s, name, "__y"].alpha)))])[F.col("split_seed")]
+    rows = said.select(key, "split_seed", "__y", F.explode(F.array(*[F.struct(F.lit(name).alias("encoder"), F.col(f"`{name}`").alias("p"), alpha(name).alias("alpha")) for name in parts])).alias("c"))
     return rows.select(F.col(key).alias("object_id"), "c.encoder", "split_seed", F.col("__y").alias("y_true_numeric"), F.col("c.p").alias("y_pred_numeric"), F.col("c.alpha").alias("hyperparameter_value"))
 
 
