@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asterfold.operators import order
@@ -31,6 +31,33 @@ def sample(df: DataFrame, key: str, n: int, salt: str, seed: int) -> DataFrame:
     return df.withColumn("__k", selection_key(salt, F.col(key), seed)).orderBy("__k", key).limit(n).drop("__k")
 
 
+def exact_sample(df: DataFrame, key: str, n: int, salt: str, seed: int, keep: Column | None = None) -> DataFrame:
+    """The n rows of the smallest hashes among those that `keep` holds for, ties by key; fewer than n raise.
+
+    Counts by the hash's first digits give the digits up to which all rows are in, counts by the next ones do so within the last
+    of them, and only rows alike in eight digits are ranked: no order over all rows, and the driver sees 65,536 counts at most.
+    """
+    if n <= 0:
+        raise ValueError("a sample needs a positive size")
+    rows = df.where(F.coalesce(keep, F.lit(False))) if keep is not None else df
+    rows = rows.withColumn("__k", selection_key(salt, F.col(key), seed))
+    left, prefix = n, ""
+    for _ in range(2):
+        digits = F.substring("__k", len(prefix) + 1, 4)
+        inside = rows.where(F.col("__k").startswith(prefix)) if prefix else rows
+        counts = sorted((r.d, r.n) for r in inside.groupBy(digits.alias("d")).agg(F.count("*").alias("n")).collect())
+        if not prefix and sum(c for _, c in counts) < n:
+            raise ValueError(f"{sum(c for _, c in counts)} rows fit, {n} asked for")
+        for d, c in counts:
+            if c >= left:
+                prefix += d
+                break
+            left -= c
+    alike = F.substring("__k", 1, len(prefix))
+    edge = rows.where(alike == prefix).withColumn("__r", F.row_number().over(Window.partitionBy(alike).orderBy("__k", key))).where(F.col("__r") <= left).drop("__r")
+    return rows.where(alike < prefix).unionByName(edge).drop("__k")
+
+
 def fold(key: Column, folds: int, seed: int) -> Column:
     """Fold of a key by its hash alone: no global order, so no single task."""
     return F.floor(fraction(key, f"fold-{seed}") * folds).cast("int")

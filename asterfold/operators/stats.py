@@ -94,15 +94,7 @@ def bootstrap(objects: DataFrame, key: str, total: str, weight: str, samples: in
     of partitioning, need no positions and no shuffle of pairs, only partial sums per resample.
     """
     by = by or []
-    u = hashing.fraction(F.col(key), F.col("resample").cast("string"), f"bootstrap-{seed}")
-    steps, mass, cumulative = 0, 0.36787944117144233, 0.36787944117144233
-    count = F.when(u < cumulative, 0)
-    while steps < 7:
-        steps += 1
-        mass /= steps
-        cumulative += mass
-        count = count.when(u < cumulative, steps)
-    drawn = objects.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("resample")).withColumn("c", count.otherwise(8))
+    drawn = poisson_draws(objects, key, samples, seed)
     means = drawn.groupBy(*by, "resample").agg(F.try_divide(F.sum(F.col("c") * F.col(total)), F.sum(F.col("c") * F.col(weight))).alias("m"))
     tail = (1 - confidence) / 2
     out = means.groupBy(*by).agg(r6(F.percentile("m", F.lit(tail))).alias("ci_low"), r6(F.percentile("m", F.lit(1 - tail))).alias("ci_high"))
@@ -110,6 +102,49 @@ def bootstrap(objects: DataFrame, key: str, total: str, weight: str, samples: in
     return out.join(point, by) if by else out.crossJoin(point)
 
 
+def poisson_draws(objects: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
+    """objects once for each resample, with c, its Poisson(1) count from the hash of (object, resample)."""
+    u = hashing.fraction(F.col(key), F.col("resample").cast("string"), f"bootstrap-{seed}")
+    mass = cumulative = 0.36787944117144233
+    count = F.when(u < cumulative, 0)
+    for k in range(1, 8):
+        mass /= k
+        cumulative += mass
+        count = count.when(u < cumulative, k)
+    return objects.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("resample")).withColumn("c", count.otherwise(8))
+
+
+def shared_bootstrap(objects: DataFrame, key: str, contrasts: list[str], samples: int, seed: int, confidence: float = 0.95) -> DataFrame:
+    """contrast, estimate, ci_low, ci_high, objects of the mean of each column, all from the same resamples.
+
+    An object counts for a contrast where that isn't null. One draw an object and resample serves all columns, so
+    intervals may be compared with each other.
+    """
+    drawn = poisson_draws(objects, key, samples, seed)
+    mean = lambda c, w: F.try_divide(F.sum(w * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), w)))
+    means = drawn.groupBy("resample").agg(*[mean(c, F.col("c")).alias(c) for c in contrasts])
+    tail = (1 - confidence) / 2
+    ends = means.agg(*[F.percentile(c, F.array(F.lit(tail), F.lit(1 - tail))).alias(c) for c in contrasts])
+    point = objects.agg(*[F.struct(F.avg(c).alias("estimate"), F.count(c).alias("objects")).alias(f"p_{k}") for k, c in enumerate(contrasts)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("contrast"), F.col(c).alias("ends"), F.col(f"p_{k}").alias("point")) for k, c in enumerate(contrasts)])).alias("x")
+    rows = ends.crossJoin(point).select(each)
+    return rows.select("x.contrast", r6(F.col("x.point.estimate")).alias("estimate"), r6(F.col("x.ends")[0]).alias("ci_low"), r6(F.col("x.ends")[1]).alias("ci_high"), F.col("x.point.objects").alias("objects"))
+
+
+def paired_contrasts(df: DataFrame, key: str, seed: str, encoder: str, family: str, base: str, other: str, families: list[str], predicted: str, true: str, samples: int, draw: int) -> DataFrame:
+    """By how much `other` errs less than `base`, for each probe family and on both scales, with a decision; shared draws.
+
+    Errors are absolute or over 1 + true. An object's difference is its mean over the seeds in which a family has both.
+    """
+    error = F.abs(F.col(predicted) - F.col(true))
+    side = lambda e, c: F.avg(F.when(F.col(encoder) == c, e))
+    scaled = {"absolute": error, "one_plus_z": error / (1 + F.col(true))}
+    per = df.where(F.col(family).isin(families)).groupBy(key, seed, family).agg(*[(side(e, base) - side(e, other)).alias(f"__{s}") for s, e in scaled.items()])
+    names = {f"{f}_{s}": F.avg(F.when(F.col(family) == f, F.col(f"__{s}"))) for f in families for s in scaled}
+    objects = per.groupBy(key).agg(*[c.alias(n) for n, c in names.items()])
+    return shared_bootstrap(objects, key, list(names), samples, draw).withColumn("decision", decision(F.col("ci_low"), F.col("ci_high")))
+
+
 def decision(ci_low: Column, ci_high: Column) -> Column:
     return F.when(ci_low > 0, "improves").when(ci_high < 0, "worsens").otherwise("undecided")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing, scores, text, vectors
-from asterfold.operators import audits, order, population, probes, retrieval, sphere, stats, validation
+from asterfold.operators import audits, bins, order, population, probes, retrieval, sphere, stats, validation
 from asterfold.operators.stats import r6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,9 +289,7 @@ def tier_assignment(spark: SparkSession, d: str) -> DataFrame:
   select lo, hi, count(p_partkey) as total, count(*) filter (f) as featured, count(*) filter (s) as spiral, count(*) filter (b) as bar from edges left join flags on p_retailprice >= lo and p_retailprice < hi group by lo, hi""")
 def coverage_crosstab(spark: SparkSession, d: str) -> DataFrame:
     edges = spark.createDataFrame([(900.0, 1200.0), (1200.0, 1500.0), (1500.0, 1800.0), (1800.0, 2100.0), (2100.0, 9999.0)], "lo double, hi double")
-    bin_of = F.when(F.col("p_retailprice") >= 2100, 2100.0).otherwise(900.0 + 300.0 * F.floor((F.col("p_retailprice") - 900) / 300))
-    counted = flags(spark, d).where("p_retailprice >= 900 and p_retailprice < 9999").groupBy(bin_of.alias("lo")).agg(F.count("*").alias("total"), F.count_if("f").alias("featured"), F.count_if("s").alias("spiral"), F.count_if("b").alias("bar"))
-    return edges.join(F.broadcast(counted), "lo", "left").fillna(0, ["total", "featured", "spiral", "bar"])
+    return bins.counted(flags(spark, d), "p_retailprice", edges, "lo", "hi", ["lo", "hi"], total=F.lit(1), featured=F.col("f"), spiral=F.col("s"), bar=F.col("b"))
 
 
 JOINT = f"""{VOTES}, points as (select *, greatest(0, least(1, least(case when isnan(featured) then 0 else featured end, spiral))) as strength, exp(-greatest(1200 - p_retailprice, p_retailprice - 1500, 0.0::double) / 150) as closeness from votes),

@@ -77,9 +77,9 @@ def cell_path(order: int, pixel: int) -> str:
     return f"Norder={order}/Dir={pixel // 10_000 * 10_000}/Npix={pixel}"
 
 
-def write_manifest(df: DataFrame, path: str, overwrite: bool = False) -> dict:
+def write_manifest(df: DataFrame, path: str, overwrite: bool = False, options: dict[str, str] | None = None) -> dict:
     """Parquet that refuses to overwrite unless told, and a sidecar with its rows and fingerprint."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    df.write.mode("overwrite" if overwrite else "errorifexists").options(**(options or {})).parquet(path)
     print_of = validation.fingerprint(df.sparkSession.read.parquet(path))
     print_of.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.meta")
     return print_of.first().asDict()
