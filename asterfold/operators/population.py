@@ -54,7 +54,7 @@ def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame
     keys = staged(mine.join(wanted, key, "full_outer").join(out, key, "left"), "population")
     asked, eligible = F.col("__anchor").isNotNull() | F.col("__rank").isNotNull(), F.col("__n").isNotNull() & F.col("__out").isNull()
     counts = {
-        "repeated": F.col("__n") > 1, "asked for but not in the source": asked & F.col("__n").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull(),
+        "duplicate": F.col("__n") > 1, "asked for but not in the source": asked & F.col("__n").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull(),
         "rows": eligible, "anchors": eligible & F.col("__anchor").isNotNull()}
     found = validation.violations(keys, counts).first().asDict()
     broken = {k: v for k, v in found.items() if v and k not in ("rows", "anchors")}

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
-from asterfold.operators import bins, caches, stats
+from asterfold.operators import bins, caches, chain, stats
 from asterfold.plans.queries import FRACTION, place, query, table
 from asterfold.plans.readouts import boot_sql
 from asterfold.sources import catalog
 from asterfold.sources.scratch import scratch_path
+from asterfold.streaming import generate
 
 
 @query("select c_custkey, c_acctbal::double as c_acctbal from customer where c_custkey % 37 = 0")
@@ -106,3 +107,28 @@ def paired_contrasts(spark: SparkSession, d: str) -> DataFrame:
     kept = every.where((F.col("encoder") == "a") | (hashing.fraction(F.col("p_partkey"), F.col("seed").cast("string")) < 0.8))
     off = F.when(F.col("encoder") == "a", (F.col("p_partkey") % 7) / 20.0).otherwise((F.col("p_partkey") % 5) / 20.0) * F.when(F.col("family") == "linear", 1.0).otherwise(0.5)
     return stats.paired_contrasts(kept.withColumn("p", F.col("t") + off), "p_partkey", "seed", "encoder", "family", "a", "b", ["linear", "knn"], "p", "t", 50, 11)
+
+
+@query("""with c as (select count(*) filter (vec_id % 10 <> 0) as n from embeddings), t as (select unnest(['captions', 'common', 'released', 'released_unit', 'captioned']) as stage)
+  select stage, n as rows, 'made' as first, 'kept' as again, case when stage in ('captions', 'released_unit') then 'kept' else 'made' end as other_manifest from c cross join t""")
+def common_set_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Captions to a common set and three caches, run, run again, and run with another manifest column; every tenth object can't be captioned."""
+    e = table(spark, d, "embeddings")
+    source = e.select(F.col("vec_id").cast("string").alias("object_id"), F.when(F.col("vec_id") % 10 == 0, "").otherwise(F.concat(F.lit("image "), "vec_id")).alias("image"), F.concat(F.lit("label "), "label").alias("summary"), F.col("embedding").alias("vector"))
+    manifest = source.select("object_id", F.length("summary").alias("size"))
+
+    def captions(rows: DataFrame) -> DataFrame:
+        said = generate.generated(rows, "object_id", "image", lambda t: t and f"a {t}")
+        return said.where("error is null").select("object_id", F.col("response").alias("description"))
+
+    def load():
+        return lambda texts: [[1.0 + len(t), 1.0 + t.count("1"), 1.0] for t in texts]
+
+    root = scratch_path(spark, "chain")
+    stages = chain.common_set_stages(captions, load, 3, "counted", "v1")
+    first, again = (chain.run_chain(spark, root, {"source": source, "manifest": manifest}, stages) for _ in range(2))
+    found = [chain.opened(spark, root, {"source": source, "manifest": manifest}, stages, s.name) for s in stages[1:]]
+    n = chain.aligned(*found)
+    changed = chain.run_chain(spark, root, {"source": source, "manifest": manifest.withColumn("size", F.col("size") + 1)}, stages)
+    rows = [(s.name, n, first[s.name], again[s.name], changed[s.name]) for s in stages]
+    return spark.createDataFrame(rows, "stage string, rows long, first string, again string, other_manifest string")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from asterfold.operators import order, validation
 
@@ -85,28 +86,59 @@ def statistics(n: int, good: DataFrame, bad: DataFrame) -> dict:
     return {"completed": completed, "errors": errors, "pending": n - errors - completed}
 
 
+def marked_keys(source: DataFrame, key: str, text_col: str) -> DataFrame:
+    """A stream's key and text once a batch and key, with known (an earlier batch had the key) and repeated (known, or twice here).
+
+    The state store of the query's checkpoint is the ledger of keys: a bit a key, dealt by the key's hash, so a batch looks up its own
+    keys only, whatever came before.
+    """
+    kind = source.schema[key].dataType.simpleString()
+
+    def mark(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, text, known = 0, None, state.exists
+        for frame in frames:
+            texts = frame[text_col].dropna()
+            rows, text = rows + len(frame), min([*texts, *([] if text is None else [text])], default=None)
+        if not known:
+            state.update((True,))
+        yield pd.DataFrame({key: [k[0]], text_col: [text], "known": [known], "repeated": [known or rows > 1]})
+
+    return source.groupBy(key).applyInPandasWithState(mark, f"{key} {kind}, {text_col} string, known boolean, repeated boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _errors_so_far(spark: SparkSession, path: str, n: int, own: int) -> int:
+    """Errors of all batches up to n: a batch writes its total, which the next one alone reads, and a repeated one replaces."""
+    before = f"{path}/batch={n - 1}"
+    total = own + (spark.read.schema("errors long").parquet(before).first().errors if n and _there(spark, before) else 0)
+    spark.createDataFrame([(total,)], "errors long").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return total
+
+
 def stream_results(source: DataFrame, key: str, text_col: str, make: Callable[[str], str], good: str, bad: str, checkpoint: str, errors_allowed: int | None = None, repeats: str = "skip"):
     """The same from a stream. Batches are written by id, so that a repeated batch replaces itself.
 
-    Keys that an earlier batch holds are skipped, or raise with repeats="raise"; either way they are found in the
-    written tables, so no state grows. More than errors_allowed errors in all stop the stream.
+    Keys that an earlier batch held are skipped, or raise with repeats="raise", as do keys twice in a batch; of several texts the least
+    counts. A batch reads neither earlier results nor their keys: see marked_keys(). More than errors_allowed errors in
+    all stop the stream. One checkpoint belongs to one pair of tables.
     """
-    schema = f"{key} {source.schema[key].dataType.simpleString()}, response string, error string"
+    schema = f"{key} {source.schema[key].dataType.simpleString()}, response string, error string, batch long"
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        done = _known(spark, schema + ", batch long", good, bad).where(F.col("batch") != n).select(key)
-        if repeats == "raise":
-            validation.no_overlap(batch, done, key)
-            validation.require_unique(batch, key)
-        new = batch.dropDuplicates([key]).join(done, key, "left_anti")
-        results = generated(new, key, text_col, make).withColumn("batch", F.lit(n).cast("long"))
-        _split(spark, results, schema + ", batch long", f"{good.rstrip('/')}.pending", f"{good}/part={n}", f"{bad}/part={n}", "overwrite")
-        errors = _known(spark, schema, bad).count()
+        batch = batch.persist()  # else the state would be looked up once for each use
+        try:
+            if repeats == "raise" and batch.where("repeated").limit(1).count():
+                raise ValueError(f"{key} occurs on both sides: in this batch and before, or twice in it")
+            results = generated(batch.where("not known"), key, text_col, make).withColumn("batch", F.lit(n).cast("long"))
+            _split(spark, results, schema, f"{good.rstrip('/')}.pending", f"{good}/part={n}", f"{bad}/part={n}", "overwrite")
+        finally:
+            batch.unpersist()
+        own = spark.read.schema(schema).parquet(f"{bad}/part={n}").count()
+        errors = _errors_so_far(spark, f"{bad.rstrip('/')}.totals", n, own)
         if errors_allowed is not None and errors > errors_allowed:
             raise RuntimeError(f"{errors} errors, {errors_allowed} allowed")
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return marked_keys(source, key, text_col).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def encoded(rows: DataFrame, key: str, text_col: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch: int = 64) -> DataFrame:
