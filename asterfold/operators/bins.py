@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cuts of the axis, and intervals (repeated by bucket) that are broadcast at most.
-CUTS, BROADCAST_BINS = 255, 50_000
+#: Cuts of the axis, and intervals that are broadcast at most (repeated for the buckets that they meet, 256 each at worst).
+CUTS, BROADCAST_BINS = 255, 5_000
 
 
 def bucket_of(value: Column, cuts: list[float]) -> Column:
@@ -25,11 +25,17 @@ def bucket_of(value: Column, cuts: list[float]) -> Column:
     return tree(0, len(cuts))
 
 
-def cuts_of(bins: DataFrame, low: str, high: str) -> list[float]:
-    """At most CUTS of the intervals' ends, evenly by rank."""
-    ends = bins.select(F.explode(F.array(F.col(low).cast("double"), F.col(high).cast("double"))).alias("e")).where("e is not null and not isnan(e) and abs(e) < double('inf')")
+def cuts_of(bins: DataFrame, low: str, high: str) -> tuple[list[float], bool]:
+    """At most CUTS of the intervals' ends, evenly by rank, and whether the intervals are few enough for a broadcast."""
+    ends = bins.select(F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"))
+    some = ends.limit(BROADCAST_BINS + 1).collect()
+    if len(some) <= BROADCAST_BINS:
+        every = sorted({x for r in some for x in r if x is not None and abs(x) < float("inf")})
+        step = max(1, -(-len(every) // CUTS))
+        return every[::step], True
+    flat = ends.select(F.explode(F.array("lo", "hi")).alias("e")).where("e is not null and not isnan(e) and abs(e) < double('inf')")
     marks = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
-    return sorted(set(ends.distinct().approxQuantile("e", marks, 1 / (8 * CUTS))))
+    return sorted(set(flat.distinct().approxQuantile("e", marks, 1 / (8 * CUTS)))), False
 
 
 def assigned(rows: DataFrame, value: str, bins: DataFrame, low: str, high: str) -> DataFrame:
@@ -37,12 +43,11 @@ def assigned(rows: DataFrame, value: str, bins: DataFrame, low: str, high: str)
 
     Null and NaN values lie in no interval. Column names of the sides must differ.
     """
-    cuts = cuts_of(bins, low, high)
+    cuts, few = cuts_of(bins, low, high)
     lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
     first = F.coalesce(bucket_of(lo, cuts), F.lit(0)) if cuts else F.lit(0)
     last = F.coalesce(bucket_of(hi, cuts), F.lit(len(cuts))) if cuts else F.lit(0)
     some = bins.where(F.coalesce(lo < hi, F.lit(True))).withColumn("__bucket", F.explode(F.sequence(F.when(lo.isNull(), 0).otherwise(first), F.when(hi.isNull(), len(cuts)).otherwise(last))))
-    few = some.count() <= BROADCAST_BINS
     v = F.col(value).cast("double")
     placed = rows.where(v.isNotNull() & ~F.isnan(v)).withColumn("__own", bucket_of(v, cuts) if cuts else F.lit(0))
     inside = (F.col("__own") == F.col("__bucket")) & F.coalesce(v >= lo, F.lit(True)) & F.coalesce(v < hi, F.lit(True))
@@ -53,8 +58,7 @@ def counted(rows: DataFrame, value: str, bins: DataFrame, low: str, high: str, b
     """Each interval with the named sums over its rows, 0 where it has none; by: the columns that tell intervals apart."""
     found = assigned(rows, value, bins.select(*dict.fromkeys([*by, low, high])), low, high).groupBy(*by).agg(*[F.sum(c.cast("long")).alias(n) for n, c in sums.items()])
     found = found.withColumnsRenamed({c: f"__{c}" for c in by})
-    few = F.broadcast(found) if bins.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS else found
     same = F.lit(True)
     for c in by:  # an open end is null
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return bins.join(few, same, "left").drop(*[f"__{c}" for c in by]).fillna(0, list(sums))
+    return bins.join(found, same, "left").drop(*[f"__{c}" for c in by]).fillna(0, list(sums))

@@ -43,8 +43,9 @@ def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame
 
     anchors: (key); priorities: (key, priority_rank), of a repeated key the first rank; excluded: (key), which may be
     neither. Anchors or priorities that the source lacks or that are excluded, more anchors than n, and fewer
-    eligible rows than n raise, as does a repeated source key. Keys alone are tagged, checked and ranked, in ranges
-    along the order, so neither the first n nor their ranks need one task; the source is joined to the chosen keys.
+    eligible rows than n raise, as does a repeated source key. Keys alone are tagged, written once and checked;
+    whole tiers are taken as far as they fit, the last one by counts of hashes or by ranges of ranks, so neither the first n nor
+    their ranks need one task; the source is joined to the chosen keys.
     """
     if n <= 0 or not salt.strip():
         raise ValueError("a population needs a positive size and a salt")
@@ -55,20 +56,28 @@ def fill_population(source: DataFrame, anchors: DataFrame, priorities: DataFrame
     asked, eligible = F.col("__anchor").isNotNull() | F.col("__rank").isNotNull(), F.col("__n").isNotNull() & F.col("__out").isNull()
     counts = {
         "duplicate": F.col("__n") > 1, "asked for but not in the source": asked & F.col("__n").isNull(), "asked for but excluded": asked & F.col("__out").isNotNull(),
-        "rows": eligible, "anchors": eligible & F.col("__anchor").isNotNull()}
+        "rows": eligible, "anchors": eligible & F.col("__anchor").isNotNull(), "priorities": eligible & F.col("__anchor").isNull() & F.col("__rank").isNotNull()}
     found = validation.violations(keys, counts).first().asDict()
-    broken = {k: v for k, v in found.items() if v and k not in ("rows", "anchors")}
+    broken = {k: v for k, v in found.items() if v and k not in ("rows", "anchors", "priorities")}
     if broken:
         raise ValueError(f"keys {broken}")
     if found["anchors"] > n or found["rows"] < n:
         raise ValueError(f"{n} rows asked for, {found['anchors']} anchors, {found['rows']} eligible rows")
     reason = F.when(F.col("__anchor"), "anchor").when(F.col("__rank").isNotNull(), "priority").otherwise("hash_fill")
-    tier = F.when(F.col("__anchor"), 0).when(F.col("__rank").isNotNull(), 1).otherwise(2)
-    tagged = keys.where(eligible).select(key, reason.alias("selection_reason"), tier.alias("__tier"), "__rank", hashing.selection_key(salt, F.col(key), seed).alias("__hash"))
-    first = F.when(F.col("__tier") == 1, F.col("__rank")).otherwise(0)
-    chosen = order.ranked_along(tagged, [], [F.col("__tier"), first, F.col("__hash"), F.col(key)], "__place").where(F.col("__place") <= n)
-    ranked = order.ranked_along(chosen.select(key, "selection_reason", "__hash"), [], [F.col("__hash"), F.col(key)], "selection_rank")
-    return source.join(ranked.select(key, "selection_reason", (F.col("selection_rank") - 1).alias("selection_rank")), key)
+    tagged = keys.where(eligible).select(key, reason.alias("selection_reason"), "__rank")
+    tier = lambda name: tagged.where(F.col("selection_reason") == name)
+    kept = ["selection_reason", key]
+    chosen, left = tier("anchor").select(*kept), n - found["anchors"] - found["priorities"]
+    if left >= 0:
+        chosen = chosen.unionByName(tier("priority").select(*kept))
+        if left:
+            chosen = chosen.unionByName(hashing.exact_sample(tier("hash_fill").select(*kept), key, left, salt, seed))
+    else:
+        first = order.ranked_along(tier("priority"), [], [F.col("__rank"), hashing.selection_key(salt, F.col(key), seed), F.col(key)], "__place")
+        chosen = chosen.unionByName(first.where(F.col("__place") <= n - found["anchors"]).select(*kept))
+    chosen = chosen.withColumns({"__hash": hashing.selection_key(salt, F.col(key), seed), "__all": F.lit(0)})
+    ranked = order.ranked(chosen, ["__all"], order.hex_bucket(F.col("__hash")), [F.col("__hash"), F.col(key)], "selection_rank")
+    return source.join(ranked.select(*kept, (F.col("selection_rank") - 1).alias("selection_rank")), key)
 
 
 def common_ids(*manifests: DataFrame, split: str | None = None, key: str = "object_id") -> DataFrame:

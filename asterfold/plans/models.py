@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing, scores
@@ -10,11 +10,14 @@ from asterfold.operators import encoder, joint, logistic
 from asterfold.plans.queries import FRACTION, query, table
 from asterfold.sources.scratch import scratch_path
 
-KINDS = {"featured": scores.path_strength(F.col("featured")), "spiral": scores.path_strength(F.col("featured"), F.col("spiral"))}
 INTERVALS = {"near": ("featured", 0.2, 0.6), "far": ("spiral", 0.5, 0.9)}
 LEAST, RATIO, SEED, K = 0.6, 0.6, 5, 10
 
 
+def kinds() -> dict[str, Column]:
+    return {"featured": scores.path_strength(F.col("featured")), "spiral": scores.path_strength(F.col("featured"), F.col("spiral"))}
+
+
 def objects(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as objects: two halves as embeddings, votes and redshift from the id."""
     k = F.col("vec_id")
@@ -23,7 +26,7 @@ def objects(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(
         k.cast("string").alias("object_id"), F.when(k % 3 == 0, "anchor_v1").when(k % 3 == 1, "morphology_priority").otherwise("hash_fill").alias("selection_reason"),
         share(13).alias("z"), share(37).alias("featured"), share(61).alias("spiral"), F.slice("embedding", F.lit(1), half).alias("image"), F.slice("embedding", half + 1, half).alias("spectrum"))
-    return rows.withColumns({f"reliable_{m}": c >= LEAST for m, c in KINDS.items()})
+    return rows.withColumns({f"reliable_{m}": c >= LEAST for m, c in kinds().items()})
 
 
 def joint_readout(spark: SparkSession, d: str) -> joint.Readout:
@@ -31,7 +34,7 @@ def joint_readout(spark: SparkSession, d: str) -> joint.Readout:
     hits = {n: F.count_if(F.col(f"reliable_{m}") & scores.in_interval(F.col("z"), lo, hi)).alias(n) for n, (m, lo, hi) in INTERVALS.items()}
     counts = rows.agg(*hits.values()).first()
     asked = [joint.Query(n, f"{m} from {lo} to {hi}", m, lo, hi, counts[n]) for n, (m, lo, hi) in INTERVALS.items()]
-    return joint.joint_retrieval(rows, KINDS, asked, joint.Setup((0, 1), RATIO, 4, (0.1, 1.0, 10.0), SEED, K, LEAST))
+    return joint.joint_retrieval(rows, kinds(), asked, joint.Setup((0, 1), RATIO, 4, (0.1, 1.0, 10.0), SEED, K, LEAST))
 
 
 REFERENCES = f"""e as (select vec_id::varchar as object_id, case vec_id % 3 when 0 then 'anchor_v1' when 1 then 'morphology_priority' else 'hash_fill' end as selection_reason,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from asterfold.functions import text
 from asterfold.operators import order, validation
@@ -59,17 +60,23 @@ def indexed(df: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, root: str, cells: list[tuple[int, int]], columns: list[str], ids: DataFrame, key: str, kept: str) -> DataFrame:
-    """The ids' rows of the named sky cells, read cell by cell and kept: a cell that is kept already is not read again.
+    """The ids' rows of the named sky cells, read in one job and kept: a cell that the ledger beside the kept rows lists is not read again.
 
-    Only the cells' folders and the named columns are scanned; a cell's rows are written in one commit.
+    Only the cells' folders and the named columns are scanned; cells enter the ledger once their rows are written.
     """
-    there = lambda p: (at := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    for cell in cells:
-        out = f"{kept}/{cell_path(*cell)}"
-        if not there(f"{out}/_SUCCESS"):
-            rows = spark.read.parquet(f"{root}/{cell_path(*cell)}").select(*columns)
-            rows.join(ids.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(out)
-    return spark.read.parquet(*[f"{kept}/{cell_path(*cell)}" for cell in cells])
+    ledger, rows = f"{kept}/ledger", f"{kept}/rows"
+    where = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    done = {tuple(r) for r in spark.read.schema("Norder int, Npix long").parquet(ledger).collect()} if there else set()
+    todo = sorted(set(cells) - done)
+    if todo:
+        found = spark.read.option("basePath", root).parquet(*[f"{root}/{cell_path(*c)}" for c in todo]).select(*columns, "Norder", "Npix")
+        found = found.join(ids.select(key).distinct(), key, "left_semi")
+        found.repartition("Norder", "Npix").write.partitionBy("Norder", "Npix").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(rows)
+        spark.createDataFrame(todo, "Norder int, Npix long").coalesce(1).write.mode("append").parquet(ledger)
+    schema = spark.read.parquet(f"{root}/{cell_path(*cells[0])}").select(*columns).schema
+    asked = F.struct(F.col("Norder").cast("int"), F.col("Npix").cast("long")).isin(*[F.struct(F.lit(o).cast("int"), F.lit(p).cast("long")) for o, p in cells])
+    return spark.read.schema(schema.add("Norder", IntegerType()).add("Npix", LongType())).parquet(rows).where(asked).select(*columns)
 
 
 def cell_path(order: int, pixel: int) -> str:
