@@ -521,7 +521,7 @@ def sets_of(texts, width):
     return [frozenset(minhash.shingles(t, width).tolist()) for t in texts]
 
 
-def brute_components(rows, width, num, den):
+def all_pairs_components(rows, width, num, den):
     """(n_shingles, component_id) by row of (doc_id, text): all pairs."""
     sets, label = sets_of([t for _, t in rows], width), list(range(len(rows)))
     for a in range(len(rows)):
@@ -562,7 +562,7 @@ def test_op11_matches_all_pairs(spark, odd, num, width):
     rows = near_copies(num) + [(1000 + k, t) for k, t in enumerate(ODD)] + [(None, "null id " * 9), (None, None), (7, "shared id"), (7, prose(1, 50)), (8, prose(1, 50))]
     df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
     got = minhash.near_duplicates(df, num, 100, width).collect()
-    want = brute_components(rows, width, num, 100)
+    want = all_pairs_components(rows, width, num, 100)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, n, c) for (i, _), (n, c) in zip(rows, want, strict=True))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and minhash.near_duplicates(odd.limit(0)).count() == 0
 
@@ -575,7 +575,7 @@ def test_op11_splits_large_groups(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SLICE", 100)
     rows = near_copies(1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, [t for _, t in rows]), 85, 100, 3).collect()}
-    assert got == dict(enumerate(brute_components(rows, 3, 85, 100)))
+    assert got == dict(enumerate(all_pairs_components(rows, 3, 85, 100)))
 
 
 def test_op11_recall_at_the_threshold():
