@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import sky
+from asterfold.operators import validation
 from asterfold.operators.nearest import nearest_anywhere
 
 #: Smallest cell edge: more cells than 2^21 an axis don't fit a packed key.
@@ -52,6 +53,18 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[s
     return near.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
 
 
+def self_match(source: DataFrame, ra: str, dec: str, key: str, radius_arcsec: float = 1.0) -> DataFrame:
+    """key, match, separation_arcsec of each row's nearest row in its own table: a check of a matcher before it is trusted.
+
+    Each row must be met at distance 0, by itself or, where rows share a place, by the smallest key there; else raises, as do repeated
+    keys. Rows without a place raise.
+    """
+    rows = validation.require_unique(source.select(key, ra, dec), key)
+    copy = rows.select(F.col(key).alias("match"), F.col(ra).alias("__ra"), F.col(dec).alias("__dec"))
+    found = nearest(rows, copy, radius_arcsec, (ra, dec, "__ra", "__dec"), key, "match", how="left").select(key, "match", "separation_arcsec")
+    return validation.require(found, {"rows not met": F.col("match").isNull(), "rows met elsewhere": F.col("separation_arcsec") > 0, "rows met by a larger key": F.col("match") > F.col(key)})
+
+
 def untruncated(matches: DataFrame, k: int) -> DataFrame:
     """The ranked matches; raises, when they are read, where a list reaches k, for it may have been cut short."""
     full = F.when(F.col("candidate_rank") >= k, F.raise_error(F.lit(f"a list of matches reaches {k}"))).otherwise(F.col("candidate_rank"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
-from asterfold.operators import bins, caches, chain, stats
-from asterfold.plans.queries import FRACTION, place, query, table
+from asterfold.operators import bins, caches, chain, sphere, stats, validation
+from asterfold.plans.queries import FRACTION, place, query, skies, table
 from asterfold.plans.readouts import boot_sql
 from asterfold.sources import catalog
 from asterfold.sources.scratch import scratch_path
@@ -132,3 +132,33 @@ def common_set_chain(spark: SparkSession, d: str) -> DataFrame:
     changed = chain.run_chain(spark, root, {"source": source, "manifest": manifest.withColumn("size", F.col("size") + 1)}, stages)
     rows = [(s.name, n, first[s.name], again[s.name], changed[s.name]) for s in stages]
     return spark.createDataFrame(rows, "stage string, rows long, first string, again string, other_manifest string")
+
+
+@query("select c_nationkey, upper(min(c_mktsegment)) as response, 0::bigint as batch from customer group by c_nationkey")
+def streamed_generation(spark: SparkSession, d: str) -> DataFrame:
+    """A table as a stream: each key is made once, from the least of its texts; the state store holds the keys."""
+    rows = spark.readStream.schema("c_nationkey int, c_mktsegment string").parquet(f"{d}/customer.parquet*")
+    path = scratch_path(spark, "stream")
+    generate.stream_results(rows, "c_nationkey", "c_mktsegment", str.upper, f"{path}/good", f"{path}/bad", f"{path}/checkpoint", errors_allowed=0).awaitTermination()
+    return spark.read.parquet(f"{path}/good/part=0").select("c_nationkey", "response", "batch")
+
+
+@query("select event_type as provider, event_id, round(sum(value) over (partition by event_type order by event_id rows unbounded preceding), 4) + 0.0 as running, round(sum(value) over (partition by event_type order by event_id rows unbounded preceding), 6) > 5000 as over_cap from events")
+def provider_running_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What each provider has cost up to each call, and from where on it is over a cap."""
+    usage = table(spark, d, "events").select(F.col("event_type").alias("provider"), "event_id", "value")
+    total = generate.running_cost(usage, "event_id", "value", 5000.0)
+    return total.select("provider", "event_id", (F.round("running", 4) + 0.0).alias("running"), "over_cap")
+
+
+@query("select s_suppkey, s_nationkey, s_acctbal::double as s_acctbal from supplier")
+def one_to_one_values(spark: SparkSession, d: str) -> DataFrame:
+    """A left join that is checked to be one to one: keys once on both sides, no row without its value."""
+    s = table(spark, d, "supplier")
+    return validation.one_to_one_left(s.select("s_suppkey", "s_nationkey"), s.select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal")), "s_suppkey", "s_acctbal")
+
+
+@query("select s_suppkey, s_suppkey as match, 0.0::double as separation_arcsec from supplier")
+def sphere_self_match(spark: SparkSession, d: str) -> DataFrame:
+    _, s, on = skies(spark, d)
+    return sphere.self_match(s, on[2], on[3], "s_suppkey")

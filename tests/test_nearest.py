@@ -98,3 +98,14 @@ def test_top_lists_need_no_window(spark):
     df = spark.range(100).selectExpr("id % 3 as g", "id", "rand(1) as score", "0.5D as grade", "true as hit")
     plan = toplists.group_metrics(df, ["g"], "id", "grade", "hit", 10)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_self_match_meets_each_row(spark):
+    rows = [*places(7, 40, "sphere"), (900, 10.0, 20.0), (901, 10.0, 20.0)]
+    df = spark.createDataFrame(rows, "i long, ra double, dec double")
+    got = {r.i: (r.match, r.separation_arcsec) for r in sphere.self_match(df, "ra", "dec", "i").collect()}
+    assert got == {i: (900 if i == 901 else i, 0.0) for i, *_ in rows}
+    with pytest.raises(ValueError, match="not met"):
+        sphere.self_match(df.union(spark.createDataFrame([(5000, None, 1.0)], df.schema)), "ra", "dec", "i")
+    with pytest.raises(ValueError, match="duplicate"):
+        sphere.self_match(df.union(df.limit(1)), "ra", "dec", "i")
