@@ -66,6 +66,24 @@ def report(df: DataFrame, predicted: str, true: str) -> DataFrame:
     return c.select("label", r6(precision).alias("precision"), r6(recall).alias("recall"), r6(f1).alias("f1"), "support")
 
 
+def class_seed_metrics(df: DataFrame, by: list[str], seed: str, predicted: str, true: str) -> DataFrame:
+    """Mean and population std over the seeds of accuracy and macro-F1, and per_class: precision, recall, F1 and support by label of the first seed.
+
+    Per_class is a sorted array of structs, of all labels said or true in that seed; no seed's rows meet in one task.
+    """
+    per = classification_summary(df, [*by, seed], predicted, true)
+    out = [f for m in ("accuracy", "macro_f1") for f in (r6(F.avg(m)).alias(f"{m}_mean"), r6(F.stddev_pop(m)).alias(f"{m}_std"))]
+    whole = per.groupBy(*by).agg(F.count("*").alias("seeds"), F.min(seed).alias("__first"), *out)
+    p, t = F.col(predicted), F.col(true)
+    sides = F.explode(F.array(F.struct(p.alias("label"), F.lit(1).alias("said"), F.lit(0).alias("is")), F.struct(t.alias("label"), F.lit(0).alias("said"), F.lit(1).alias("is"))))
+    labels = df.select(*by, F.col(seed).alias("__first"), (p == t).cast("int").alias("hit"), sides.alias("s")).groupBy(*by, "__first", "s.label").agg(
+        F.sum(F.col("hit") * F.col("s.is")).alias("tp"), F.sum("s.said").alias("said"), F.sum("s.is").alias("support"))
+    share = lambda a, b: r6(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+    row = F.struct("label", share(F.col("tp"), F.col("said")).alias("precision"), share(F.col("tp"), F.col("support")).alias("recall"), share(2.0 * F.col("tp"), F.col("said") + F.col("support")).alias("f1"), "support")
+    first = labels.join(whole.select(*by, "__first"), [*by, "__first"], "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("per_class"))
+    return whole.drop("__first").join(first, by)
+
+
 def classification_summary(df: DataFrame, by: list[str], predicted: str, true: str) -> DataFrame:
     """n, accuracy and macro-F1, the mean F1 of all labels that are said or true, 0 where undefined."""
     p, t = F.col(predicted), F.col(true)

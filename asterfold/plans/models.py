@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing, scores
-from asterfold.operators import encoder, joint, logistic
+from asterfold.operators import encoder, joint, logistic, stats
 from asterfold.plans.queries import FRACTION, query, table
 from asterfold.sources.scratch import scratch_path
 
@@ -90,3 +90,16 @@ def spectrum_encoder(spark: SparkSession, d: str) -> DataFrame:
     encoder.SpectrumPca(components=4, pixels=48, window=5).fit(rows.where("split = 'train'")).write().save(path)
     model = encoder.SpectrumPcaModel.load(path)
     return model.transform(rows).select("vec_id", "split", F.transform("embedding", lambda x: F.round(x.cast("double"), 5) + 0.0).alias("embedding"))
+
+
+@query(f"""with s as (select quality as t, case when toxic = 1 then 0 else 1 end as p, cast(floor({FRACTION.format("doc_id || '|fold-2'")} * 3) as integer) as seed from labels), c as (select unnest([0, 1]) as label),
+  per as (select seed, label, count(*) filter (p = label and t = label) as tp, count(*) filter (p = label) as said, count(*) filter (t = label) as support from s cross join c group by all),
+  each as (select seed, (select round(avg(case when p = t then 1.0::double else 0.0 end), 6) + 0.0 from s where s.seed = per.seed) as accuracy, round(avg(coalesce(2.0 * tp / nullif(said + support, 0), 0)), 6) + 0.0 as macro_f1 from per where said + support > 0 group by seed),
+  whole as (select count(*) as seeds, round(avg(accuracy), 6) + 0.0 as accuracy_mean, round(stddev_pop(accuracy), 6) + 0.0 as accuracy_std, round(avg(macro_f1), 6) + 0.0 as macro_f1_mean, round(stddev_pop(macro_f1), 6) + 0.0 as macro_f1_std from each)
+  select whole.*, label::integer as label, round(coalesce(tp / nullif(said, 0), 0), 6) + 0.0 as precision, round(coalesce(tp / nullif(support, 0), 0), 6) + 0.0 as recall, round(coalesce(2.0 * tp / nullif(said + support, 0), 0), 6) + 0.0 as f1, support::bigint as support
+  from whole cross join per where seed = (select min(seed) from s) and said + support > 0""")
+def class_metrics_over_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy and macro-F1 over seeds, beside the classes of the first seed."""
+    rows = table(spark, d, "labels").select(F.lit("all").alias("g"), hashing.fold(F.col("doc_id"), 3, 2).alias("seed"), F.col("quality").alias("t"), F.when(F.col("toxic") == 1, 0).otherwise(1).alias("p"))
+    found = stats.class_seed_metrics(rows, ["g"], "seed", "p", "t")
+    return found.select("seeds", "accuracy_mean", "accuracy_std", "macro_f1_mean", "macro_f1_std", F.explode("per_class").alias("c")).select("seeds", "accuracy_mean", "accuracy_std", "macro_f1_mean", "macro_f1_std", "c.*")

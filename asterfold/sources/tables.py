@@ -40,6 +40,15 @@ def query_rows(spark: SparkSession, queries: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "object_id string, category string, variant string, text string")
 
 
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """query_rows() of a file of JSON lines {"category", "texts"}; a category twice, or one without texts, raises."""
+    rows = validation.require_unique(spark.read.schema("category string, texts array<string>").json(path), "category")
+    rows = validation.require(rows, {"category without texts": F.col("category").isNull() | (F.coalesce(F.size("texts"), F.lit(0)) < 1)})
+    each = rows.select("category", F.posexplode("texts").alias("i", "text"))
+    variant = F.when(F.col("i") == 0, "canonical").otherwise(F.concat(F.lit("paraphrase_"), "i"))
+    return each.select(F.concat_ws(":", "category", "i").alias("object_id"), "category", variant.alias("variant"), "text")
+
+
 def select_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Exactly the rows of the ids: duplicates and missing ids raise."""
     found = validation.require_unique(df.join(ids.select(key), key, "left_semi"), key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
 from asterfold.operators import bins, caches, stats
-from asterfold.sources import catalog
+from asterfold.sources import catalog, tables
 
 
 def damage(folder):
@@ -206,3 +206,15 @@ def test_constant_orders_are_spread(spark):
     assert len(sizes) > 1 and max(sizes) < 2000
     ranks = order.ranked_along(df, ["g"], [F.col("x"), F.col("id")], "r").collect()
     assert all(r.r == r.id + 1 for r in ranks) and len(ranks) == 4000
+
+
+def test_query_files(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"category": "lens", "texts": ["a", "b", "c"]}\n{"category": "bar", "texts": ["d"]}\n')
+    rows = sorted(tuple(r) for r in tables.read_queries(spark, f"{tmp_path}/q.jsonl").collect())
+    assert rows == [("bar:0", "bar", "canonical", "d"), ("lens:0", "lens", "canonical", "a"), ("lens:1", "lens", "paraphrase_1", "b"), ("lens:2", "lens", "paraphrase_2", "c")]
+    (tmp_path / "e.jsonl").write_text('{"category": "lens", "texts": []}\n')
+    with pytest.raises(ValueError, match="without texts"):
+        tables.read_queries(spark, f"{tmp_path}/e.jsonl")
+    (tmp_path / "t.jsonl").write_text('{"category": "x", "texts": ["a"]}\n' * 2)
+    with pytest.raises(ValueError, match="duplicate"):
+        tables.read_queries(spark, f"{tmp_path}/t.jsonl")
