@@ -97,6 +97,14 @@ def fit_heads(train: DataFrame, vector: str, targets: list[str], parts: dict[str
 
     train: one row an object and seed, with its fold 0..folds-1. Features are standardized by each head's training rows.
     """
+    return fit_grids(train, vector, targets, parts, seed, fold, folds, {"": alphas})[""]
+
+
+def fit_grids(train: DataFrame, vector: str, targets: list[str], parts: dict[str, list[int]], seed: str, fold: str, folds: int, grids: dict[str, list[float]]) -> dict[str, dict[tuple[int, str, str], Head]]:
+    """fit_heads() for several named grids of alphas, in the same two passes: every alpha is scored once, each grid picks among its own."""
+    if not grids or not all(grids.values()):
+        raise ValueError("a grid of alphas is empty")
+    alphas = sorted({float(a) for g in grids.values() for a in g})
     rows = train.withColumn("__g", F.col(seed).cast("long") * folds + F.col(fold))
     whole = grams(rows, vector, targets, "__g")
     if not whole:
@@ -111,14 +119,16 @@ def fit_heads(train: DataFrame, vector: str, targets: list[str], parts: dict[str
         heads = [_head(sum(others), parts[part], t, width, a) for part, t, a in trials]
         held[g] = np.stack([np.append(h.constant, h.weights) for h in heads], axis=1)
     errors = _errors(rows, vector, targets, "__g", held, [t for _, t, _ in trials])
-    out = {}
+    out: dict[str, dict[tuple[int, str, str], Head]] = {name: {} for name in grids}
     for s in sorted({g // folds for g in whole}):
         mean = np.mean([e for g, e in errors.items() if g // folds == s], axis=0)
         total = sum(m for g, m in whole.items() if g // folds == s)
         for part in parts:
             for t, name in enumerate(targets):
-                alpha = min(((round(mean[k], 12), a) for k, (p, u, a) in enumerate(trials) if (p, u) == (part, t)))[1]
-                out[s, part, name] = _head(total, parts[part], t, width, alpha)
+                scored = [(round(mean[k], 12), a) for k, (p, u, a) in enumerate(trials) if (p, u) == (part, t)]
+                for label, grid in grids.items():
+                    alpha = min(x for x in scored if x[1] in set(map(float, grid)))[1]
+                    out[label][s, part, name] = _head(total, parts[part], t, width, alpha)
     return out
 
 

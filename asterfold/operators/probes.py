@@ -149,21 +149,27 @@ def probe_suite(train: DataFrame, test: DataFrame, key: str, vector: str, value:
 def modality_comparison(df: DataFrame, key: str, vector: str, target: str, parts: dict[str, list[int]], seeds: list[int], train_ratio: float, folds: int, alphas: list[float]) -> DataFrame:
     """Prediction rows of ridge probes on parts of a fused vector, one condition each, over the same splits.
 
-    parts: a condition's dimensions. Rows are repeated for each seed; heads.fit_heads takes two passes for all
+    parts: a condition's dimensions. Rows are repeated for each seed; heads.fit_grids takes two passes for all
     conditions, and one more predicts the test rows.
     """
+    return modality_grids(df, key, vector, target, parts, seeds, train_ratio, folds, {"": alphas}).drop("grid")
+
+
+def modality_grids(df: DataFrame, key: str, vector: str, target: str, parts: dict[str, list[int]], seeds: list[int], train_ratio: float, folds: int, grids: dict[str, list[float]]) -> DataFrame:
+    """modality_comparison() under each named grid of alphas, told apart by `grid`, in the same three passes."""
     from asterfold.operators import heads
 
     each = df.select(key, vector, F.col(target).cast("double").alias("__y"), F.explode(F.array(*map(F.lit, seeds))).alias("split_seed"))
     each = each.withColumns({
         "__train": hashing.fraction(F.col(key), F.col("split_seed").cast("string")) < train_ratio,
         "__fold": F.floor(hashing.fraction(F.col(key), F.concat(F.lit("fold-"), F.col("split_seed").cast("string"))) * folds).cast("int")})
-    found = heads.fit_heads(each.where("__train"), vector, ["__y"], parts, "split_seed", "__fold", folds, alphas)
-    columns = {name: {s: (found[s, name, "__y"].constant, found[s, name, "__y"].weights) for s in seeds} for name in parts}
+    found = heads.fit_grids(each.where("__train"), vector, ["__y"], parts, "split_seed", "__fold", folds, grids)
+    tried = [(f"__{k}", grid, name) for k, (grid, name) in enumerate((g, n) for g in grids for n in parts)]
+    columns = {c: {s: (found[grid][s, name, "__y"].constant, found[grid][s, name, "__y"].weights) for s in seeds} for c, grid, name in tried}
     said = heads.predicted(each.where(~F.col("__train")), vector, "split_seed", [key, "__y"], columns)
-    alpha = lambda name: F.create_map(*[x for s in seeds for x in (F.lit(s), F.lit(float(found[s, name, "__y"].alpha)))])[F.col("split_seed")]
-    rows = said.select(key, "split_seed", "__y", F.explode(F.array(*[F.struct(F.lit(name).alias("encoder"), F.col(f"`{name}`").alias("p"), alpha(name).alias("alpha")) for name in parts])).alias("c"))
-    return rows.select(F.col(key).alias("object_id"), "c.encoder", "split_seed", F.col("__y").alias("y_true_numeric"), F.col("c.p").alias("y_pred_numeric"), F.col("c.alpha").alias("hyperparameter_value"))
+    alpha = lambda grid, name: F.create_map(*[x for s in seeds for x in (F.lit(s), F.lit(float(found[grid][s, name, "__y"].alpha)))])[F.col("split_seed")]
+    rows = said.select(key, "split_seed", "__y", F.explode(F.array(*[F.struct(F.lit(grid).alias("grid"), F.lit(name).alias("encoder"), F.col(c).alias("p"), alpha(grid, name).alias("alpha")) for c, grid, name in tried])).alias("c"))
+    return rows.select("c.grid", F.col(key).alias("object_id"), "c.encoder", "split_seed", F.col("__y").alias("y_true_numeric"), F.col("c.p").alias("y_pred_numeric"), F.col("c.alpha").alias("hyperparameter_value"))
 
 
 def alpha_edges(predictions: DataFrame, alphas: list[float]) -> DataFrame:

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from asterfold.plans import comparisons, models, readouts, storage  # noqa: F401
+from asterfold.plans import comparisons, models, prechecks, readouts, storage  # noqa: F401
 from asterfold.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
