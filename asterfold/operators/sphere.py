@@ -7,6 +7,7 @@ poles and right ascension 0 need no special case.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from asterfold.functions import sky
 from asterfold.operators import validation
 from asterfold.operators.nearest import nearest_anywhere
+from asterfold.sources.scratch import staged
 
 #: Smallest cell edge: more cells than 2^21 an axis don't fit a packed key.
 LEAST_EDGE = 2.0**-19
+#: Rows and copies that a task of a join holds, and how many times k right rows the first radius of a search should hold.
+TASK_ROWS, CROWD = 100_000, 3
 
 
 def with_cells(df: DataFrame, ra: str, dec: str, edge: float, reach: float | None) -> DataFrame:
@@ -34,21 +38,52 @@ def with_cells(df: DataFrame, ra: str, dec: str, edge: float, reach: float | Non
 def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner") -> DataFrame:
     """left joined with right rows within the radius; adds separation_arcsec. on: ra, dec of left, ra, dec of right.
 
-    Column names of the sides must differ. The right side is copied up to 8 times: give the smaller one.
+    Column names of the sides must differ. The right side is copied up to 8 times: give the smaller one. Pairs stream out of a hash
+    join of each task's cells: neither side is broadcast or sorted.
     """
     reach = max(sky.chord(radius_arcsec) * 1.0001, LEAST_EDGE / 2)
-    a = with_cells(left, on[0], on[1], 2 * reach, None)
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-(left.count() + 8 * right.count()) // TASK_ROWS))
+    a = with_cells(left, on[0], on[1], 2 * reach, None).repartition(tasks, "__cell")
     b = with_cells(right, on[2], on[3], 2 * reach, reach)
-    b = b.withColumnsRenamed({c: f"{c}r" for c in ("__x", "__y", "__z")})
+    b = b.withColumnsRenamed({c: f"{c}r" for c in ("__x", "__y", "__z", "__cell")}).repartition(tasks, "__cellr").hint("shuffle_hash")
     squared = sum(((F.col(c) - F.col(f"{c}r")) * (F.col(c) - F.col(f"{c}r")) for c in ("__y", "__z")), (F.col("__x") - F.col("__xr")) * (F.col("__x") - F.col("__xr")))
-    b = b.withColumnRenamed("__cell", "__cellr")
     joined = a.join(b, (F.col("__cell") == F.col("__cellr")) & (squared <= sky.chord(radius_arcsec) ** 2), how)
     return joined.withColumn("separation_arcsec", F.round(sky.arcsec(squared), 6)).drop("__x", "__y", "__z", "__xr", "__yr", "__zr", "__cell", "__cellr")
 
 
+def reaches(right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], k: int) -> list[float]:
+    """Radii, each four times the one before, that end at the given one: the first should hold a few times k right rows.
+
+    How many it holds comes from the crowd that a right row meets in its cell, over all of them.
+    """
+    edge = 2 * max(sky.chord(radius_arcsec) * 1.0001, LEAST_EDGE / 2)
+    cells = with_cells(right.select(on[2], on[3]), on[2], on[3], edge, None).groupBy("__cell").agg(F.count("*").cast("double").alias("n"))
+    crowd = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    first = radius_arcsec * min(1.0, 2 * math.sqrt(CROWD * k / (math.pi * max(crowd, 1.0))))
+    out = [float(radius_arcsec)]
+    while out[0] / 2 > first:
+        out.insert(0, max(first, out[0] / 4))
+    return out
+
+
 def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], left_id: str, right_id: str, k: int = 1, how: str = "inner") -> DataFrame:
-    """The k nearest right rows of each left row within the radius, ranked by (separation, right id)."""
-    near = pairs_within(left, right, radius_arcsec, on, how)
+    """The k nearest right rows of each left row within the radius, ranked by (separation, right id).
+
+    Where the radius holds many times k rows, a smaller one is searched first, and only left rows that meet fewer than k there go on
+    to a larger one; so pairs grow with the rows, not with their product.
+    """
+    *small, radius = reaches(right, radius_arcsec, on, k)
+    rest, found = left, None
+    for r in small:
+        near = pairs_within(rest, right, r, on)
+        # what lies beyond r is farther than these even when rounded
+        inside = near.where(F.col("separation_arcsec") <= r - 2e-6)
+        met = staged(inside.groupBy(left_id).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(left_id), "met")
+        part = near.join(met.hint("shuffle_hash"), left_id, "left_semi")
+        found = part if found is None else found.unionByName(part)
+        rest = rest.join(met.hint("shuffle_hash"), left_id, "left_anti")
+    near = pairs_within(rest, right, radius, on, how)
+    near = near if found is None else found.unionByName(near)
     rank = F.expr(f"cast(row_number() over (partition by {left_id} order by separation_arcsec, {right_id}) as int)")
     return near.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
 
