@@ -114,8 +114,10 @@ def coverage_with_separations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {PLACES} select c_custkey, s_suppkey, separation_arcsec, cast(row_number() over (partition by c_custkey order by separation_arcsec, s_suppkey) as integer) as candidate_rank from near")
 def sphere_untruncated(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier in reach of a customer: the limit on a list is one more than there are suppliers, so none is cut."""
     c, s, on = skies(spark, d)
-    return sphere.untruncated(sphere.nearest(c, s, RADIUS, on, "c_custkey", "s_suppkey", 200), 200).select("c_custkey", "s_suppkey", "separation_arcsec", "candidate_rank")
+    limit = s.count() + 1
+    return sphere.untruncated(sphere.nearest(c, s, RADIUS, on, "c_custkey", "s_suppkey", limit), limit).select("c_custkey", "s_suppkey", "separation_arcsec", "candidate_rank")
 
 
 @query("""with s as (select quality as t, case when toxic = 1 then 0 else 1 end as p from labels), c as (select unnest([0, 1]) as label), per as (select label, count(*) filter (p = label and t = label) as tp, count(*) filter (p = label) as said, count(*) filter (t = label) as support from s cross join c group by label)

@@ -41,3 +41,18 @@ def test_pairs_are_neither_broadcast_nor_sorted(spark):
     *_, a, b = sides(spark, 20, 30)
     plan = sphere.pairs_within(a, b, 7200.0, ON)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_a_self_match_meets_each_row_at_the_pole(spark):
+    df = spark.createDataFrame([(i, 7.0 * i, -90.0) for i in range(20)] + [(30, 10.0, 20.0), (31, 10.0, 20.0)], "i long, ra double, dec double")
+    assert {tuple(r) for r in sphere.self_match(df, "ra", "dec", "i", own_first=True).collect()} == {(i, i, 0.0) for i in [*range(20), 30, 31]}
+
+
+def test_untruncated_lists_have_no_limit_of_their_own(spark, tmp_path):
+    from asterfold.plans import readouts
+
+    place = "id * 1800"  # every one at the pole
+    spark.range(2).selectExpr(f"{place} as c_custkey", "'m' as c_mktsegment", "1 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(250).selectExpr(f"{place} as s_suppkey", "1 as s_nationkey", "1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = readouts.sphere_untruncated(spark, str(tmp_path)).collect()
+    assert {(r.c_custkey, r.candidate_rank) for r in got} == {(c, n) for c in (0, 1800) for n in range(1, 251)}
