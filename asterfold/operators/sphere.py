@@ -88,16 +88,24 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[s
     return near.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
 
 
-def self_match(source: DataFrame, ra: str, dec: str, key: str, radius_arcsec: float = 1.0) -> DataFrame:
+def self_match(source: DataFrame, ra: str, dec: str, key: str, radius_arcsec: float = 1.0, own_first: bool = False) -> DataFrame:
     """key, match, separation_arcsec of each row's nearest row in its own table: a check of a matcher before it is trusted.
 
     Each row must be met at distance 0, by itself or, where rows share a place, by the smallest key there; else raises, as do repeated
-    keys. Rows without a place raise.
+    keys. Rows without a place raise. own_first: of rows at distance 0 the row itself comes first, and it must be met by itself.
     """
     rows = validation.require_unique(source.select(key, ra, dec), key)
     copy = rows.select(F.col(key).alias("match"), F.col(ra).alias("__ra"), F.col(dec).alias("__dec"))
-    found = nearest(rows, copy, radius_arcsec, (ra, dec, "__ra", "__dec"), key, "match", how="left").select(key, "match", "separation_arcsec")
-    return validation.require(found, {"rows not met": F.col("match").isNull(), "rows met elsewhere": F.col("separation_arcsec") > 0, "rows met by a larger key": F.col("match") > F.col(key)})
+    on = (ra, dec, "__ra", "__dec")
+    rules = {"rows not met": F.col("match").isNull(), "rows met elsewhere": F.col("separation_arcsec") > 0, "rows met by a larger key": F.col("match") > F.col(key)}
+    if own_first:
+        near = pairs_within(rows, copy, radius_arcsec, on).groupBy(key).agg(F.min("separation_arcsec").alias("separation_arcsec"), F.min(F.when(F.col("match") == F.col(key), F.col("separation_arcsec"))).alias("__own"))
+        own = F.when(F.col("__own") == F.col("separation_arcsec"), F.col(key)).alias("match")
+        found = rows.select(key).join(near, key, "left").select(key, own, "separation_arcsec")
+        rules = {"rows not met": F.col("separation_arcsec").isNull(), "rows met elsewhere": F.col("match").isNull() | (F.col("separation_arcsec") > 0)}
+    else:
+        found = nearest(rows, copy, radius_arcsec, on, key, "match", how="left").select(key, "match", "separation_arcsec")
+    return validation.require(found, rules)
 
 
 def untruncated(matches: DataFrame, k: int) -> DataFrame:
