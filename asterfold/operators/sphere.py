@@ -48,7 +48,8 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tu
     b = b.withColumnsRenamed({c: f"{c}r" for c in ("__x", "__y", "__z", "__cell")}).repartition(tasks, "__cellr").hint("shuffle_hash")
     squared = sum(((F.col(c) - F.col(f"{c}r")) * (F.col(c) - F.col(f"{c}r")) for c in ("__y", "__z")), (F.col("__x") - F.col("__xr")) * (F.col("__x") - F.col("__xr")))
     joined = a.join(b, (F.col("__cell") == F.col("__cellr")) & (squared <= sky.chord(radius_arcsec) ** 2), how)
-    return joined.withColumn("separation_arcsec", F.round(sky.arcsec(squared), 6)).drop("__x", "__y", "__z", "__xr", "__yr", "__zr", "__cell", "__cellr")
+    # exploded, lest filters on it move into the join's condition, where each row of a cell would be measured and rounded
+    return joined.withColumn("separation_arcsec", F.explode(F.array(F.round(sky.arcsec(squared), 6)))).drop("__x", "__y", "__z", "__xr", "__yr", "__zr", "__cell", "__cellr")
 
 
 def reaches(right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], k: int) -> list[float]:
@@ -156,10 +157,18 @@ def match_summary(source: DataFrame, candidates: DataFrame, radii: list[float],
     valid one, and those that several share. One join at the largest radius serves all radii; candidates need
     separation_arcsec and is_valid.
     """
+    near = F.col("separation_arcsec")
+    within = lambda r: near <= float(r)
+    valid = F.coalesce(F.col("is_valid"), F.lit(False))
+    # fixed-width sums and minima alone: they need neither a sort of the candidates nor a copy of them for each radius
+    counts = [c for n, r in enumerate(radii) for c in (F.count_if(within(r)).alias(f"__any{n}"), F.count_if(within(r) & valid).alias(f"__valid{n}"))]
+    own = staged(candidates.groupBy(source_id).agg(*counts, F.min(F.when(valid & within(max(radii)), near)).alias("__near")), "sources")
+    least = own.where("__near is not null").select(F.col(source_id).alias("__source"), "__near")
+    # the nearest valid target of the largest radius is that of each radius that reaches it
+    first = candidates.where(valid & within(max(radii))).join(least.hint("shuffle_hash"), (F.col(source_id) == F.col("__source")) & (near == F.col("__near")), "left_semi").groupBy(source_id).agg(F.min(target_id).alias("__first"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"__any{n}").alias("n_any"), F.col(f"__valid{n}").alias("n_valid"), F.when(F.col("__near") <= float(r), F.col("__first")).alias("selected")) for n, r in enumerate(radii)])).alias("x")
+    per = staged(own.join(first, source_id, "left").select(source_id, each).select(source_id, "x.*").where("n_any > 0"), "radii")
     radius = F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius")
-    nearest_valid = F.min(F.when(F.col("is_valid"), F.struct("separation_arcsec", target_id)))[target_id]
-    per = candidates.select("*", radius).where("separation_arcsec <= radius").groupBy("radius", source_id).agg(
-        F.count("*").alias("n_any"), F.count_if("is_valid").alias("n_valid"), nearest_valid.alias("selected"))
     every = source.select(source_id, survey, selection, radius).join(per, ["radius", source_id], "left")
     sums = [F.count("*").alias("sources"), F.count_if(F.coalesce("n_any", F.lit(0)) > 0).alias("any_match"), F.count_if(F.coalesce("n_valid", F.lit(0)) > 0).alias("valid_match"), F.count_if(F.coalesce("n_valid", F.lit(0)) > 1).alias("ambiguous"), F.coalesce(F.sum("n_valid"), F.lit(0)).alias("valid_candidates")]
     grouped = every.groupingSets([["radius"], ["radius", survey], ["radius", selection]], "radius", survey, selection).agg(*sums, F.grouping_id().alias("__level"))
