@@ -116,6 +116,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> Data
     met = rows.join(wanted.drop("__asked"), [*group, "__cell"])
     share = F.coalesce(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
     same = met.groupBy(*group, "__cell", "__start", F.least(F.floor(share * SLICES), F.lit(SLICES - 1)).cast("int").alias("__slice"), "__v").agg(F.count("*").alias("__c"))
+    same = staged(same, "same")  # read twice: df is scanned for it once
     same = same.join(before(same, [*group, "__cell"], "__slice", F.sum("__c")), [*group, "__cell", "__slice"])
     own = F.sum("__c").over(Window.partitionBy(*group, "__cell", "__slice").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     placed = same.withColumn("__upto", F.col("__start") + F.col("__before") + own)
