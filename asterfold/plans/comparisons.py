@@ -9,6 +9,7 @@ from asterfold.functions import morphology, scores, text, vectors
 from asterfold.operators import audits, cells, order, population, retrieval, sphere, stats, validation
 from asterfold.operators.stats import r6
 from asterfold.plans.queries import BOOT, JOINT, PLACES, RADIUS, SQL, manifest_build, place, query, skies, table, votes
+from asterfold.sources.scratch import staged
 
 @query(f"with m as ({SQL['manifest_build']}) select count(*) filter (benchmark_exclusion and split in ('train', 'validation')) as leaked, count(*) filter (split not in ('train', 'validation', 'excluded')) as unknown_split, count(*) filter (image_embedding_version is null) as no_version from m")
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +163,7 @@ def condition_grid(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""with w as (select lang, case when regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') = '' then 0 else len(regexp_split_to_array(regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '[\x09-\x0D\x20]+')) end as n from documents)
   select lang, round(avg(n), 6) + 0.0 as mean, median(n)::double as median, max(n)::integer as max from w group by lang""")
 def word_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").select("lang", text.word_count(F.col("text")).alias("n"))
+    n = staged(table(spark, d, "documents").select("lang", text.word_count(F.col("text")).alias("n")), "words")  # texts are split once
     middle = order.quantiles(n, ["lang"], "n", [0.5]).select("lang", F.col("value").alias("median"))
     return n.groupBy("lang").agg(r6(F.avg("n")).alias("mean"), F.max("n").alias("max")).join(order.small(middle), "lang").select("lang", "mean", "median", "max")
 
