@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asterfold.operators import order
+from asterfold.sources.scratch import staged
+
 #: Cuts of the axis, and intervals that are broadcast at most (repeated for the buckets that they meet, 256 each at worst).
 CUTS, BROADCAST_BINS = 255, 5_000
 
@@ -62,3 +65,23 @@ def counted(rows: DataFrame, value: str, bins: DataFrame, low: str, high: str, b
     for c in by:  # an open end is null
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return bins.join(found, same, "left").drop(*[f"__{c}" for c in by]).fillna(0, list(sums))
+
+
+def sizes(rows: DataFrame, value: str, bins: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """bins with the number of rows in each [low, high), as column `name`; a null end is open.
+
+    The number of values below an end is a running total along values and ends together, so no value meets its intervals: the work
+    grows with the rows of both, however many intervals hold a value.
+    """
+    v = F.col(value).cast("double")
+    values = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy((v + 0.0).alias("at")).agg(F.count("*").alias("n"))
+    lo, hi = (F.col(c).cast("double") + 0.0 for c in (low, high))
+    ends = bins.select(F.explode(F.array(lo, hi)).alias("at")).where("at is not null").distinct()
+    points = ends.select("at", F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind")).unionByName(values.select("at", "n", F.lit(1).alias("kind")))
+    along = points.select(F.lit(0).alias("all"), F.struct("at", "kind").alias("place"), "n")  # an end comes before its equal value
+    below = staged(order.running_sum(along, ["all"], "place", "n", "below").where("place.kind = 0").select("place.at", "below"), "ends")
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__total"))
+    side = lambda n: below.select(F.col("at").alias(f"__{n}"), F.col("below").alias(n))
+    out = bins.withColumns({"__x": lo, "__y": hi}).join(side("__first"), F.col("__x") == F.col("____first"), "left").join(side("__last"), F.col("__y") == F.col("____last"), "left").crossJoin(F.broadcast(total))
+    n = F.when(F.col("__y").isNull(), F.col("__total")).otherwise(F.col("__last")) - F.when(F.col("__x").isNull(), 0).otherwise(F.col("__first"))
+    return out.withColumn(name, F.greatest(n, F.lit(0).cast("long"))).select(*bins.columns, name)
