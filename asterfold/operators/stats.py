@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import hashing
+from asterfold.functions.binding import bound
 from asterfold.operators import order
 
+#: Rows that a task groups by their key.
+TASK_ROWS = 100_000
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6) + 0.0
@@ -122,14 +126,32 @@ def bootstrap(objects: DataFrame, key: str, total: str, weight: str, samples: in
 
 def poisson_draws(objects: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
     """objects once for each resample, with c, its Poisson(1) count from the hash of (object, resample)."""
-    u = hashing.fraction(F.col(key), F.col("resample").cast("string"), f"bootstrap-{seed}")
+    digits = F.substring(F.sha2(hashing.joined(F.col(key), F.col("resample"), f"bootstrap-{seed}"), 256), 1, 16)
     mass = cumulative = 0.36787944117144233
-    count = F.when(u < cumulative, 0)
+    ends = [cumulative]
     for k in range(1, 8):
         mass /= k
         cumulative += mass
-        count = count.when(u < cumulative, k)
-    return objects.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("resample")).withColumn("c", count.otherwise(8))
+        ends.append(cumulative)
+    # the least digits whose fraction reaches an end: digits of one length compare as their numbers do, without a conversion a draw
+    least = [F.lit(f"{reaching(e):016x}") for e in ends]
+    rows = objects.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("resample"))
+    return rows.withColumn("c", bound(digits, lambda d: sum((F.when(d >= x, 1).otherwise(0) for x in least[1:]), F.when(d >= least[0], 1).otherwise(0))))
+
+
+def reaching(fraction: float) -> int:
+    """The least 64-bit number that, as a double over 2^64, is at least the fraction."""
+    low, high = 0, 2**64 - 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if float(middle) / 2.0**64 >= fraction else (middle + 1, high)
+    return low
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df in tasks by key, as many as its rows need: a file of few bytes may hold many rows, and one task would group them all."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, key)
 
 
 def shared_bootstrap(objects: DataFrame, key: str, contrasts: list[str], samples: int, seed: int, confidence: float = 0.95) -> DataFrame:
@@ -157,7 +179,7 @@ def paired_contrasts(df: DataFrame, key: str, seed: str, encoder: str, family: s
     error = F.abs(F.col(predicted) - F.col(true))
     side = lambda e, c: F.avg(F.when(F.col(encoder) == c, e))
     scaled = {"absolute": error, "one_plus_z": error / (1 + F.col(true))}
-    per = df.where(F.col(family).isin(families)).groupBy(key, seed, family).agg(*[(side(e, base) - side(e, other)).alias(f"__{s}") for s, e in scaled.items()])
+    per = dealt(df.where(F.col(family).isin(families)), key).groupBy(key, seed, family).agg(*[(side(e, base) - side(e, other)).alias(f"__{s}") for s, e in scaled.items()])
     names = {f"{f}_{s}": F.avg(F.when(F.col(family) == f, F.col(f"__{s}"))) for f in families for s in scaled}
     objects = per.groupBy(key).agg(*[c.alias(n) for n, c in names.items()])
     return shared_bootstrap(objects, key, list(names), samples, draw).withColumn("decision", decision(F.col("ci_low"), F.col("ci_high")))
@@ -193,11 +215,12 @@ def paired_errors(df: DataFrame, key: str, seed: str, condition: str, base: str,
     Errors are absolute or over 1 + true. An object's difference is its mean over the seeds that have both conditions.
     """
     error = F.abs(F.col(predicted) - F.col(true))
-    scales = F.explode(F.array(F.struct(F.lit("absolute").alias("scale"), error.alias("error")), F.struct(F.lit("one_plus_z").alias("scale"), (error / (1 + F.col(true))).alias("error"))))
-    side = lambda c: F.avg(F.when(F.col(condition) == c, F.col("__scaled.error")))
-    per = df.select(key, seed, condition, scales.alias("__scaled")).groupBy(key, seed, F.col("__scaled.scale").alias("scale")).agg((side(base) - side(other)).alias("less"))
-    objects = per.where("less is not null").groupBy(key, "scale").agg(F.avg("less").alias("total"), F.lit(1).alias("weight"))
-    return bootstrap(objects, key, "total", "weight", samples, draw, by=["scale"]).withColumn("decision", decision(F.col("ci_low"), F.col("ci_high")))
+    scaled = {"absolute": error, "one_plus_z": error / (1 + F.col(true))}
+    side = lambda c, e: F.avg(F.when(F.col(condition) == c, e))
+    per = df.groupBy(key, seed).agg(*[(side(base, e) - side(other, e)).alias(s) for s, e in scaled.items()])
+    objects = per.groupBy(key).agg(*[F.avg(s).alias(s) for s in scaled])
+    found = shared_bootstrap(objects, key, list(scaled), samples, draw).withColumnRenamed("contrast", "scale")
+    return found.where("objects > 0").withColumn("decision", decision(F.col("ci_low"), F.col("ci_high")))
 
 
 def passes_cap(df: DataFrame, by: list[str], along: str, value: str, cap: float) -> DataFrame:
