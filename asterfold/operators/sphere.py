@@ -35,14 +35,18 @@ def with_cells(df: DataFrame, ra: str, dec: str, edge: float, reach: float | Non
     return df.withColumn("__cell", F.explode(F.array_distinct(F.array(*[packed(cells) for cells in itertools.product(*sides)]))))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner") -> DataFrame:
+def tasks_of(left: DataFrame, right_rows: int) -> int:
+    return max(left.sparkSession.sparkContext.defaultParallelism, -(-(left.count() + 8 * right_rows) // TASK_ROWS))
+
+
+def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner", tasks: int | None = None) -> DataFrame:
     """left joined with right rows within the radius; adds separation_arcsec. on: ra, dec of left, ra, dec of right.
 
     Column names of the sides must differ. The right side is copied up to 8 times: give the smaller one. Pairs stream out of a hash
-    join of each task's cells: neither side is broadcast or sorted.
+    join of each task's cells: neither side is broadcast or sorted. tasks: as tasks_of() has it, if it is known.
     """
     reach = max(sky.chord(radius_arcsec) * 1.0001, LEAST_EDGE / 2)
-    tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-(left.count() + 8 * right.count()) // TASK_ROWS))
+    tasks = tasks or tasks_of(left, right.count())
     a = with_cells(left, on[0], on[1], 2 * reach, None).repartition(tasks, "__cell")
     b = with_cells(right, on[2], on[3], 2 * reach, reach)
     b = b.withColumnsRenamed({c: f"{c}r" for c in ("__x", "__y", "__z", "__cell")}).repartition(tasks, "__cellr").hint("shuffle_hash")
@@ -73,6 +77,16 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[s
     Where the radius holds many times k rows, a smaller one is searched first, and only left rows that meet fewer than k there go on
     to a larger one; so pairs grow with the rows, not with their product.
     """
+    if k == 1:
+        near = _first(left, right, radius_arcsec, on, left_id, right_id, how)
+    else:
+        near = _several(left, right, radius_arcsec, on, left_id, k, how)
+    rank = F.expr(f"cast(row_number() over (partition by {left_id} order by separation_arcsec nulls last, {right_id}) as int)")
+    return near.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
+
+
+def _several(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], left_id: str, k: int, how: str) -> DataFrame:
+    """Pairs that hold the k nearest of each left row."""
     *small, radius = reaches(right, radius_arcsec, on, k)
     rest, found = left, None
     for r in small:
@@ -84,9 +98,34 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[s
         found = part if found is None else found.unionByName(part)
         rest = rest.join(met.hint("shuffle_hash"), left_id, "left_anti")
     near = pairs_within(rest, right, radius, on, how)
-    near = near if found is None else found.unionByName(near)
-    rank = F.expr(f"cast(row_number() over (partition by {left_id} order by separation_arcsec, {right_id}) as int)")
-    return near.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
+    return near if found is None else found.unionByName(near)
+
+
+def _first(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], left_id: str, right_id: str, how: str) -> DataFrame:
+    """The pair of each left row with its nearest right row, ties to the smaller id.
+
+    Two minima of fixed width go over the pairs, the separation and then the id among those at it; so a task holds its rows,
+    but no pairs, however many right rows share a place. Pairs are neither exchanged nor sorted.
+    """
+    key, near = [left_id, on[0], on[1]], F.col("separation_arcsec")
+    same = [F.col(c).eqNullSafe(F.col(f"__own{n}")) for n, c in enumerate(key)]
+    smallest = F.when(F.count("*") == F.count(right_id), F.min(right_id))  # a null id comes first, as it does in an order
+    places, rest, found = right.select(right_id, on[2], on[3]), left, None
+    right_rows = right.count()
+    for r in (radii := reaches(right, radius_arcsec, on, 1)):
+        tasks = tasks_of(rest, right_rows)
+        # what lies beyond a radius but the last is farther than these even when rounded
+        inside = pairs_within(rest.select(*key), places, r, on, tasks=tasks).where(near <= (r - 2e-6 if r < radii[-1] else float("inf")))
+        least = staged(inside.groupBy(*key).agg(F.min(near).alias("__least")), "least")
+        ties = pairs_within(least, places, r, on, tasks=tasks).where(near == F.col("__least"))
+        first = ties.groupBy(*key, "__least").agg(smallest.alias("__first")).withColumnsRenamed({c: f"__own{n}" for n, c in enumerate(key)})
+        first = staged(first, "first").hint("shuffle_hash")
+        met = pairs_within(rest.join(first, same), right, r, on, tasks=tasks).where((near == F.col("__least")) & F.col(right_id).eqNullSafe(F.col("__first")))
+        met = met.drop("__least", "__first", *[f"__own{n}" for n in range(3)])
+        found = met if found is None else found.unionByName(met)
+        rest = rest.join(first, same, "left_anti")
+        rest = staged(rest, "rest") if r < radii[-1] else rest
+    return found.unionByName(rest, allowMissingColumns=True) if how == "left" else found
 
 
 def self_match(source: DataFrame, ra: str, dec: str, key: str, radius_arcsec: float = 1.0, own_first: bool = False) -> DataFrame:

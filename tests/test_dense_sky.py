@@ -56,3 +56,38 @@ def test_untruncated_lists_have_no_limit_of_their_own(spark, tmp_path):
     spark.range(250).selectExpr(f"{place} as s_suppkey", "1 as s_nationkey", "1.0D as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
     got = readouts.sphere_untruncated(spark, str(tmp_path)).collect()
     assert {(r.c_custkey, r.candidate_rank) for r in got} == {(c, n) for c in (0, 1800) for n in range(1, 251)}
+
+
+def rows_out(plan):
+    """Rows that a run plan, or what lies below it, put out."""
+    metric = "shuffleRecordsWritten" if plan.nodeName() == "Exchange" else "numOutputRows"
+    if plan.metrics().contains(metric):
+        return plan.metrics().apply(metric).value()
+    return sum(rows_out(plan.children().apply(n)) for n in range(plan.children().size()))
+
+
+def rows_sorted(plan):
+    own = rows_out(plan) if plan.nodeName() == "Sort" else 0
+    return own + sum(rows_sorted(plan.children().apply(n)) for n in range(plan.children().size()))
+
+
+def test_the_nearest_of_many_copies_sorts_no_pairs(spark):
+    a = spark.range(400).selectExpr("id as i", "10.0 + id / 1000 as ra", "20.0D as dec", "concat('n', id) as note")
+    b = spark.range(3000).selectExpr("3000 - id as j", "10.0 + (id % 3) / 5 as r2", "20.0D as d2", "id % 7 as mark")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sphere.nearest(a, b, 7200.0, ON, "i", "j")
+        rows = {r.i: (r.j, r.note, r.mark) for r in got.collect()}
+        assert rows_sorted(got._jdf.queryExecution().executedPlan()) <= 2 * 400  # pairs: 400 with 1000 copies each
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {i: min((arcsec((10 + i / 1000, 20.0), (10 + c / 5, 20.0)), {0: 3, 1: 2, 2: 1}[c]) for c in range(3))[1] for i in range(400)}
+    assert rows == {i: (j, f"n{i}", (3000 - j) % 7) for i, j in want.items()}
+
+
+def test_missing_ids_and_places_keep_their_rows(spark):
+    a = spark.createDataFrame([(1, 10.0, 20.0), (None, 10.0, 20.0), (3, None, 20.0), (4, 50.0, 20.0)], "i long, ra double, dec double")
+    b = spark.createDataFrame([("b", 10.0, 20.0), ("a", 10.0, 20.0), ("c", None, None), (None, 50.0, 20.0), ("d", 50.0, 20.0)], "j string, r2 double, d2 double")
+    got = sphere.nearest(a, b, 60.0, ON, "i", "j", 1, "left").collect()
+    assert {(r.i, r.j, r.separation_arcsec) for r in got} == {(1, "a", 0.0), (None, "a", 0.0), (3, None, None), (4, None, 0.0)}
+    assert {(r.i, r.j) for r in sphere.nearest(a, b, 60.0, ON, "i", "j").collect()} == {(1, "a"), (None, "a"), (4, None)}
