@@ -3,7 +3,9 @@
 import math
 import random
 
-from asterfold.operators import sphere
+from pyspark.sql import functions as F
+
+from asterfold.operators import prechecks, sphere
 
 ON = ("ra", "dec", "r2", "d2")
 
@@ -91,3 +93,25 @@ def test_missing_ids_and_places_keep_their_rows(spark):
     got = sphere.nearest(a, b, 60.0, ON, "i", "j", 1, "left").collect()
     assert {(r.i, r.j, r.separation_arcsec) for r in got} == {(1, "a", 0.0), (None, "a", 0.0), (3, None, None), (4, None, 0.0)}
     assert {(r.i, r.j) for r in sphere.nearest(a, b, 60.0, ON, "i", "j").collect()} == {(1, "a"), (None, "a"), (4, None)}
+
+
+def test_a_crosstab_over_many_copies_sorts_no_pairs(spark, monkeypatch):
+    sorted_rows = []
+
+    def run(df, name):
+        rows = df.collect()
+        sorted_rows.append(rows_sorted(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(rows, df.schema)
+
+    a = spark.range(300).selectExpr("id as i", "10.0 + id / 1000 as ra", "20.0D as dec", "id / 300 as z")
+    b = spark.range(2000).selectExpr("2000 - id as j", "10.0 + (id % 2) / 5 as r2", "20.0D as d2")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(prechecks, "staged", run)
+    try:
+        got = prechecks.coverage_audit(a, b, 7200.0, ON, "i", "j", "z", {"odd": F.col("j") % 2 == 1}, [0.0, 0.25, 0.5], shared=True)
+        cells = {r.low: (r.total_objects, r.matched_objects, r.positive_objects) for r in got.crosstab.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    odd = [arcsec((10 + i / 1000, 20.0), (10.2, 20.0)) <= arcsec((10 + i / 1000, 20.0), (10.0, 20.0)) for i in range(300)]  # there is id 1, at the other place 2
+    assert cells == {0.0: (75, 75, sum(odd[:75])), 0.25: (75, 75, sum(odd[75:150]))} and 0 < sum(odd[75:150])
+    assert sorted_rows and max(sorted_rows) <= 2 * 300  # pairs: 300 with 1000 copies each
