@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.functions import sky
@@ -39,12 +39,22 @@ def tasks_of(left: DataFrame, right_rows: int) -> int:
     return max(left.sparkSession.sparkContext.defaultParallelism, -(-(left.count() + 8 * right_rows) // TASK_ROWS))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner", tasks: int | None = None) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner") -> DataFrame:
     """left joined with right rows within the radius; adds separation_arcsec. on: ra, dec of left, ra, dec of right.
 
     Column names of the sides must differ. The right side is copied up to 8 times: give the smaller one. Pairs stream out of a hash
-    join of each task's cells: neither side is broadcast or sorted. tasks: as tasks_of() has it, if it is known.
+    join of each task's cells: neither side is broadcast or sorted.
     """
+    # exploded, lest filters on it move into the join's condition, where each row of a cell would be measured and rounded
+    return _met(left, right, radius_arcsec, on, how).withColumn("separation_arcsec", F.explode(F.array(separation(F.col("__squared"))))).drop("__squared")
+
+
+def separation(squared: Column) -> Column:
+    return F.round(sky.arcsec(squared), 6)
+
+
+def _met(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], how: str = "inner", tasks: int | None = None) -> DataFrame:
+    """pairs_within() with the squared chord as __squared. tasks: as tasks_of() has it, if it is known."""
     reach = max(sky.chord(radius_arcsec) * 1.0001, LEAST_EDGE / 2)
     tasks = tasks or tasks_of(left, right.count())
     a = with_cells(left, on[0], on[1], 2 * reach, None).repartition(tasks, "__cell")
@@ -52,8 +62,7 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tu
     b = b.withColumnsRenamed({c: f"{c}r" for c in ("__x", "__y", "__z", "__cell")}).repartition(tasks, "__cellr").hint("shuffle_hash")
     squared = sum(((F.col(c) - F.col(f"{c}r")) * (F.col(c) - F.col(f"{c}r")) for c in ("__y", "__z")), (F.col("__x") - F.col("__xr")) * (F.col("__x") - F.col("__xr")))
     joined = a.join(b, (F.col("__cell") == F.col("__cellr")) & (squared <= sky.chord(radius_arcsec) ** 2), how)
-    # exploded, lest filters on it move into the join's condition, where each row of a cell would be measured and rounded
-    return joined.withColumn("separation_arcsec", F.explode(F.array(F.round(sky.arcsec(squared), 6)))).drop("__x", "__y", "__z", "__xr", "__yr", "__zr", "__cell", "__cellr")
+    return joined.withColumn("__squared", squared).drop("__x", "__y", "__z", "__xr", "__yr", "__zr", "__cell", "__cellr")
 
 
 def reaches(right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], k: int) -> list[float]:
@@ -104,28 +113,39 @@ def _several(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[
 def _first(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], left_id: str, right_id: str, how: str) -> DataFrame:
     """The pair of each left row with its nearest right row, ties to the smaller id.
 
-    Two minima of fixed width go over the pairs, the separation and then the id among those at it; so a task holds its rows,
-    but no pairs, however many right rows share a place. Pairs are neither exchanged nor sorted.
+    Different places are searched, not rows: each of left's once, for each of right's once with its smallest id; so copies of a place
+    make no pairs. Two minima of fixed width go over the pairs, the squared chord and then the id among those at its separation; so a
+    task holds its places, but no pairs, however many lie within the radius. Pairs are neither exchanged nor sorted, and only
+    those that may be at the least separation are rounded: it grows with the chord, so the least of either is the same pair's.
     """
-    key, near = [left_id, on[0], on[1]], F.col("separation_arcsec")
-    same = [F.col(c).eqNullSafe(F.col(f"__own{n}")) for n, c in enumerate(key)]
+    place = [on[0], on[1]]
     smallest = F.when(F.count("*") == F.count(right_id), F.min(right_id))  # a null id comes first, as it does in an order
-    places, rest, found = right.select(right_id, on[2], on[3]), left, None
-    right_rows = right.count()
-    for r in (radii := reaches(right, radius_arcsec, on, 1)):
-        tasks = tasks_of(rest, right_rows)
+    there = right.where(F.col(on[2]).isNotNull() & F.col(on[3]).isNotNull())
+    spots = staged(there.groupBy(on[2], on[3]).agg(smallest.alias(right_id)), "spots")
+    own = spots.select(F.col(on[2]).alias("__own0"), F.col(on[3]).alias("__own1"), F.col(right_id).alias("__own2")).hint("shuffle_hash")
+    rows = there.join(own, (F.col(on[2]) == F.col("__own0")) & (F.col(on[3]) == F.col("__own1")) & F.col(right_id).eqNullSafe(F.col("__own2")), "left_semi")
+    rest, found, n_spots = staged(left.select(*place).dropna().distinct(), "places"), None, spots.count()
+    for r in (radii := reaches(spots, radius_arcsec, on, 1)):
+        tasks = tasks_of(rest, n_spots)
+        chord = _met(rest, spots, r, on, tasks=tasks).groupBy(*place).agg(F.min("__squared").alias("__chord"))
         # what lies beyond a radius but the last is farther than these even when rounded
-        inside = pairs_within(rest.select(*key), places, r, on, tasks=tasks).where(near <= (r - 2e-6 if r < radii[-1] else float("inf")))
-        least = staged(inside.groupBy(*key).agg(F.min(near).alias("__least")), "least")
-        ties = pairs_within(least, places, r, on, tasks=tasks).where(near == F.col("__least"))
-        first = ties.groupBy(*key, "__least").agg(smallest.alias("__first")).withColumnsRenamed({c: f"__own{n}" for n, c in enumerate(key)})
-        first = staged(first, "first").hint("shuffle_hash")
-        met = pairs_within(rest.join(first, same), right, r, on, tasks=tasks).where((near == F.col("__least")) & F.col(right_id).eqNullSafe(F.col("__first")))
-        met = met.drop("__least", "__first", *[f"__own{n}" for n in range(3)])
+        inside = F.col("__least") <= (r - 2e-6 if r < radii[-1] else float("inf"))
+        least = staged(chord.select(*place, separation(F.col("__chord")).alias("__least")).where(inside), "least")
+        ties = _at_least(least, spots, r, on, tasks)
+        first = staged(ties.groupBy(*place, "__least").agg(smallest.alias("__first")), "first")
+        met = _at_least(first, rows, r, on, tasks).where(F.col(right_id).eqNullSafe(F.col("__first"))).withColumnRenamed("__least", "separation_arcsec").drop("__first")
+        met = met.select(*place, *right.columns, "separation_arcsec")
         found = met if found is None else found.unionByName(met)
-        rest = rest.join(first, same, "left_anti")
-        rest = staged(rest, "rest") if r < radii[-1] else rest
-    return found.unionByName(rest, allowMissingColumns=True) if how == "left" else found
+        rest = staged(rest.join(first.select(*place).hint("shuffle_hash"), place, "left_anti"), "rest") if r < radii[-1] else rest
+    found = found.withColumnsRenamed({on[0]: "__own0", on[1]: "__own1"}).hint("shuffle_hash")
+    return left.join(found, (F.col(on[0]) == F.col("__own0")) & (F.col(on[1]) == F.col("__own1")), how).drop("__own0", "__own1")
+
+
+def _at_least(left: DataFrame, right: DataFrame, radius_arcsec: float, on: tuple[str, str, str, str], tasks: int) -> DataFrame:
+    """Pairs whose rounded separation is the left row's __least."""
+    within = 2 * F.sin(F.radians((F.col("__least") + 1e-6) / 3600) / 2)
+    near = _met(left.withColumn("__most", within * within * (1 + 1e-9)), right, radius_arcsec, on, tasks=tasks).where("__squared <= __most")
+    return near.withColumn("__at", F.explode(F.array(separation(F.col("__squared"))))).where("__at = __least").drop("__squared", "__most", "__at")
 
 
 def self_match(source: DataFrame, ra: str, dec: str, key: str, radius_arcsec: float = 1.0, own_first: bool = False) -> DataFrame:

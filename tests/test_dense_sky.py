@@ -115,3 +115,41 @@ def test_a_crosstab_over_many_copies_sorts_no_pairs(spark, monkeypatch):
     odd = [arcsec((10 + i / 1000, 20.0), (10.2, 20.0)) <= arcsec((10 + i / 1000, 20.0), (10.0, 20.0)) for i in range(300)]  # there is id 1, at the other place 2
     assert cells == {0.0: (75, 75, sum(odd[:75])), 0.25: (75, 75, sum(odd[75:150]))} and 0 < sum(odd[75:150])
     assert sorted_rows and max(sorted_rows) <= 2 * 300  # pairs: 300 with 1000 copies each
+
+
+def pairs_made(plan):
+    """Most rows that a join of a run plan put out."""
+    own = rows_out(plan) if "Join" in plan.nodeName() else 0
+    return max([own, *(pairs_made(plan.children().apply(n)) for n in range(plan.children().size()))])
+
+
+def test_copies_of_a_place_make_no_pairs(spark, monkeypatch):
+    made = []
+
+    def run(df, name):
+        rows = df.collect()
+        made.append(pairs_made(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(rows, df.schema)
+
+    a = spark.range(600).selectExpr("id as i", "10.0 + (id % 3) / 1000 as ra", "20.0D as dec", "(id % 100) / 100 as z")
+    b = spark.range(1000).selectExpr("1000 - id as j", "10.0 + (id % 2) / 5 as r2", "20.0D as d2", "id % 7 as mark")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(sphere, "staged", run)
+    try:
+        near = sphere.nearest(a, b, 7200.0, ON, "i", "j")
+        rows = {r.i: (r.j, r.mark) for r in near.collect()}
+        made.append(pairs_made(near._jdf.queryExecution().executedPlan()))
+        cells = prechecks.coverage_audit(a, b, 7200.0, ON, "i", "j", "z", {"odd": F.col("j") % 2 == 1}, [0.0, 0.25, 0.5], shared=True).crosstab.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert rows == {i: (2, 998 % 7) for i in range(600)}  # the smallest id of the nearer place
+    assert {(r.low, r.total_objects, r.matched_objects, r.positive_objects) for r in cells} == {(0.0, 150, 150, 0), (0.25, 150, 150, 0)}
+    assert 600 <= max(made) <= 1000  # rows; pairs of rows: 300,000 at either place
+
+
+def test_separations_alike_when_rounded_are_ties(spark):
+    arc = 1 / 3600
+    a = spark.createDataFrame([(1, 10.0, 0.0), (2, 10.0, 0.0)], "i long, ra double, dec double")
+    for far in (1.0, 3000.0):
+        b = spark.createDataFrame([(5, 10.0, (far + 1e-7) * arc), (3, 10.0, (far + 3e-7) * arc), (1, 10.0, (far + 9e-7) * arc)], "j long, r2 double, d2 double")
+        assert {(r.i, r.j, r.separation_arcsec) for r in sphere.nearest(a, b, 7200.0, ON, "i", "j").collect()} == {(1, 3, far), (2, 3, far)}
